@@ -1,8 +1,9 @@
 """The ten operators' queries and their DuckDB SQL."""
 
-from . import language_id, ngram_join
+from . import language_id, line_templates, ngram_join
 
 QUERIES = {
+    "op2_line_templates": line_templates.query,
     "op3_ngram_join": ngram_join.query,
     "op4_language_id": language_id.query,
 }
