@@ -1,6 +1,6 @@
 """Operator 3, n-gram Jaccard self-join with set relations.
 
-A document is the set of its word bigrams, hashed to 32 bits. Two documents match if the Jaccard similarity of their sets
+A document is the set of its runs of N words, hashed to 32 bits. Two documents match if the Jaccard similarity of their sets
 is THRESHOLD at least; a group is a connected component of matches.
 
 1. Set relations: documents are brought together by a minhash. Equal sets collapse, and a set that matches a recent set (its
@@ -8,10 +8,9 @@ is THRESHOLD at least; a group is a connected component of matches.
 2. Index lists: each set's prefix, its rarest n-grams in one global order, goes to inverted lists. The order comes from a count
    sketch of all n-grams, of a fixed size; any order gives the same result, and this one keeps lists short.
    A list is sorted by set size; a probe leaves it at the first set too large for the threshold, and entries are
-   skipped whose positions leave too few n-grams.
-3. Pairs of different labels left over are verified on their whole sets, and the components of all matches are returned.
-
-Steps 2 and 3 are exact: every match links two sets of one label or is found in the lists.
+   skipped whose positions leave too few n-grams. Pairs left over whose one-permutation sketches agree in SIGMAS standard deviations less
+   than a match would are skipped too; that can lose a match, with a chance below one in a million.
+3. Other pairs of different labels are verified on their whole sets, and the components of all matches are returned.
 """
 
 from __future__ import annotations
@@ -27,10 +26,13 @@ from . import textkernel as tk
 from .graph import components
 from .shared import partitions, save, small_batches, table, texts
 
-N = 2
-THRESHOLD = 0.6
+N = 3
+THRESHOLD = 0.5
 SKETCH_LOG2 = 22
 BLOCKS = 64
+BINS = 64
+SIGMAS = 5
+IDS_LOG2 = 22
 #: Sets that a set is compared with to find its leader. It affects speed alone.
 LEADERS = 8
 
@@ -118,6 +120,24 @@ def _sum_sketch(t: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([t.column("block")[0].as_py()], pa.int32()), "counts": pa.array([np.ceil(np.log2(total + 1.0)).astype(np.uint8).tobytes()], pa.binary())})
 
 
+def sketches(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """BINS nibbles a set, packed: each bin's least hash, reduced to 1..15; 0 for an empty bin."""
+    out = np.zeros((len(bounds) - 1, BINS), np.uint8)
+    h = tk.mix(grams.astype(np.uint64), 21)
+    rows = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)).astype(np.uint64)
+    keys = np.sort(((rows * np.uint64(BINS) + (h & np.uint64(BINS - 1))) << np.uint64(32)) | (h >> np.uint64(32)))
+    bins = (keys >> np.uint64(32)).astype(np.int64)
+    first = np.r_[True, bins[1:] != bins[:-1]][: len(bins)]
+    out.reshape(-1)[bins[first]] = 1 + (keys[first] & np.uint64(0xFFFFFFFF)) % np.uint64(15)
+    return out[:, ::2] | (out[:, 1::2] << 4)
+
+
+def alike(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether unpacked sketches agree as often as they would for a match, but for SIGMAS deviations."""
+    used = ((a > 0) | (b > 0)).sum(1)
+    return ((a == b) & (a > 0)).sum(1) >= used * threshold - SIGMAS * np.sqrt(used * threshold * (1 - threshold))
+
+
 def _entries(batches, threshold, order, parts):
     """Prefix entries of a slice of sets, one row for each part of the n-gram space."""
     for b in tk.slices(batches, "grams", 8 * tk.CHUNK):
@@ -135,7 +155,8 @@ def _entries(batches, threshold, order, parts):
         grams, rows, position, part = grams[by], rows[by], position[by], part[by]
         ends = np.searchsorted(part, np.arange(parts + 1))
         ids, labels = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "label"))
-        out = {"part": [], "grams": [], "row": [], "position": [], "doc_id": [], "label": [], "n": []}
+        sketch = sketches(*_flat(b))
+        out = {"part": [], "grams": [], "row": [], "position": [], "doc_id": [], "label": [], "n": [], "sketch": []}
         for p in np.flatnonzero(np.diff(ends)):
             at = slice(ends[p], ends[p + 1])
             own, inner = np.unique(rows[at], return_inverse=True)
@@ -146,6 +167,7 @@ def _entries(batches, threshold, order, parts):
             out["doc_id"].append(ids[own].astype(np.int64).tobytes())
             out["label"].append(labels[own].astype(np.int64).tobytes())
             out["n"].append(sizes[own].astype(np.uint32).tobytes())
+            out["sketch"].append(sketch[own].tobytes())
         if out["part"]:
             yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32() if k == "part" else pa.binary()) for k, v in out.items()})
 
@@ -178,16 +200,24 @@ def candidates(grams, position, sizes, labels, threshold):
 
 def _reduce(threshold):
     def run(t: pa.Table) -> pa.Table:
-        cols = {k: [] for k in ("grams", "position", "n", "label", "doc_id")}
+        cols = {k: [] for k in ("grams", "position", "n", "label", "doc_id", "set")}
+        sketch, before = [], 0
         for r in t.to_pylist():
             row = np.frombuffer(r["row"], np.uint16 if len(r["row"]) * 2 == len(r["grams"]) else np.uint32).astype(np.int64)
             cols["grams"].append(np.frombuffer(r["grams"], np.uint32))
             cols["position"].append(np.frombuffer(r["position"], np.uint16))
             for k, kind in (("n", np.uint32), ("label", np.int64), ("doc_id", np.int64)):
                 cols[k].append(np.frombuffer(r[k], kind)[row])
+            packed = np.frombuffer(r["sketch"], np.uint8).reshape(-1, BINS // 2)
+            sketch.append(np.concatenate([packed & 15, packed >> 4], 1))
+            cols["set"].append(row + before)
+            before += len(packed)
+        sketch = np.concatenate(sketch)
         c = {k: np.concatenate(v) for k, v in cols.items()}
         ids, seen, held = c["doc_id"], [np.zeros((0, 2), np.int64)], 0
         for i, j in candidates(c["grams"], c["position"], c["n"], c["label"], threshold):
+            like = np.concatenate([alike(sketch[c["set"][i[k : k + 65536]]], sketch[c["set"][j[k : k + 65536]]], threshold) for k in range(0, len(i), 65536)])
+            i, j = i[like], j[like]
             seen.append(np.unique(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1), axis=0))
             held += len(seen[-1])
             if held > 1 << 21:
@@ -199,6 +229,25 @@ def _reduce(threshold):
     return run
 
 
+def _id_slots(column: pa.Array) -> np.ndarray:
+    return (tk.mix(column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), 13) >> np.uint64(64 - IDS_LOG2)).astype(np.int64)
+
+
+def _mark_ids(batches):
+    bits = np.zeros(1 << IDS_LOG2, bool)
+    for b in batches:
+        bits[_id_slots(b.column("doc_id"))] = True
+    if bits.any():
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
+
+
+def _wanted(batches, wanted):
+    """Rows whose doc_id may be in a pair: most others needn't be moved for the join."""
+    bits = np.unpackbits(wanted.value).astype(bool)
+    for b in batches:
+        yield b.filter(pa.array(bits[_id_slots(b.column("doc_id"))]))
+
+
 def _verify(threshold):
     def run(batches):
         for b in batches:
@@ -222,10 +271,12 @@ def labelled(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, Data
         order[r["block"]] = np.frombuffer(r["counts"], np.uint8)
     shared = spark.sparkContext.broadcast(order.reshape(-1))
     parts = max(8, partitions(spark) // 3)
-    fields = ", ".join(f"{k} binary" for k in ("grams", "row", "position", "doc_id", "label", "n"))
+    fields = ", ".join(f"{k} binary" for k in ("grams", "row", "position", "doc_id", "label", "n", "sketch"))
     entries = own.select("doc_id", "label", "grams").mapInArrow(lambda it: _entries(it, threshold, shared.value, parts), f"part int, {fields}")
     pairs = save(entries.groupBy("part").applyInArrow(_reduce(threshold), "a bigint, b bigint").distinct(), "pairs")
-    known = own.select("doc_id", "label", "grams")
+    slots = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).mapInArrow(_mark_ids, "bits binary").collect()
+    wanted = spark.sparkContext.broadcast(np.bitwise_or.reduce([np.frombuffer(r["bits"], np.uint8) for r in slots] or [np.zeros((1 << IDS_LOG2) // 8, np.uint8)]))
+    known = own.select("doc_id", "grams").mapInArrow(lambda it: _wanted(it, wanted), "doc_id bigint, grams binary")
     wide = pairs.join(known.select(F.col("doc_id").alias("a"), F.col("grams").alias("grams_a")), "a").join(known.select(F.col("doc_id").alias("b"), F.col("grams").alias("grams_b")), "b")
     return sets, save(wide.select("a", "b", "grams_a", "grams_b").mapInArrow(_verify(threshold), "a bigint, b bigint"), "matches")
 
@@ -254,7 +305,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = f"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-grams AS (SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] AS g FROM words, LATERAL (SELECT unnest(range(1, len(w))) AS i)),
+grams AS (SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM words, LATERAL (SELECT unnest(range(1, len(w) - 1)) AS i)),
 sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY 1),
 common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
 matches AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE c >= ceil({THRESHOLD} / (1 + {THRESHOLD}) * (x.n + y.n) - 1e-9)),

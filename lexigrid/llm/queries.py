@@ -1,11 +1,12 @@
 """The ten operators' queries and their DuckDB SQL."""
 
-from . import language_id, line_templates, ngram_join
+from . import decontaminate, language_id, line_templates, ngram_join
 
 QUERIES = {
     "op2_line_templates": line_templates.query,
     "op3_ngram_join": ngram_join.query,
     "op4_language_id": language_id.query,
+    "op7_decontaminate": decontaminate.query,
 }
 SQL = {
     "op3_ngram_join": ngram_join.SQL,

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 NOT_WORD = r"[^\p{L}\p{N}]+"
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _powers: list[np.ndarray] = []
 
