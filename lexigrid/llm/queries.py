@@ -1,13 +1,17 @@
 """The ten operators' queries and their DuckDB SQL."""
 
-from . import decontaminate, language_id, line_templates, ngram_join
+from . import decontaminate, language_id, line_templates, ngram_join, packing, records, suffix_dedup
 
 QUERIES = {
+    "op1_packing": packing.query,
     "op2_line_templates": line_templates.query,
     "op3_ngram_join": ngram_join.query,
     "op4_language_id": language_id.query,
+    "op6_records": records.query,
     "op7_decontaminate": decontaminate.query,
+    "op8_suffix_dedup": suffix_dedup.query,
 }
 SQL = {
     "op3_ngram_join": ngram_join.SQL,
+    "op8_suffix_dedup": suffix_dedup.SQL,
 }

@@ -20,7 +20,9 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="lexigrid-")
         spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file:///") else full
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
