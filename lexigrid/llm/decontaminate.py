@@ -25,10 +25,12 @@ from .shared import save, small_batches, table, texts
 TERM_BITS = 15
 PASSAGE = 64
 STOP = 0.05
-RANK = 32
+RANK = 24
 WINDOW = 32
 STEP = 8
 COSINE = 0.55
+#: Share of a segment's words (without stop words) that a candidate window must have in it; a leak has PARAPHRASE of them nearby.
+WINDOW_SHARE = 0.25
 VERBATIM = 0.8
 PARAPHRASE = 0.65
 ANSWER = 0.75
@@ -73,7 +75,8 @@ def _frequencies(batches):
     for b in tk.slices(batches, "tokens", 4 * TOKENS):
         tokens, bounds = _flat(b)
         run, before = _runs(bounds, PASSAGE)
-        pairs = np.unique((run << TERM_BITS) | _terms(tokens))
+        pairs = (run << TERM_BITS) | _terms(tokens)
+        pairs = np.unique(pairs.astype(np.uint32) if before[-1] < 1 << (32 - TERM_BITS) else pairs)
         total[:-1] += np.bincount(pairs & ((1 << TERM_BITS) - 1), minlength=1 << TERM_BITS)
         total[-1] += before[-1]
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["term", "n"])
@@ -81,25 +84,25 @@ def _frequencies(batches):
 
 def _gram_part(batches, weights, omega):
     """This task's part of A'(A Omega), in blocks of rows."""
-    out = np.zeros_like(omega)
+    out, weighted = np.zeros_like(omega), omega * weights[:, None]
     for b in tk.slices(batches, "tokens", 4 * TOKENS):
         tokens, bounds = _flat(b)
         for at in range(0, len(tokens), 4 * TOKENS):  # a long text is cut between passages
             cut = slice(at, min(at + 4 * TOKENS, len(tokens)))
             run, _ = _runs(bounds, PASSAGE)
             terms, run = _terms(tokens[cut]), run[cut]
-            w = weights[terms]
-            some = w > 0
-            terms, run, w = terms[some], run[some], w[some]
+            some = weights[terms] > 0
+            terms, run = terms[some], run[some]
             if not len(terms):
                 continue
             begins = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
             local = np.repeat(np.arange(len(begins)), np.diff(np.r_[begins, len(run)]))
-            y = np.add.reduceat(omega[terms] * w[:, None], begins)
-            order = np.argsort(terms, kind="stable")
+            y = np.add.reduceat(weighted[terms], begins)
+            order = np.argsort(terms.astype(np.uint16), kind="stable")
             sorted_terms = terms[order]
             heads = np.flatnonzero(np.r_[True, sorted_terms[1:] != sorted_terms[:-1]])
-            out[sorted_terms[heads]] += np.add.reduceat(y[local[order]] * w[order][:, None], heads)
+            out[sorted_terms[heads]] += np.add.reduceat(y[local[order]], heads)
+    out *= weights[:, None]
     if out.any():
         yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([p.tobytes() for p in np.split(out, BLOCKS)], pa.binary())], ["block", "part"])
 
@@ -139,6 +142,10 @@ class Segments:
         vectors = [(basis[_terms(w)] * weights[_terms(w)][:, None]).sum(0) for w in words]
         self.vectors = np.array(vectors, np.float32).reshape(len(words), basis.shape[1])
         self.vectors /= np.maximum(np.linalg.norm(self.vectors, axis=1, keepdims=True), 1e-12)
+        # places of each segment's words that aren't stop words, as bits, and how many of them a window must show
+        self.content = np.array([sum(1 << int(j) for j in np.flatnonzero(weights[_terms(w)] > 0)) for w in words], np.uint64)
+        n = np.bitwise_count(self.content)
+        self.needed = np.where(n < 4, 0, np.ceil(WINDOW_SHARE * n)).astype(np.uint8)
 
     def masks(self, some: np.ndarray) -> np.ndarray:
         """A row for each of these segments; the last column, of other words, is zero."""
@@ -207,14 +214,26 @@ def _search(batches, segments, weights, basis, cosine):
         lo = np.maximum(begins[first[w]] - length, bounds[row])
         hi = np.minimum(begins[first[w]] + WINDOW + length, bounds[row + 1])
         # overlapping candidates of one row and segment are one: the whole stretch is searched
+        ids = np.searchsorted(segments.vocabulary, tokens)
+        ids[ids == len(segments.vocabulary)] = 0
+        ids[segments.vocabulary[ids] != tokens] = len(segments.vocabulary)
+        shown = np.zeros(len(s), bool)
+        for group, mask in zip(groups, masks):
+            own = np.flatnonzero((s >= group[0]) & (s <= group[-1]))
+            for at in range(0, len(own), 4096):
+                k = own[at : at + 4096]
+                place = begins[first[w[k]]][:, None] + np.arange(WINDOW)
+                bits = mask[(s[k] - group[0])[:, None], ids[np.minimum(place, len(ids) - 1)]]
+                bits[place >= bounds[row[k] + 1][:, None]] = 0
+                shown[k] = np.bitwise_count(np.bitwise_or.reduce(bits, axis=1) & segments.content[s[k]]) >= segments.needed[s[k]]
+        s, row, lo, hi = s[shown], row[shown], lo[shown], hi[shown]
+        if not len(s):
+            continue
         order = np.lexsort((lo, s, row))
         s, row, lo, hi = s[order], row[order], lo[order], hi[order]
         same = np.r_[False, (s[1:] == s[:-1]) & (row[1:] == row[:-1]) & (lo[1:] <= lo[:-1] + STEP)]
         heads = np.flatnonzero(~same)
         s, row, lo, hi = s[heads], row[heads], lo[heads], np.maximum.reduceat(hi, heads)
-        ids = np.searchsorted(segments.vocabulary, tokens)
-        ids[ids == len(segments.vocabulary)] = 0
-        ids[segments.vocabulary[ids] != tokens] = len(segments.vocabulary)
         doc_ids = b.column("doc_id").to_numpy(zero_copy_only=False)
         for group, mask in zip(groups, masks):
             at = np.flatnonzero((s >= group[0]) & (s <= group[-1]))
