@@ -26,9 +26,11 @@ TERM_BITS = 15
 PASSAGE = 64
 STOP = 0.05
 RANK = 24
+#: Leading components that are left out of the cosine: they hold language and style, which all passages of a language share.
+COMMON = 6
 WINDOW = 32
 STEP = 8
-COSINE = 0.55
+COSINE = 0.4
 #: Share of a segment's words (without stop words) that a candidate window must have in it; a leak has PARAPHRASE of them nearby.
 WINDOW_SHARE = 0.25
 VERBATIM = 0.8
@@ -113,14 +115,15 @@ def _gram_sum(t: pa.Table) -> pa.Table:
 
 
 def singular_vectors(gram_omega: np.ndarray, omega: np.ndarray) -> np.ndarray:
-    """Right singular vectors of A from A'A Omega (Nystrom)."""
+    """Right singular vectors of A, each over its singular value, from A'A Omega (Nystrom): what folds a text into the latent space."""
     shift = 1e-6 * np.linalg.norm(gram_omega) + 1e-12
     y = gram_omega + shift * omega
     core = omega.T @ y
     values, vectors = np.linalg.eigh((core + core.T) / 2)
     values = np.maximum(values, values.max() * 1e-10 + 1e-30)
-    u, _, _ = np.linalg.svd(y @ (vectors / np.sqrt(values)), full_matrices=False)
-    return u.astype(np.float32)
+    u, root, _ = np.linalg.svd(y @ (vectors / np.sqrt(values)), full_matrices=False)
+    # the factor's singular values are A's
+    return (u / np.maximum(root, 1e-6 * root.max() + 1e-30)).astype(np.float32)[:, min(COMMON, u.shape[1] // 4) :]
 
 
 class Segments:
@@ -146,6 +149,17 @@ class Segments:
         self.content = np.array([sum(1 << int(j) for j in np.flatnonzero(weights[_terms(w)] > 0)) for w in words], np.uint64)
         n = np.bitwise_count(self.content)
         self.needed = np.where(n < 4, 0, np.ceil(WINDOW_SHARE * n)).astype(np.uint8)
+        self.known = np.zeros(1 << TERM_BITS, bool)
+        self.known[_terms(self.vocabulary)] = True
+
+    def members(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each word of the vocabulary (and other words), the segments (by place in ``some``) that have it as content: bounds and list."""
+        pairs = []
+        begins = np.cumsum(self.lengths) - self.lengths
+        for i, s in enumerate(some):
+            pairs += [(self.places[begins[s] + j], i) for j in range(self.lengths[s]) if int(self.content[s]) >> j & 1]
+        pairs = np.unique(np.array(pairs, np.int64).reshape(-1, 2), axis=0)
+        return np.searchsorted(pairs[:, 0], np.arange(len(self.vocabulary) + 2)), pairs[:, 1]
 
     def masks(self, some: np.ndarray) -> np.ndarray:
         """A row for each of these segments; the last column, of other words, is zero."""
@@ -175,9 +189,10 @@ def common(masks: np.ndarray, which: np.ndarray, ids: np.ndarray, starts: np.nda
 
 def _search(batches, segments, weights, basis, cosine):
     n_seg = len(segments.items)
-    per_group = max(1, (32 << 20) // (8 * (len(segments.vocabulary) + 1)))
+    per_group = max(1, min(256, (32 << 20) // (8 * (len(segments.vocabulary) + 1))))
     groups = [np.arange(a, min(a + per_group, n_seg)) for a in range(0, n_seg, per_group)]
     masks = [segments.masks(g) for g in groups]
+    contents = [segments.members(g) for g in groups]
     folded = basis * weights[:, None]
     size = WINDOW // STEP
     for b in tk.slices(batches, "tokens", 4 * TOKENS):
@@ -200,11 +215,23 @@ def _search(batches, segments, weights, basis, cosine):
         windows = (sums[last] - sums[first]).astype(np.float32)
         norms = np.linalg.norm(windows, axis=1)
         windows /= np.maximum(norms, 1e-12)[:, None]
+        ids = np.full(len(tokens), len(segments.vocabulary))
+        maybe = np.flatnonzero(segments.known[_terms(tokens)])
+        at = np.minimum(np.searchsorted(segments.vocabulary, tokens[maybe]), len(segments.vocabulary) - 1)
+        ids[maybe] = np.where(segments.vocabulary[at] == tokens[maybe], at, len(segments.vocabulary))
         found = []
-        for at in range(0, len(first), 2048):
-            near = windows[at : at + 2048] @ segments.vectors.T
-            i, s = np.nonzero(near >= cosine)
-            found.append(np.stack([i + at, s], 1))
+        for group, (pointer, members) in zip(groups, contents):
+            # content words that each block, and so each window, has of each segment
+            n, g = pointer[ids + 1] - pointer[ids], len(group)
+            hit = np.repeat(pointer[ids] + n - np.cumsum(n), n) + np.arange(n.sum())
+            blocks_hit = np.bincount(np.repeat(run, n) * g + members[hit], minlength=before[-1] * g).astype(np.uint8).reshape(-1, g)
+            padded = np.concatenate([blocks_hit, np.zeros((size, g), np.uint8)])
+            window_hit = padded[first].copy()
+            for k in range(1, size):
+                window_hit += np.where((first + k < last)[:, None], padded[first + k], 0).astype(np.uint8)
+            near = windows @ segments.vectors[group].T
+            i, k = np.nonzero((window_hit >= segments.needed[group]) & (near >= cosine))
+            found.append(np.stack([i, k + group[0]], 1))
         found = np.concatenate(found)
         if not len(found):
             continue
@@ -214,21 +241,6 @@ def _search(batches, segments, weights, basis, cosine):
         lo = np.maximum(begins[first[w]] - length, bounds[row])
         hi = np.minimum(begins[first[w]] + WINDOW + length, bounds[row + 1])
         # overlapping candidates of one row and segment are one: the whole stretch is searched
-        ids = np.searchsorted(segments.vocabulary, tokens)
-        ids[ids == len(segments.vocabulary)] = 0
-        ids[segments.vocabulary[ids] != tokens] = len(segments.vocabulary)
-        shown = np.zeros(len(s), bool)
-        for group, mask in zip(groups, masks):
-            own = np.flatnonzero((s >= group[0]) & (s <= group[-1]))
-            for at in range(0, len(own), 4096):
-                k = own[at : at + 4096]
-                place = begins[first[w[k]]][:, None] + np.arange(WINDOW)
-                bits = mask[(s[k] - group[0])[:, None], ids[np.minimum(place, len(ids) - 1)]]
-                bits[place >= bounds[row[k] + 1][:, None]] = 0
-                shown[k] = np.bitwise_count(np.bitwise_or.reduce(bits, axis=1) & segments.content[s[k]]) >= segments.needed[s[k]]
-        s, row, lo, hi = s[shown], row[shown], lo[shown], hi[shown]
-        if not len(s):
-            continue
         order = np.lexsort((lo, s, row))
         s, row, lo, hi = s[order], row[order], lo[order], hi[order]
         same = np.r_[False, (s[1:] == s[:-1]) & (row[1:] == row[:-1]) & (lo[1:] <= lo[:-1] + STEP)]
