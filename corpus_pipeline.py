@@ -1,24 +1,51 @@
-"""The corpus pipeline: STAGES applied to ``documents`` in turn, each stage written and read again."""
+"""The corpus pipeline: STAGES applied to ``documents`` in turn, each stage written and read again.
+
+Each stage takes (spark, docs, sf_dir) and works on all documents that the one before kept. All but the last return the columns of
+documents; the last returns training sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexigrid.llm import language_id, ngram_join
+from lexigrid.llm import decontaminate, language_id, line_templates, ngram_join, packing
 from lexigrid.llm.shared import save, table
 
 
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified; the rest go."""
     return language_id.keep_identified(docs)
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+def strip_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines of recurring templates."""
+    return line_templates.clean_documents(docs)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, and all others."""
     return ngram_join.keep_one(docs)
 
 
-STAGES = [("language_id", language), ("ngram_join", near_duplicates)]
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark items in them."""
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of documents and pieces of them."""
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("language_id", identify),
+    ("line_templates", strip_lines),
+    ("ngram_join", drop_copies),
+    ("decontaminate", drop_leaks),
+    ("packing", pack),
+]
+
+#: SQL can't express the bit-sliced filters, the template tree, latent retrieval and packing: tests hold stages against brute force.
 ORACLE_SQL = None
 
 

@@ -1,17 +1,22 @@
 """The ten operators' queries and their DuckDB SQL."""
 
-from . import decontaminate, language_id, line_templates, ngram_join, packing, records, suffix_dedup
+from . import archive, decontaminate, language_id, line_templates, ngram_join, packing, records, site_quality, suffix_dedup, vector_join
 
 QUERIES = {
     "op1_packing": packing.query,
     "op2_line_templates": line_templates.query,
     "op3_ngram_join": ngram_join.query,
     "op4_language_id": language_id.query,
+    "op5_vector_join": vector_join.query,
     "op6_records": records.query,
     "op7_decontaminate": decontaminate.query,
     "op8_suffix_dedup": suffix_dedup.query,
+    "op9_site_quality": site_quality.query,
+    "op10_archive": archive.query,
 }
 SQL = {
     "op3_ngram_join": ngram_join.SQL,
+    "op5_vector_join": vector_join.SQL,
     "op8_suffix_dedup": suffix_dedup.SQL,
+    "op10_archive": archive.SQL,
 }

@@ -105,8 +105,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = f"""
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings),
-u AS (SELECT vec_id, list_transform(e, x -> x / sqrt(list_dot_product(e, e))) AS e FROM v)
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v)
 SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, round(list_dot_product(a.e, b.e), 4) AS cosine
 FROM u a JOIN u b ON a.vec_id < b.vec_id WHERE list_dot_product(a.e, b.e) >= {COSINE}
 """
