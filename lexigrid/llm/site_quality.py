@@ -6,7 +6,8 @@ host and by path; a path's rate is shrunk towards its host's, and the host's tow
 spread between groups suggests (method of moments), so sparse sites stay near the prior. The path's rate is the prior of each of its
 documents, and with the document's evidence decides.
 
-Labels come from at most TRAIN_ROWS labelled rows, picked by a hash of doc_id; sums by host and path cover all documents.
+Labels come from at most TRAIN_ROWS labelled rows, picked by a hash of doc_id; of rows that share a minhash of word trigrams one is kept, since
+the words of a copied document would else look as if many documents agreed on them. Sums by host and path cover all documents.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ FORMS = 16
 #: Pseudo-documents, split by the global rate, that a feature's counts are shrunk by.
 SMOOTH = 4.0
 #: A feature has a weight only if chance gives its counts, or stranger ones, with a probability under about exp(-SURPRISE); most rare words have none.
-SURPRISE = 13.0
-BOUND = 0.5
+SURPRISE = 25.0
+#: Posterior from which on a document is accepted: low, so that documents in doubt stay.
+BOUND = 0.3
+HASHES = 3
 MOST_PSEUDO = 1000.0
 
 
@@ -70,6 +73,20 @@ def _count(batches):
         yield pa.RecordBatch.from_arrays([pa.array(keys >> 2), pa.array((keys & 3).astype(np.int32)), pa.array(n.astype(np.int64))], ["feature", "kind", "n"])
 
 
+def _families(batches):
+    """HASHES minhashes of each row's word trigrams; a row without any has its own id."""
+    for b in tk.slices(batches):
+        grams, rows = tk.Words(b.column("text")).grams(3)
+        begins = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]][: len(rows)])
+        out = []
+        for seed in range(HASHES):
+            least = tk.mix(b.column("id").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), 50 + seed)
+            if len(begins):
+                least[rows[begins]] = np.minimum.reduceat(tk.mix(grams, 60 + seed), begins)
+            out.append(least.view(np.int64))
+        yield pa.RecordBatch.from_arrays([b.column("id"), *map(pa.array, out)], ["id", *[f"f{i}" for i in range(HASHES)]])
+
+
 def _logistic(x):
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
@@ -117,7 +134,12 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Evi
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("id"), (2 * (F.col("quality") == 1).cast("int") + (F.col("toxic") == 1).cast("int")).alias("kind"))
     sample = known.orderBy(F.xxhash64("id", F.lit(3)), "id", "kind").limit(train_rows)
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.join(F.broadcast(sample), F.col("doc_id") == F.col("id")).select("text", "kind")
+    rows = rows.join(F.broadcast(sample), F.col("doc_id") == F.col("id")).select("id", "text", "kind")
+    rows = save(rows, "labelled")
+    families = save(rows.select("id", "text").mapInArrow(_families, "id bigint, " + ", ".join(f"f{i} bigint" for i in range(HASHES))), "families")
+    for i in range(HASHES):
+        rows = rows.join(families.groupBy(f"f{i}").agg(F.min("id").alias("id")).select("id").distinct(), "id", "left_semi")
+    rows = rows.dropDuplicates(["id"]).select("text", "kind")
     counts, sizes = np.zeros((4, SIZE)), np.zeros(4)
     for r in rows.groupBy("kind").agg(F.count("*").alias("n")).collect():
         sizes[r["kind"]] = r["n"]
