@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .shared import save, small_batches, table, texts
+from .shared import save, small_batches, table, texts, without
 
 TERM_BITS = 15
 PASSAGE = 64
@@ -294,8 +294,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, rank: i
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without any benchmark item in them; rows without doc_id or text stay."""
-    gone = leaks(docs, benchmark).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    gone = leaks(docs, benchmark).select("doc_id").distinct()
+    return without(docs, gone)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

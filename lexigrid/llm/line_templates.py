@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .shared import partitions, save, small_batches, table, texts
+from .shared import free_name, partitions, save, small_batches, table, texts
 
 DEPTH = 4
 SIMILAR = 0.8
@@ -194,10 +194,10 @@ def recurring(docs: DataFrame, similar: float = SIMILAR, min_families: int = MIN
     return occurrences.select("doc_id", "line").join(drop.distinct(), "line", "left_semi")
 
 
-def _strip(schema_names):
+def _strip(schema_names, drop_name="__drop"):
     def run(batches):
         for b in tk.slices(batches):
-            column, drop = b.column("text"), b.column("__drop")
+            column, drop = b.column("text"), b.column(drop_name)
             lists = drop.to_pylist()
             x = Lines(pc.fill_null(column, "")) if any(lists) else None
             counts = np.zeros(b.num_rows, np.int64)
@@ -229,15 +229,16 @@ def _strip(schema_names):
                 valid = None if not column.null_count else pa.array(column.is_valid().to_numpy(zero_copy_only=False))
                 new = pa.StringArray.from_buffers(b.num_rows, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes()))
                 column = new if valid is None else pc.if_else(valid, new, None)
-            made = {"text": column.cast(pa.string()), "n_dropped": pa.array(counts)}
+            made = {"text": column.cast(pa.string()), **({"n_dropped": pa.array(counts)} if drop_name == "__drop" else {})}
             yield pa.RecordBatch.from_arrays([made[c] if c in made else b.column(c) for c in schema_names], schema_names)
 
     return run
 
 
-def _with_drops(docs: DataFrame, **kw) -> DataFrame:
-    drops = recurring(docs, **kw).groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("line").alias("__drop"))
-    return docs.join(drops, F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
+def _with_drops(docs: DataFrame, name: str = "__drop", **kw) -> DataFrame:
+    key = free_name(docs, "__doc")
+    drops = recurring(docs, **kw).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("line").alias(name))
+    return docs.join(drops, F.col("doc_id") == F.col(key), "left").drop(key)
 
 
 def strip_lines(docs: DataFrame, similar: float = SIMILAR, min_families: int = MIN_FAMILIES, family_share: float = FAMILY_SHARE) -> DataFrame:
@@ -252,8 +253,8 @@ def strip_lines(docs: DataFrame, similar: float = SIMILAR, min_families: int = M
 
 def clean_documents(docs: DataFrame) -> DataFrame:
     """All documents with all their columns, texts stripped as by strip_lines() and n_chars counted again."""
-    found = _with_drops(docs)
-    out = found.mapInArrow(_strip(docs.columns), docs.schema)
+    name = free_name(docs, "__dropped_lines")
+    out = _with_drops(docs, name).mapInArrow(_strip(docs.columns, name), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

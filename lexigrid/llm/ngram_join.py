@@ -15,8 +15,6 @@ is THRESHOLD at least; a group is a connected component of matches.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .graph import components
-from .shared import partitions, save, small_batches, table, texts
+from .shared import partitions, save, small_batches, table, texts, without
 
 N = 3
 THRESHOLD = 0.5
@@ -294,8 +292,8 @@ def groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFra
 
 def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """The documents without those of a group other than its keep_id; rows without doc_id stay."""
-    gone = groups(docs, n, threshold).select(F.explode("doc_ids").alias("doc_id"), "keep_id").where("doc_id <> keep_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    gone = groups(docs, n, threshold).select(F.explode("doc_ids").alias("doc_id"), "keep_id").where("doc_id <> keep_id").select("doc_id")
+    return without(docs, gone)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

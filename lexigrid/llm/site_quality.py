@@ -117,14 +117,15 @@ class Evidence:
         self.rate = float((docs[2] + 1) / (docs.sum() + 2))
 
     def score(self, column: pa.Array) -> np.ndarray:
-        """Log odds of good, less those of the global rate."""
+        """Log odds of good, less those of a document without any weighty feature."""
         ids, bounds = features(column)
         p = []
         for task in (self.quality, self.toxic):
             sums = np.r_[0.0, np.cumsum(task.weights[ids])]
             p.append(_logistic(sums[bounds[1:]] - sums[bounds[:-1]] + task.prior))
         good = np.clip(p[0] * (1 - p[1]), 1e-12, 1 - 1e-12)
-        return np.log(good / (1 - good)) - math.log(self.rate / (1 - self.rate))
+        usual = self.quality.rate * (1 - self.toxic.rate)
+        return np.log(good / (1 - good)) - math.log(usual / (1 - usual))
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Evidence:

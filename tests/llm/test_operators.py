@@ -128,6 +128,8 @@ def test_language_id(spark):
 def test_line_templates(spark):
     rng = random.Random(6)
     rows = []
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    prose = lambda rng, n: " ".join(rng.choice(vocabulary) for _ in range(n))
     for i in range(30):
         own = [prose(rng, 12) for _ in range(3)]
         if i % 2:
