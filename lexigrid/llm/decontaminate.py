@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .shared import save, small_batches, table, texts, without
+from .shared import discard, save, small_batches, table, texts, without
 
 TERM_BITS = 15
 PASSAGE = 64
@@ -273,7 +273,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, rank: i
     or item_id gives one row with the largest shares; other columns are ignored; an empty table on either side gives none."""
     spark = docs.sparkSession
     small_batches(spark)
-    tokens = save(texts(docs).mapInArrow(_tokenise, "doc_id bigint, tokens binary"), "tokens")
+    scratch: list[str] = []
+    tokens = save(texts(docs).mapInArrow(_tokenise, "doc_id bigint, tokens binary"), "tokens", scratch)
     items = [(r["item_id"], r["text"]) for r in benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).collect()]
     frequency = np.zeros((1 << TERM_BITS) + 1)
     for r in tokens.mapInArrow(_frequencies, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect():  # a row a term
@@ -289,13 +290,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, rank: i
     basis = singular_vectors(gram.reshape(-1, rank), omega.astype(np.float64))
     plan = spark.sparkContext.broadcast((Segments(items, weights, basis), weights, basis))
     found = tokens.mapInArrow(lambda it: _search(it, *plan.value, cosine), "doc_id bigint, item_id bigint, share double, answer_share double")
-    return found.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"), F.max("answer_share").alias("answer_share"))
+    found = save(found.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"), F.max("answer_share").alias("answer_share")), "leaks")
+    discard(spark, scratch)
+    return found
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without any benchmark item in them; rows without doc_id or text stay."""
-    gone = leaks(docs, benchmark).select("doc_id").distinct()
-    return without(docs, gone)
+    return without(docs, save(leaks(docs, benchmark).select("doc_id").distinct(), "leaking"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

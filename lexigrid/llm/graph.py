@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import save
+from .shared import discard, save
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -13,8 +13,10 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
 
     Each round hooks every node's neighbours onto its smallest neighbour, then once more for larger neighbours alone; the rounds
     needed grow with the logarithm of the largest component's diameter. Each round's table goes to the shared folder."""
+    spark = edges.sparkSession
     both = edges.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
-    current = save(both, label)
+    scratch: list[str] = []
+    current = save(both, label, scratch)
     while True:
         # large star: neighbours greater than u are linked to u's smallest neighbour or itself
         sym = current.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(current.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
@@ -24,7 +26,9 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         least = large.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m"))
         small = large.select(F.col("hi").alias("u"), F.col("lo").alias("v")).join(least, "u")
         following = small.select(F.col("m").alias("lo"), F.col("v").alias("hi")).unionByName(least.select(F.col("m").alias("lo"), F.col("u").alias("hi"))).where("lo <> hi").distinct()
-        following = save(following, label)
+        old, scratch = scratch, []
+        following = save(following, label, scratch)
+        discard(spark, old)
         # a star forest: no node is both a root and a leaf, and each leaf has one root
         leaves = following.groupBy(F.col("hi").alias("leaf")).agg(F.count("*").alias("n"))
         done = leaves.where("n > 1").isEmpty() and following.join(leaves, F.col("lo") == F.col("leaf"), "left_semi").isEmpty()

@@ -20,9 +20,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkernel as tk
-from .shared import free_name, partitions, save, small_batches, table, texts
+from .shared import BROADCAST_ROWS, discard, free_name, partitions, save, small_batches, table, texts
 
 DEPTH = 4
 SIMILAR = 0.8
@@ -88,7 +89,7 @@ def _lines(batches):
         keep = np.r_[True, (x.hashes[order][1:] != x.hashes[order][:-1]) | (x.rows[order][1:] != x.rows[order][:-1])][: len(order)]
         order = order[keep]
         family = x.families(b.num_rows)[x.rows[order]]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(x.rows[order])), pa.array(x.leaves[order]), pa.array(x.hashes[order]), pa.array(family)], ["doc_id", "leaf", "line", "family"])
+        yield pa.RecordBatch.from_arrays([pa.array(x.leaves[order]), pa.array(x.hashes[order]), pa.array(family)], ["leaf", "line", "family"])
 
 
 def _slot(leaves: np.ndarray) -> np.ndarray:
@@ -98,7 +99,7 @@ def _slot(leaves: np.ndarray) -> np.ndarray:
 def _count_leaves(batches):
     counts = np.zeros(1 << LEAF_LOG2, np.int64)
     for b in batches:
-        counts += np.bincount(_slot(b.column("leaf").to_numpy(zero_copy_only=False).astype(np.int64)), minlength=len(counts))
+        np.add.at(counts, _slot(b.column("leaf").to_numpy(zero_copy_only=False).astype(np.int64)), 1)
     if counts.any():
         parts = np.minimum(counts, 2).astype(np.uint8).reshape(BLOCKS, -1)
         yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "counts"])
@@ -169,13 +170,14 @@ def _grow(batches, similar):
 
 
 def recurring(docs: DataFrame, similar: float = SIMILAR, min_families: int = MIN_FAMILIES, family_share: float = FAMILY_SHARE) -> DataFrame:
-    """(doc_id, line) of the lines to drop; line is the hash of its tokens."""
+    """The lines to drop, as a saved table of the hashes of their tokens."""
     spark = docs.sparkSession
+    scratch: list[str] = []
     small_batches(spark)
     rows = texts(docs)
-    occurrences = save(rows.mapInArrow(_lines, "doc_id bigint, leaf bigint, line bigint, family bigint"), "lines")
+    occurrences = save(rows.mapInArrow(_lines, "leaf bigint, line bigint, family bigint"), "lines", scratch)
     counted = occurrences.groupBy("leaf", "line", "family").agg(F.count("*").alias("docs"))
-    lines = save(counted.groupBy("leaf", "line").agg(F.sum("docs").alias("docs")), "leaves")
+    lines = save(counted.groupBy("leaf", "line").agg(F.sum("docs").alias("docs")), "leaves", scratch)
     leaves = lines.groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("docs").alias("leaf_docs")).where((F.col("lines") > 1) & (F.col("leaf_docs") >= min_families)).select("leaf")
     bits = bytearray((1 << LEAF_LOG2) // 8)
     size = len(bits) // BLOCKS
@@ -185,60 +187,83 @@ def recurring(docs: DataFrame, similar: float = SIMILAR, min_families: int = MIN
     tokens = rows.select("text").mapInArrow(lambda it: _tokens(it, shared), "leaf bigint, line bigint, tokens binary").groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"))
     grown = tokens.join(lines.join(leaves, "leaf", "left_semi"), ["leaf", "line"]).repartition(partitions(spark), "leaf").sortWithinPartitions("leaf", F.desc("docs"), "line")
     templates = grown.select("leaf", "line", "tokens").mapInArrow(lambda it: _grow(it, similar), "line bigint, template bigint")
-    named = save(templates, "templates")
+    named = save(templates, "templates", scratch)
     # a document may have several lines of a template: its family counts the most frequent of them
     per_family = counted.join(named, "line", "left").groupBy(F.coalesce("template", "line").alias("template"), "family").agg(F.max("docs").alias("docs"))
     found = per_family.groupBy("template").agg(F.count("*").alias("families"), F.sum("docs").alias("docs")).where((F.col("families") >= min_families) & (F.col("families") >= family_share * F.col("docs"))).select("template")
-    found = save(found, "recurring")
+    found = save(found, "recurring", scratch)
     drop = found.select(F.col("template").alias("line")).unionByName(named.join(found, "template", "left_semi").select("line"))
-    return occurrences.select("doc_id", "line").join(drop.distinct(), "line", "left_semi")
+    drop = save(drop.distinct(), "dropped")
+    discard(spark, scratch)
+    return drop
+
+
+def _cut(column: pa.Array, x: Lines, gone: np.ndarray) -> pa.Array:
+    """The texts without their lines in ``gone``. A line goes with the break after it; if a row's last line goes, the break before what then is last goes too."""
+    n_rows = len(column)
+    delta = np.zeros(len(x.data) + 2, np.int64)
+    last = np.r_[x.rows[1:] != x.rows[:-1], True]
+    np.add.at(delta, x.starts[gone], 1)
+    np.add.at(delta, np.where(last, x.ends, x.ends + 1)[gone], -1)
+    keep = np.cumsum(delta)[: len(x.data)] == 0
+    offsets = np.r_[0, np.cumsum(keep)][x.offsets]
+    data = x.data[keep]
+    ends = np.searchsorted(x.rows, np.arange(n_rows), side="right") - 1
+    trim = np.flatnonzero(gone[ends] & (offsets[1:] > offsets[:-1]))
+    trim = trim[data[offsets[trim + 1] - 1] == 10]
+    if len(trim):
+        stay = np.ones(len(data), bool)
+        stay[offsets[trim + 1] - 1] = False
+        data, offsets = data[stay], np.r_[0, np.cumsum(stay)][offsets]
+    out = pa.StringArray.from_buffers(n_rows, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes()))
+    return pc.if_else(pa.array(column.is_valid().to_numpy(zero_copy_only=False)), out, None).cast(pa.string()) if column.null_count else out
+
+
+def _strip(names, counted, wanted=None, drop_name=None):
+    """names: the columns returned; counted: whether to add n_dropped. The lines to drop: wanted (broadcast, sorted hashes), or each row's list in drop_name."""
 
-
-def _strip(schema_names, drop_name="__drop"):
     def run(batches):
         for b in tk.slices(batches):
-            column, drop = b.column("text"), b.column(drop_name)
-            lists = drop.to_pylist()
-            x = Lines(pc.fill_null(column, "")) if any(lists) else None
-            counts = np.zeros(b.num_rows, np.int64)
-            if x is not None:
-                gone = np.zeros(len(x.rows), bool)
+            column = b.column("text")
+            x = Lines(pc.fill_null(column, ""))
+            hashes = x.hashes
+            if wanted is not None:
+                lines = wanted.value
+                at = np.minimum(np.searchsorted(lines, hashes), max(len(lines) - 1, 0))
+                gone = lines[at] == hashes if len(lines) else np.zeros(len(hashes), bool)
+            else:
+                gone = np.zeros(len(hashes), bool)
                 bounds = np.searchsorted(x.rows, np.arange(b.num_rows + 1))
-                for i, lines in enumerate(lists):
+                for i, lines in enumerate(b.column(drop_name).to_pylist()):
                     if lines:
-                        own = slice(bounds[i], bounds[i + 1])
-                        gone[own] = np.isin(x.hashes[own], lines) & (x.counts[own] > 0)
-                        counts[i] = gone[own].sum()
-                # a dropped line goes with the break after it; if the row's last line goes, with the break before what then is last
-                keep = np.ones(len(x.data) + 1, np.int8)
-                delta = np.zeros(len(x.data) + 2, np.int64)
-                last = np.r_[x.rows[1:] != x.rows[:-1], True]
-                np.add.at(delta, x.starts[gone], 1)
-                np.add.at(delta, np.where(last, x.ends, x.ends + 1)[gone], -1)
-                keep = np.cumsum(delta)[: len(x.data)] == 0
-                sizes = np.r_[0, np.cumsum(keep)]
-                offsets = sizes[x.offsets]
-                data = x.data[keep]
-                changed = np.flatnonzero(counts)
-                trim = [i for i in changed if gone[bounds[i + 1] - 1] and offsets[i + 1] > offsets[i] and data[offsets[i + 1] - 1] == 10]
-                if len(trim):
-                    cut = np.ones(len(data), bool)
-                    cut[offsets[np.array(trim) + 1] - 1] = False
-                    sizes = np.r_[0, np.cumsum(cut)]
-                    data, offsets = data[cut], sizes[offsets]
-                valid = None if not column.null_count else pa.array(column.is_valid().to_numpy(zero_copy_only=False))
-                new = pa.StringArray.from_buffers(b.num_rows, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes()))
-                column = new if valid is None else pc.if_else(valid, new, None)
-            made = {"text": column.cast(pa.string()), **({"n_dropped": pa.array(counts)} if drop_name == "__drop" else {})}
-            yield pa.RecordBatch.from_arrays([made[c] if c in made else b.column(c) for c in schema_names], schema_names)
+                        gone[bounds[i] : bounds[i + 1]] = np.isin(hashes[bounds[i] : bounds[i + 1]], lines)
+            # rows without doc_id stay as they are
+            gone &= (x.counts > 0) & b.column("doc_id").is_valid().to_numpy(zero_copy_only=False)[x.rows]
+            text = _cut(column, x, gone) if gone.any() else column.cast(pa.string())
+            columns = [text if c == "text" else b.column(c) for c in names]
+            if counted:
+                columns.append(pa.array(np.bincount(x.rows[gone], minlength=b.num_rows).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays(columns, [*names, "n_dropped"] if counted else names)
 
     return run
 
 
-def _with_drops(docs: DataFrame, name: str = "__drop", **kw) -> DataFrame:
-    key = free_name(docs, "__doc")
-    drops = recurring(docs, **kw).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("line").alias(name))
-    return docs.join(drops, F.col("doc_id") == F.col(key), "left").drop(key)
+def _apply(docs: DataFrame, drop: DataFrame, counted: bool) -> DataFrame:
+    """Up to BROADCAST_ROWS hashes of lines are broadcast; more are joined, by line and then by document."""
+    spark, names, schema = docs.sparkSession, docs.columns, T.StructType(docs.schema.fields + [T.StructField("n_dropped", T.LongType())] * counted)
+    if drop.count() <= BROADCAST_ROWS:
+        wanted = spark.sparkContext.broadcast(np.sort(drop.toArrow().column("line").to_numpy().astype(np.int64)))
+        return docs.mapInArrow(_strip(names, counted, wanted=wanted), schema)
+    key, name = free_name(docs, "__doc"), free_name(docs, "__dropped_lines")
+    lines = texts(docs).mapInArrow(_doc_lines, "doc_id bigint, line bigint").join(drop, "line", "left_semi")
+    lists = lines.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("line").alias(name))
+    return docs.join(lists, F.col("doc_id") == F.col(key), "left").drop(key).mapInArrow(_strip(names, counted, drop_name=name), schema)
+
+
+def _doc_lines(batches):
+    for b in tk.slices(batches):
+        x = Lines(b.column("text"))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(x.rows)), pa.array(x.hashes)], ["doc_id", "line"])
 
 
 def strip_lines(docs: DataFrame, similar: float = SIMILAR, min_families: int = MIN_FAMILIES, family_share: float = FAMILY_SHARE) -> DataFrame:
@@ -247,14 +272,12 @@ def strip_lines(docs: DataFrame, similar: float = SIMILAR, min_families: int = M
     Null texts stay null, and empty lines and rows without doc_id stay as they are; equal similarity goes to the older template; a row
     that repeats counts again as a document of the same family; other columns are ignored; an empty table gives an empty one."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = _with_drops(rows, similar=similar, min_families=min_families, family_share=family_share)
-    return found.mapInArrow(_strip(["doc_id", "text", "n_dropped"]), "doc_id bigint, text string, n_dropped bigint")
+    return _apply(rows, recurring(rows, similar, min_families, family_share), True)
 
 
 def clean_documents(docs: DataFrame) -> DataFrame:
     """All documents with all their columns, texts stripped as by strip_lines() and n_chars counted again."""
-    name = free_name(docs, "__dropped_lines")
-    out = _with_drops(docs, name).mapInArrow(_strip(docs.columns, name), docs.schema)
+    out = _apply(docs, recurring(docs), False)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -10,7 +10,8 @@ is THRESHOLD at least; a group is a connected component of matches.
    A list is sorted by set size; a probe leaves it at the first set too large for the threshold, and entries are
    skipped whose positions leave too few n-grams. Pairs left over whose one-permutation sketches agree in SIGMAS standard deviations less
    than a match would are skipped too; that can lose a match, with a chance below one in a million.
-3. Other pairs of different labels are verified on their whole sets, and the components of all matches are returned.
+3. Other pairs of different labels are verified on their whole sets: first one or two for each set, then those that these don't put in
+   one component, whose answer thus follows from others'. The components of all matches are returned.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .graph import components
-from .shared import partitions, save, small_batches, table, texts, without
+from .shared import discard, partitions, save, small_batches, table, texts, without
 
 N = 3
 THRESHOLD = 0.5
@@ -198,27 +199,29 @@ def candidates(grams, position, sizes, labels, threshold):
 
 def _reduce(threshold):
     def run(t: pa.Table) -> pa.Table:
-        cols = {k: [] for k in ("grams", "position", "n", "label", "doc_id", "set")}
-        sketch, before = [], 0
-        for r in t.to_pylist():
-            row = np.frombuffer(r["row"], np.uint16 if len(r["row"]) * 2 == len(r["grams"]) else np.uint32).astype(np.int64)
-            cols["grams"].append(np.frombuffer(r["grams"], np.uint32))
-            cols["position"].append(np.frombuffer(r["position"], np.uint16))
-            for k, kind in (("n", np.uint32), ("label", np.int64), ("doc_id", np.int64)):
-                cols[k].append(np.frombuffer(r[k], kind)[row])
-            packed = np.frombuffer(r["sketch"], np.uint8).reshape(-1, BINS // 2)
+        grams, position, sets, per_set, sketch, before = [], [], [], {"n": [], "label": [], "doc_id": []}, [], 0
+        kinds = {"n": np.uint32, "label": np.int64, "doc_id": np.int64}
+        for i in range(t.num_rows):
+            cell = lambda k: t.column(k)[i].as_buffer()  # noqa: B023, E731
+            grams.append(np.frombuffer(cell("grams"), np.uint32))
+            position.append(np.frombuffer(cell("position"), np.uint16))
+            row = np.frombuffer(cell("row"), np.uint16 if cell("row").size * 2 == cell("grams").size else np.uint32)
+            sets.append(row.astype(np.int32) + np.int32(before))
+            for k, kind in kinds.items():
+                per_set[k].append(np.frombuffer(cell(k), kind))
+            packed = np.frombuffer(cell("sketch"), np.uint8).reshape(-1, BINS // 2)
             sketch.append(np.concatenate([packed & 15, packed >> 4], 1))
-            cols["set"].append(row + before)
             before += len(packed)
-        sketch = np.concatenate(sketch)
-        c = {k: np.concatenate(v) for k, v in cols.items()}
+        grams, position, sets, sketch = (np.concatenate(x) for x in (grams, position, sets, sketch))
+        c = {k: np.concatenate(v) for k, v in per_set.items()}
         ids, seen, held = c["doc_id"], [np.zeros((0, 2), np.int64)], 0
-        for i, j in candidates(c["grams"], c["position"], c["n"], c["label"], threshold):
-            like = np.concatenate([alike(sketch[c["set"][i[k : k + 65536]]], sketch[c["set"][j[k : k + 65536]]], threshold) for k in range(0, len(i), 65536)])
+        for i, j in candidates(grams, position, c["n"][sets], c["label"][sets], threshold):
+            i, j = sets[i], sets[j]
+            like = np.concatenate([alike(sketch[i[k : k + 65536]], sketch[j[k : k + 65536]], threshold) for k in range(0, len(i), 65536)])
             i, j = i[like], j[like]
             seen.append(np.unique(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1), axis=0))
             held += len(seen[-1])
-            if held > 1 << 21:
+            if held > 1 << 20:
                 seen = [np.unique(np.concatenate(seen), axis=0)]
                 held = 0
         pairs = np.unique(np.concatenate(seen), axis=0)
@@ -255,28 +258,48 @@ def _verify(threshold):
     return run
 
 
-def labelled(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, label, n, grams) in the shared folder, and the verified matches of sets with different labels."""
+def _verified(pairs: DataFrame, own: DataFrame, threshold: float, scratch: list[str]) -> DataFrame:
+    """The pairs that match, from their whole sets. Sets whose doc_id can't be in a pair aren't moved."""
+    spark = pairs.sparkSession
+    slots = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).mapInArrow(_mark_ids, "bits binary").collect()  # half a megabyte each
+    wanted = spark.sparkContext.broadcast(np.bitwise_or.reduce([np.frombuffer(r["bits"], np.uint8) for r in slots] or [np.zeros((1 << IDS_LOG2) // 8, np.uint8)]))
+    known = own.select("doc_id", "grams").mapInArrow(lambda it: _wanted(it, wanted), "doc_id bigint, grams binary")
+    wide = pairs.join(known.select(F.col("doc_id").alias("a"), F.col("grams").alias("grams_a")), "a").join(known.select(F.col("doc_id").alias("b"), F.col("grams").alias("grams_b")), "b")
+    return save(wide.select("a", "b", "grams_a", "grams_b").mapInArrow(_verify(threshold), "a bigint, b bigint"), "matches", scratch)
+
+
+def matched(docs: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(node, root) of the components of all matches."""
     spark = docs.sparkSession
     small_batches(spark)
+    scratch: list[str] = []
     sets = texts(docs).mapInArrow(lambda it: _sets(it, n), "key bigint, doc_id bigint, n bigint, grams binary")
     sets = sets.repartition(partitions(spark), "key").sortWithinPartitions("key", "n", "doc_id")
-    sets = save(sets.mapInArrow(lambda it: _lead(it, threshold), "doc_id bigint, label bigint, n bigint, grams binary"), "sets")
+    sets = save(sets.mapInArrow(lambda it: _lead(it, threshold), "doc_id bigint, label bigint, n bigint, grams binary"), "sets", scratch)
     own = sets.where("grams IS NOT NULL")
     summed = own.select("grams").mapInArrow(_sketch, "block int, counts binary").groupBy("block").applyInArrow(_sum_sketch, "block int, counts binary").collect()
     order = np.zeros((BLOCKS, (1 << SKETCH_LOG2) // BLOCKS), np.uint8)
     for r in summed:  # BLOCKS rows, whatever the input
         order[r["block"]] = np.frombuffer(r["counts"], np.uint8)
     shared = spark.sparkContext.broadcast(order.reshape(-1))
-    parts = max(8, partitions(spark) // 3)
+    parts = max(8, partitions(spark) // 2)
     fields = ", ".join(f"{k} binary" for k in ("grams", "row", "position", "doc_id", "label", "n", "sketch"))
     entries = own.select("doc_id", "label", "grams").mapInArrow(lambda it: _entries(it, threshold, shared.value, parts), f"part int, {fields}")
-    pairs = save(entries.groupBy("part").applyInArrow(_reduce(threshold), "a bigint, b bigint").distinct(), "pairs")
-    slots = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).mapInArrow(_mark_ids, "bits binary").collect()
-    wanted = spark.sparkContext.broadcast(np.bitwise_or.reduce([np.frombuffer(r["bits"], np.uint8) for r in slots] or [np.zeros((1 << IDS_LOG2) // 8, np.uint8)]))
-    known = own.select("doc_id", "grams").mapInArrow(lambda it: _wanted(it, wanted), "doc_id bigint, grams binary")
-    wide = pairs.join(known.select(F.col("doc_id").alias("a"), F.col("grams").alias("grams_a")), "a").join(known.select(F.col("doc_id").alias("b"), F.col("grams").alias("grams_b")), "b")
-    return sets, save(wide.select("a", "b", "grams_a", "grams_b").mapInArrow(_verify(threshold), "a bigint, b bigint"), "matches")
+    pairs = save(entries.groupBy("part").applyInArrow(_reduce(threshold), "a bigint, b bigint").distinct(), "pairs", scratch)
+    # each set's first partner comes first; pairs that this puts in one component have their answer, and the rest are verified
+    chosen = save(pairs.groupBy("a").agg(F.min("b").alias("b")).unionByName(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")).distinct(), "chosen", scratch)
+    edges = sets.where("doc_id <> label").select(F.col("doc_id").alias("a"), F.col("label").alias("b")).unionByName(_verified(chosen, own, threshold, scratch))
+    found = save(components(edges, "groups"), "found", scratch)
+    of = lambda c: found.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    left = pairs.join(chosen, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    left = save(left.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "left", scratch)
+    if not left.isEmpty():
+        more = _verified(left, own, threshold, scratch)
+        if not more.isEmpty():
+            found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "groups")
+    found = save(found, "roots")
+    discard(spark, scratch)
+    return found
 
 
 def groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
@@ -284,16 +307,13 @@ def groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFra
 
     Documents of fewer than n words and rows without doc_id or text match nothing; rows that repeat a doc_id count as one document,
     which has the matches of all its rows; ties need no rule; other columns are ignored; an empty table gives no group."""
-    sets, matches = labelled(docs, n, threshold)
-    edges = sets.where("doc_id <> label").select(F.col("doc_id").alias("a"), F.col("label").alias("b")).unionByName(matches)
-    found = components(edges, "groups")
+    found = matched(docs, n, threshold)
     return found.groupBy(F.col("root").alias("keep_id")).agg(F.sort_array(F.collect_list("node")).alias("doc_ids")).withColumn("n_docs", F.size("doc_ids").cast("bigint"))
 
 
 def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """The documents without those of a group other than its keep_id; rows without doc_id stay."""
-    gone = groups(docs, n, threshold).select(F.explode("doc_ids").alias("doc_id"), "keep_id").where("doc_id <> keep_id").select("doc_id")
-    return without(docs, gone)
+    return without(docs, matched(docs, n, threshold).where("node <> root").select("node"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,13 +29,27 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/lexigrid/{label}-{uuid.uuid4().hex}"
 
 
-def save(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage with a table in the shared folder: it outlives any executor."""
+#: Rows of ids or hashes up to which they are broadcast (8 bytes each); beyond it, tables are joined by a shuffle.
+BROADCAST_ROWS = 4_000_000
+
+
+def save(df: DataFrame, label: str, scratch: list[str] | None = None) -> DataFrame:
+    """Cut the lineage with a table in the shared folder: it outlives any executor. ``scratch`` gets its path, for discard()."""
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
+    if scratch is not None:
+        scratch.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, scratch: list[str]) -> None:
+    """Delete tables that nothing will read again: what was made of them has been saved."""
+    for at in scratch:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    scratch.clear()
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of texts small enough for a worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -61,9 +75,13 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id isn't in the one column of ids; a null doc_id never is."""
+    """The rows of docs whose doc_id isn't in the one column of ids, a saved table; a null doc_id never is.
+
+    Up to BROADCAST_ROWS ids are broadcast, so that the documents stay where they are."""
     name = free_name(docs, "__gone")
-    return docs.join(ids.toDF(name), F.col("doc_id") == F.col(name), "left_anti")
+    ids = ids.toDF(name)
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    return docs.join(ids, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def partitions(spark: SparkSession) -> int:

@@ -17,6 +17,9 @@ INVERSE = pow(BASE, -1, 1 << 64)
 NOT_WORD = r"[^\p{L}\p{N}]+"
 CHUNK = 1 << 18
 
+# workers live on between tasks: freed batches go back to the system
+pa.set_memory_pool(pa.system_memory_pool())
+
 _powers: list[np.ndarray] = []
 
 

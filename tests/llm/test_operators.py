@@ -331,3 +331,15 @@ def test_damaged_record_is_an_error():
 
     with pytest.raises(ValueError):
         archive.parse_record(gzip.decompress(raw)[:-8])
+
+
+def test_line_templates_joined(spark, monkeypatch):
+    """Beyond the bound on what is broadcast, the same result by joins."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    rows = [(i, "\n".join([" ".join(rng.choice(vocabulary) for _ in range(9)), "terms of use apply to this page", "" if i % 2 else "more words"])) for i in range(20)]
+    docs = make(spark, [*rows, (None, rows[0][1]), (30, None)])
+    want = sorted(map(repr, line_templates.strip_lines(docs).collect()))
+    monkeypatch.setattr(line_templates, "BROADCAST_ROWS", 0)
+    assert sorted(map(repr, line_templates.strip_lines(docs).collect())) == want
+    assert sum("n_dropped=1" in r for r in want) == 20
