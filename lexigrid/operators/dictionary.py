@@ -67,8 +67,8 @@ def main_of(tokens: DataFrame, types: DataFrame) -> DataFrame:
     return tokens.join(types.select(*key, F.col("id").alias("united")), key).select("id", "united", "sentence", "source", "pos")
 
 
-def build(tokens: DataFrame, sources: DataFrame) -> Star:
-    types = types_of(tokens)
+def build(tokens: DataFrame, sources: DataFrame, types: DataFrame | None = None) -> Star:
+    types = types_of(tokens) if types is None else types
     lex = {c: lexicon(tokens, c) for c in ("word_case", "word", "lemma")}
     tags = lexicon(tokens, "tags", "combinations")
     united = united_of(types, lex["word_case"], lex["word"], lex["lemma"], tags)

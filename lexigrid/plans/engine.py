@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrid.operators import ngrams, paging, render
-from lexigrid.operators.dictionary import Star, build
+from lexigrid.operators.dictionary import Star, build, types_of
 from lexigrid.operators.segments import without_punctuation
 from lexigrid.operators.sequence import tuples
 from lexigrid.plans.query import CorpusQuery
 from lexigrid.sources import plain
+from lexigrid.sources.shared import stored
 
 VERSION = "1.0"
 
@@ -28,11 +29,12 @@ class Corpus:
     @classmethod
     def from_documents(cls, docs: DataFrame) -> Corpus:
         spark = docs.sparkSession
-        found = plain.sentences(plain.lines(docs, int(spark.conf.get("spark.sql.shuffle.partitions"))).persist())
-        token_rows = plain.tokens(found).persist()
-        star = build(token_rows, plain.sources(docs))
-        star.types = star.types.persist()
-        star.main = star.main.repartition("sentence").persist()
+        found = stored(plain.lines(docs, int(spark.conf.get("spark.sql.shuffle.partitions"))), "lines")
+        token_rows = stored(plain.tokens(plain.sentences(found)), "tokens")
+        types = stored(types_of(token_rows), "types").persist()
+        star = build(token_rows, plain.sources(docs), types)
+        # facts that lie together by sentence: matches, windows and rendering of a sentence need no further exchange
+        star.main = stored(star.main, "main").repartition("sentence").persist()
         return cls(star, token_rows)
 
     def tuples(self, query: CorpusQuery) -> DataFrame:
@@ -75,7 +77,7 @@ class Corpus:
             if not punctuation:
                 segments = without_punctuation(self.tokens).select("id", "segment")
                 rows = rows.join(segments, "id")
-            self.cached[punctuation] = ngrams.ranked(ngrams.counts(rows)).persist()
+            self.cached[punctuation] = stored(ngrams.ranked(stored(ngrams.counts(rows), "grams")), "nodes").persist()
         return self.cached[punctuation]
 
     def search_ngrams(self, query: CorpusQuery, punctuation: bool = True, compat: bool = False) -> DataFrame:
