@@ -6,12 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexigrid.operators import ngrams, paging, render, sequence
-from lexigrid.operators.dictionary import SOURCE_FIELDS, build, longest
+from lexigrid.operators.dictionary import SOURCE_FIELDS, build, longest, types_of
 from lexigrid.operators.predicates import matching_sources
 from lexigrid.operators.segments import without_punctuation
 from lexigrid.plans.engine import Corpus
 from lexigrid.plans.query import CorpusQuery, Slot
 from lexigrid.sources import plain, tables, tagged
+from lexigrid.sources.shared import stored
 
 ROWS = """Мин|мин|мин|<nom>,<p1>,<prn>,<sg>
 китап|китап|китап|<n>,<nom>,<sg>
@@ -43,7 +44,10 @@ def corpus(spark):
         rows.append((i, s, before[s], 0 if s < 2 else 1, *line.split("|")))
     tokens = spark.createDataFrame(rows, "id bigint, sentence bigint, pos bigint, source bigint, word_case string, word string, lemma string, tags string").persist()
     sources = spark.createDataFrame([(i, *[a if c == "author" else "" for c in SOURCE_FIELDS]) for i, a in enumerate(("Г. Тукай", "Ф. Әмирхан"))], "id bigint, " + ", ".join(f"{c} string" for c in SOURCE_FIELDS))
-    return Corpus(build(tokens, sources), tokens)
+    tokens = stored(tokens, "tokens")
+    star = build(tokens, sources, stored(types_of(tokens), "types"))
+    star.main = stored(star.main, "main")
+    return Corpus(star, tokens)
 
 
 def answer(corpus, query):
