@@ -3,7 +3,7 @@
 A document is the set of its runs of N words, hashed to 32 bits. Two documents match if the Jaccard similarity of their sets
 is THRESHOLD at least; a group is a connected component of matches.
 
-1. Set relations: documents are brought together by a minhash. Equal sets collapse, and a set that matches a recent set (its
+1. Set relations: documents are brought together by a minhash and a size class. Equal sets collapse, and a set that matches a recent set (its
    leader) takes the leader's label: what the leader is joined to holds for it, so pairs within a label are never looked at again.
 2. Index lists: each set's prefix, its rarest n-grams in one global order, goes to inverted lists. The order comes from a count
    sketch of all n-grams, of a fixed size; any order gives the same result, and this one keeps lists short.
@@ -64,7 +64,9 @@ def _sets(batches, n):
         if not len(some):
             continue
         least_hash = np.minimum.reduceat(tk.mix(grams.astype(np.uint64), 5), bounds[some])
-        yield pa.RecordBatch.from_arrays([pa.array(least_hash.view(np.int64)), b.column("doc_id").take(pa.array(some)), pa.array(sizes[some].astype(np.int64)), pa.array([grams[bounds[i] : bounds[i + 1]].tobytes() for i in some], pa.binary())], ["key", "doc_id", "n", "grams"])
+        # copies have about the same size: with it in the key, documents that merely share a frequent n-gram spread over many keys
+        key = tk.mix(least_hash + np.floor(np.log(sizes[some]) / np.log(1.5)).astype(np.uint64), 6)
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column("doc_id").take(pa.array(some)), pa.array(sizes[some].astype(np.int64)), pa.array([grams[bounds[i] : bounds[i + 1]].tobytes() for i in some], pa.binary())], ["key", "doc_id", "n", "grams"])
 
 
 def _lead(batches, threshold):
@@ -214,18 +216,24 @@ def _reduce(threshold):
             before += len(packed)
         grams, position, sets, sketch = (np.concatenate(x) for x in (grams, position, sets, sketch))
         c = {k: np.concatenate(v) for k, v in per_set.items()}
-        ids, seen, held = c["doc_id"], [np.zeros((0, 2), np.int64)], 0
-        for i, j in candidates(grams, position, c["n"][sets], c["label"][sets], threshold):
-            i, j = sets[i], sets[j]
-            like = np.concatenate([alike(sketch[i[k : k + 65536]], sketch[j[k : k + 65536]], threshold) for k in range(0, len(i), 65536)])
-            i, j = i[like], j[like]
-            seen.append(np.unique(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1), axis=0))
-            held += len(seen[-1])
-            if held > 1 << 20:
-                seen = [np.unique(np.concatenate(seen), axis=0)]
-                held = 0
-        pairs = np.unique(np.concatenate(seen), axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+        # a quarter of the n-grams at a time; a pair is one number, of two places in the list of sets
+        seen, held = [np.zeros(0, np.uint64)], 0
+        for quarter in range(4):
+            own = np.flatnonzero((grams & np.uint32(3)) == quarter)
+            part = sets[own]
+            for i, j in candidates(grams[own], position[own], c["n"][part], c["label"][part], threshold):
+                for k in range(0, len(i), 1 << 17):
+                    x, y = part[i[k : k + (1 << 17)]], part[j[k : k + (1 << 17)]]
+                    keys = np.unique((np.minimum(x, y).astype(np.uint64) << np.uint64(32)) | np.maximum(x, y).astype(np.uint64))
+                    x, y = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                    seen.append(keys[alike(sketch[x], sketch[y], threshold)])
+                    held += len(seen[-1])
+                    if held > 1 << 20:
+                        seen = [np.unique(np.concatenate(seen))]
+                        held = 0
+        keys = np.unique(np.concatenate(seen))
+        x, y = (c["doc_id"][(k).astype(np.int64)] for k in (keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)))
+        return pa.table({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
 
     return run
 
