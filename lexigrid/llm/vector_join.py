@@ -1,11 +1,13 @@
 """Operator 5, embedding near-dedup by an exact metric range join.
 
-Vectors are scaled to length one; a pair matches if its cosine is COSINE at least, that is, if its distance is RANGE at most. PIVOTS pivots,
-picked by a hash, part the space: a vector lives in its nearest pivot's cell. If y lives in cell j and a vector within RANGE lives in
+Vectors are scaled to length one; a pair matches if its cosine is COSINE at least, that is, if its distance is RANGE at most. Pivots, picked by
+a hash, part the space: a vector lives in its nearest pivot's cell. If y lives in cell j and a vector within RANGE lives in
 cell i, then d(y, pivot i) - d(y, pivot j) <= 2 RANGE by the triangle inequality, so y is copied to just those cells, and only to cells
-of a smaller number, as the pair is then found in the smaller of its two cells. Cells join independently and no pair is found twice.
+of a smaller number, as the pair is then found in the smaller of its two cells. Of those cells, only the ones are kept whose bordering plane
+(of points as far from one pivot as from the other) is within RANGE of y. Cells join independently and no pair is found twice.
 
-The number of pivots grows with the square root of the table, and the pivots are read from a written table: they are the only thing broadcast.
+Vectors without clusters lie near most borders: then most cells of a smaller number get a copy, and the work is that of comparing all pairs, in
+independent parts. Only the pivots, MOST_PIVOTS at most, are broadcast.
 """
 
 from __future__ import annotations
@@ -44,7 +46,9 @@ def _assign(batches, pivots, span):
         d = np.sqrt(np.maximum(2 - 2 * x @ p.T, 0))
         cell = d.argmin(1)
         near = d[np.arange(len(x)), cell]
-        rows, cells = np.nonzero((d - near[:, None] <= 2 * span + 1e-9) & (np.arange(len(p)) < cell[:, None]))
+        apart = np.sqrt(np.maximum(2 - 2 * p[cell] @ p.T, 0))
+        close = (d - near[:, None] <= 2 * span + 1e-9) & (d**2 - near[:, None] ** 2 <= 2 * span * apart + 1e-9)
+        rows, cells = np.nonzero(close & (np.arange(len(p)) < cell[:, None]))
         rows, cells = np.r_[np.arange(len(x)), rows], np.r_[cell, cells]
         own = np.r_[np.ones(len(x), bool), np.zeros(len(rows) - len(x), bool)]
         for at in range(0, len(rows), 4096):
@@ -91,7 +95,7 @@ def near_pairs(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         return spark.createDataFrame([], "vec_a bigint, vec_b bigint, cosine double")
     k, n = max(((r["k"], r["n"]) for r in sizes), key=lambda x: (x[1], -x[0]))
     sound = sound.where(F.size("vector") == k)
-    count = min(MOST_PIVOTS, max(LEAST_PIVOTS, math.ceil(math.sqrt(n)), math.ceil(n / CELL)))
+    count = min(MOST_PIVOTS, max(LEAST_PIVOTS, math.ceil(n / CELL)))
     picked = sound.orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id").limit(count).select("vector").toArrow()
     pivots = spark.sparkContext.broadcast(_unit(picked.column("vector").combine_chunks()))
     span = math.sqrt(max(2 - 2 * cosine, 0))
