@@ -290,7 +290,7 @@ def matched(docs: DataFrame, n: int, threshold: float) -> DataFrame:
     for r in summed:  # BLOCKS rows, whatever the input
         order[r["block"]] = np.frombuffer(r["counts"], np.uint8)
     shared = spark.sparkContext.broadcast(order.reshape(-1))
-    parts = max(8, partitions(spark) // 2)
+    parts = max(8, partitions(spark) * 2 // 3)
     fields = ", ".join(f"{k} binary" for k in ("grams", "row", "position", "doc_id", "label", "n", "sketch"))
     entries = own.select("doc_id", "label", "grams").mapInArrow(lambda it: _entries(it, threshold, shared.value, parts), f"part int, {fields}")
     pairs = save(entries.groupBy("part").applyInArrow(_reduce(threshold), "a bigint, b bigint").distinct(), "pairs", scratch)

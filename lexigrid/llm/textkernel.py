@@ -6,6 +6,8 @@ polynomial terms, so no Python code runs per word.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +19,13 @@ INVERSE = pow(BASE, -1, 1 << 64)
 NOT_WORD = r"[^\p{L}\p{N}]+"
 CHUNK = 1 << 18
 
-# workers live on between tasks: freed batches go back to the system
+# workers live on between tasks: freed batches and large arrays go back to the system
 pa.set_memory_pool(pa.system_memory_pool())
+if sys.platform == "linux":
+    _libc = ctypes.CDLL(None)
+    if hasattr(_libc, "mallopt"):
+        _libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD: fixed, else it grows with what is freed
+        _libc.mallopt(-1, 8 << 20)  # M_TRIM_THRESHOLD
 
 _powers: list[np.ndarray] = []
 
