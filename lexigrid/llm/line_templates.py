@@ -5,9 +5,10 @@ number of tokens, then the DEPTH leading tokens, then a leaf. In a leaf, a line
 tokens, SIMILAR at least; where they differ the template gets a variable field) or founds one; lines come in descending
 number of documents, so the result doesn't depend on partitions.
 
-A template recurs if it is found in MIN_FAMILIES families of documents and the families are at least FAMILY_SHARE of its documents.
-A family holds documents with the same minhash of tokens, so that copies of a document, which the near-duplicate join
-removes as a whole, don't make its lines boilerplate. All lines of recurring templates are dropped.
+A template recurs if it is found in MIN_FAMILIES families of documents, however many documents have it. A family holds copies of a document,
+which the near-duplicate join removes as a whole, so that they don't make its lines boilerplate. Documents are compared without the line at
+hand, by minhashes of the word trigrams of their other lines, one in each of BUCKETS ranges: in ascending doc_id, a document that
+shares less than ALIKE with the first document of each family so far founds one. All lines of recurring templates are dropped.
 
 Only leaves with two different lines and MIN_FAMILIES documents need their tokens: a fixed-size table of leaf counts keeps most
 others from being moved, and a join on the leaf drops the rest.
@@ -28,7 +29,10 @@ from .shared import BROADCAST_ROWS, discard, free_name, partitions, save, small_
 DEPTH = 4
 SIMILAR = 0.8
 MIN_FAMILIES = 5
-FAMILY_SHARE = 0.5
+#: Half of the near-duplicate join's threshold: two copies that each match a third document share about as much.
+ALIKE = 0.25
+BUCKETS = 16
+NONE = np.uint32(0xFFFFFFFF)
 #: Shorter lines, and lines with fewer fixed tokens, recur by chance and are never dropped.
 MIN_TOKENS = 4
 MIN_FIXED = 2
@@ -57,6 +61,7 @@ class Lines:
         sums = np.r_[np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n])]
         tokens = tk.mix((sums[token_ends] - sums[token_starts]) * down[token_starts]) >> np.uint64(32)
         digits = np.r_[0, np.cumsum((data >= 48) & (data <= 57))]
+        self.words = tokens
         self.tokens = np.where(digits[token_ends] > digits[token_starts], WILD, np.minimum(tokens, WILD - np.uint64(1)))
         self.first = np.searchsorted(token_starts, self.starts)
         self.counts = np.searchsorted(token_starts, self.ends) - self.first
@@ -68,28 +73,52 @@ class Lines:
         for i in range(DEPTH):
             leaf = tk.mix(leaf + np.where(self.counts > i, padded[self.first + i], np.uint64(0)), i)
         self.leaves = leaf.view(np.int64)
-        self.token_rows = self.rows[np.searchsorted(self.starts, token_starts, side="right") - 1] if k else np.zeros(0, np.int64)
 
-    def families(self, n_rows: int) -> np.ndarray:
-        """Minhash of each row's tokens, 0 for a row without."""
-        out = np.zeros(n_rows, np.uint64)
-        if len(self.tokens):
-            begins = np.flatnonzero(np.r_[True, self.token_rows[1:] != self.token_rows[:-1]])
-            out[self.token_rows[begins]] = np.minimum.reduceat(tk.mix(self.tokens, 7), begins)
-        return out.view(np.int64)
+    def different(self) -> tuple[np.ndarray, np.ndarray]:
+        """One line for each different one of a row, by row, and the number among these of each line; -1 for lines without tokens."""
+        some = np.flatnonzero(self.counts)
+        order = some[np.lexsort((self.hashes[some], self.rows[some]))]
+        keep = np.r_[True, (self.hashes[order][1:] != self.hashes[order][:-1]) | (self.rows[order][1:] != self.rows[order][:-1])][: len(order)]
+        numbers = np.full(len(self.counts), -1)
+        numbers[order] = np.cumsum(keep) - 1
+        return order[keep], numbers
+
+    def others(self, lines: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        """For each of different(): minhashes by bucket of the word trigrams in the row's other lines, NONE for a bucket without.
+        A shorter line is one gram."""
+        counts = np.where(self.counts > 2, self.counts - 2, np.minimum(self.counts, 1))
+        own = np.repeat(np.arange(len(counts)), counts)
+        at = self.first[own] + np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)
+        padded = np.r_[self.words, np.zeros(2, np.uint64)]
+        grams = tk.mix(padded[at], 7)
+        for i in (1, 2):
+            grams = tk.mix(grams + np.where(self.counts[own] > i, padded[at + i], np.uint64(0)), 7 + i)
+        least = np.full(len(lines) * BUCKETS, NONE)
+        np.minimum.at(least, numbers[own] * BUCKETS + (grams % np.uint64(BUCKETS)).astype(np.int64), np.minimum(grams >> np.uint64(32), NONE - np.uint32(1)).astype(np.uint32))
+        least = least.reshape(-1, BUCKETS)
+        if not len(lines):
+            return least
+        rows = self.rows[lines]
+        new = np.r_[True, rows[1:] != rows[:-1]]
+        begins, row = np.flatnonzero(new), np.cumsum(new) - 1
+        first = np.minimum.reduceat(least, begins)
+        is_first = least == first[row]
+        only = np.add.reduceat(is_first, begins, dtype=np.int64) == 1
+        second = np.minimum.reduceat(np.where(is_first, NONE, least), begins)
+        return np.where(is_first & only[row], second[row], first[row])
 
 
 def _lines(batches):
-    """leaf, line and family of each different line of a row."""
+    """leaf, line, document and minhashes of the document's other lines, of each different line of a row."""
     for b in tk.slices(batches):
         x = Lines(b.column("text"))
         fixed = np.r_[0, np.cumsum(x.tokens != WILD)]
-        some = np.flatnonzero((x.counts >= MIN_TOKENS) & (fixed[x.first + x.counts] - fixed[x.first] >= MIN_FIXED))
-        order = some[np.lexsort((x.hashes[some], x.rows[some]))]
-        keep = np.r_[True, (x.hashes[order][1:] != x.hashes[order][:-1]) | (x.rows[order][1:] != x.rows[order][:-1])][: len(order)]
-        order = order[keep]
-        family = x.families(b.num_rows)[x.rows[order]]
-        yield pa.RecordBatch.from_arrays([pa.array(x.leaves[order]), pa.array(x.hashes[order]), pa.array(family)], ["leaf", "line", "family"])
+        order, numbers = x.different()
+        others = x.others(order, numbers)
+        some = (x.counts[order] >= MIN_TOKENS) & (fixed[x.first[order] + x.counts[order]] - fixed[x.first[order]] >= MIN_FIXED)
+        order, others = order[some], others[some]
+        packed = pa.Array.from_buffers(pa.binary(), len(order), [None, pa.py_buffer((np.arange(len(order) + 1) * 4 * BUCKETS).astype(np.int32)), pa.py_buffer(others.tobytes())])
+        yield pa.RecordBatch.from_arrays([pa.array(x.leaves[order]), pa.array(x.hashes[order]), b.column("doc_id").take(pa.array(x.rows[order])), packed], ["leaf", "line", "doc", "others"])
 
 
 def _slot(leaves: np.ndarray) -> np.ndarray:
@@ -169,15 +198,47 @@ def _grow(batches, similar):
         yield pa.RecordBatch.from_arrays([pa.array(lines, pa.int64()), pa.array(templates, pa.int64())], ["line", "template"])
 
 
-def recurring(docs: DataFrame, similar: float = SIMILAR, min_families: int = MIN_FAMILIES, family_share: float = FAMILY_SHARE) -> DataFrame:
+def _alike(others: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Which rows of minhashes share ALIKE with one at least; documents without other lines are alike."""
+    return ((others == one) & (one != NONE)).sum(1) >= ALIKE * ((others != NONE) | (one != NONE)).sum(1)
+
+
+def _recurring(batches):
+    """Rows sorted by template and document -> the templates found in as many families as they need."""
+    template, doc, families = None, None, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        found = []
+        names, docs, needs = (b.column(c).to_numpy(zero_copy_only=False) for c in ("template", "doc", "need"))
+        others = np.frombuffer(b"".join(b.column("others").to_pylist()), np.uint32).reshape(-1, BUCKETS)
+        cuts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
+        for start, end in zip(cuts, np.r_[cuts[1:], len(names)]):
+            if names[start] != template:
+                template, doc, families = names[start], None, []
+            need = needs[start]
+            if len(families) < need:
+                # a document may have several lines of a template
+                rest = others[start:end][np.r_[docs[start] != doc, docs[start + 1 : end] != docs[start : end - 1]]]
+                for one in families:
+                    rest = rest[~_alike(rest, one)]
+                while len(rest) and len(families) < need:
+                    families.append(rest[0])
+                    rest = rest[~_alike(rest, rest[0])]
+                if len(families) >= need:
+                    found.append(template)
+            doc = docs[end - 1]
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["template"])
+
+
+def recurring(docs: DataFrame, similar: float = SIMILAR, min_families: int = MIN_FAMILIES) -> DataFrame:
     """The lines to drop, as a saved table of the hashes of their tokens."""
     spark = docs.sparkSession
     scratch: list[str] = []
     small_batches(spark)
     rows = texts(docs)
-    occurrences = save(rows.mapInArrow(_lines, "leaf bigint, line bigint, family bigint"), "lines", scratch)
-    counted = occurrences.groupBy("leaf", "line", "family").agg(F.count("*").alias("docs"))
-    lines = save(counted.groupBy("leaf", "line").agg(F.sum("docs").alias("docs")), "leaves", scratch)
+    occurrences = save(rows.mapInArrow(_lines, "leaf bigint, line bigint, doc bigint, others binary"), "lines", scratch)
+    lines = save(occurrences.groupBy("leaf", "line").agg(F.count("*").alias("docs")), "leaves", scratch)
     leaves = lines.groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("docs").alias("leaf_docs")).where((F.col("lines") > 1) & (F.col("leaf_docs") >= min_families)).select("leaf")
     bits = bytearray((1 << LEAF_LOG2) // 8)
     size = len(bits) // BLOCKS
@@ -188,9 +249,13 @@ def recurring(docs: DataFrame, similar: float = SIMILAR, min_families: int = MIN
     grown = tokens.join(lines.join(leaves, "leaf", "left_semi"), ["leaf", "line"]).repartition(partitions(spark), "leaf").sortWithinPartitions("leaf", F.desc("docs"), "line")
     templates = grown.select("leaf", "line", "tokens").mapInArrow(lambda it: _grow(it, similar), "line bigint, template bigint")
     named = save(templates, "templates", scratch)
-    # a document may have several lines of a template: its family counts the most frequent of them
-    per_family = counted.join(named, "line", "left").groupBy(F.coalesce("template", "line").alias("template"), "family").agg(F.max("docs").alias("docs"))
-    found = per_family.groupBy("template").agg(F.count("*").alias("families"), F.sum("docs").alias("docs")).where((F.col("families") >= min_families) & (F.col("families") >= family_share * F.col("docs"))).select("template")
+    of = lines.join(named, "line", "left").select("line", "docs", F.coalesce("template", "line").alias("template"))
+    enough = of.groupBy("template").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_families).select("template", F.lit(min_families).cast("bigint").alias("need"))
+    wanted = save(of.select("line", "template").join(enough, "template"), "wanted", scratch)
+    # few lines are in several documents: broadcast, they leave the others where they are
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS // 4 else wanted
+    rows = occurrences.select("line", "doc", "others").join(wanted, "line").repartition(partitions(spark), "template").sortWithinPartitions("template", "doc", "line", "others")
+    found = rows.select("template", "doc", "need", "others").mapInArrow(_recurring, "template bigint")
     found = save(found, "recurring", scratch)
     drop = found.select(F.col("template").alias("line")).unionByName(named.join(found, "template", "left_semi").select("line"))
     drop = save(drop.distinct(), "dropped")
@@ -266,13 +331,13 @@ def _doc_lines(batches):
         yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(x.rows)), pa.array(x.hashes)], ["doc_id", "line"])
 
 
-def strip_lines(docs: DataFrame, similar: float = SIMILAR, min_families: int = MIN_FAMILIES, family_share: float = FAMILY_SHARE) -> DataFrame:
+def strip_lines(docs: DataFrame, similar: float = SIMILAR, min_families: int = MIN_FAMILIES) -> DataFrame:
     """doc_id, text without the lines of recurring templates, n_dropped, for every row.
 
     Null texts stay null, and empty lines and rows without doc_id stay as they are; equal similarity goes to the older template; a row
     that repeats counts again as a document of the same family; other columns are ignored; an empty table gives an empty one."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _apply(rows, recurring(rows, similar, min_families, family_share), True)
+    return _apply(rows, recurring(rows, similar, min_families), True)
 
 
 def clean_documents(docs: DataFrame) -> DataFrame:

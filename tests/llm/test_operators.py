@@ -343,3 +343,17 @@ def test_line_templates_joined(spark, monkeypatch):
     monkeypatch.setattr(line_templates, "BROADCAST_ROWS", 0)
     assert sorted(map(repr, line_templates.strip_lines(docs).collect())) == want
     assert sum("n_dropped=1" in r for r in want) == 20
+
+
+def test_line_templates_of_few_words(spark):
+    """Documents that share their words, not their trigrams, are families of their own; near copies of one are one family."""
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(40)]
+    prose = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    rows = [(i, "\n".join([prose(20), prose(20), "all of these rights are reserved"])) for i in range(200)]
+    base = [prose(12) for _ in range(12)]
+    for i in range(60):
+        rows.append((300 + i, "\n".join(base[:9] + [prose(12) if j % 3 == i % 3 else base[9 + j] for j in range(3)])))
+    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in line_templates.strip_lines(make(spark, rows)).collect()}
+    for i, t in rows:
+        assert got[i] == ((t.rpartition("\n")[0], 1) if i < 300 else (t, 0)), i
