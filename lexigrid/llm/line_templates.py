@@ -9,6 +9,7 @@ A template recurs if it is found in MIN_FAMILIES families of documents, however
 which the near-duplicate join removes as a whole, so that they don't make its lines boilerplate. Documents are compared without the line at
 hand, by minhashes of the word trigrams of their other lines, one in each of BUCKETS ranges: in ascending doc_id, a document that
 shares less than ALIKE with the first document of each family so far founds one. All lines of recurring templates are dropped.
+Lines of every length take part; short ones need more families, and one of variable fields alone recurs as it is.
 
 Only leaves with two different lines and MIN_FAMILIES documents need their tokens: a fixed-size table of leaf counts keeps most
 others from being moved, and a join on the leaf drops the rest.
@@ -32,8 +33,8 @@ MIN_FAMILIES = 5
 #: Half of the near-duplicate join's threshold: two copies that each match a third document share about as much.
 ALIKE = 0.25
 BUCKETS = 16
-NONE = np.uint32(0xFFFFFFFF)
-#: Shorter lines, and lines with fewer fixed tokens, recur by chance and are never dropped.
+NONE = np.uint16(0xFFFF)
+#: Shorter lines, and lines with fewer fixed tokens, recur by chance sooner: each token that is missing doubles the families that they need.
 MIN_TOKENS = 4
 MIN_FIXED = 2
 WILD = np.uint64(0xFFFFFFFF)
@@ -66,10 +67,15 @@ class Lines:
         self.first = np.searchsorted(token_starts, self.starts)
         self.counts = np.searchsorted(token_starts, self.ends) - self.first
         k = len(self.tokens)
-        sums = np.r_[np.uint64(0), np.cumsum((self.tokens + np.uint64(1)) * up[:k])]
+        before = np.r_[0, np.cumsum(self.tokens != WILD)]
+        self.fixed = before[self.first + self.counts] - before[self.first]
+        # nothing of a line of variable fields alone would recur: its tokens count as they are
+        plain = np.repeat(self.fixed == 0, self.counts)
+        self.keys = np.where(plain, np.minimum(tokens, WILD - np.uint64(1)), self.tokens)
+        sums = np.r_[np.uint64(0), np.cumsum((self.keys + np.uint64(1)) * up[:k])]
         self.hashes = tk.mix((sums[self.first + self.counts] - sums[self.first]) * down[self.first] + self.counts.astype(np.uint64), 1).view(np.int64)
         leaf = self.counts.astype(np.uint64)
-        padded = np.r_[self.tokens, np.zeros(DEPTH, np.uint64)]
+        padded = np.r_[self.keys, np.zeros(DEPTH, np.uint64)]
         for i in range(DEPTH):
             leaf = tk.mix(leaf + np.where(self.counts > i, padded[self.first + i], np.uint64(0)), i)
         self.leaves = leaf.view(np.int64)
@@ -94,7 +100,7 @@ class Lines:
         for i in (1, 2):
             grams = tk.mix(grams + np.where(self.counts[own] > i, padded[at + i], np.uint64(0)), 7 + i)
         least = np.full(len(lines) * BUCKETS, NONE)
-        np.minimum.at(least, numbers[own] * BUCKETS + (grams % np.uint64(BUCKETS)).astype(np.int64), np.minimum(grams >> np.uint64(32), NONE - np.uint32(1)).astype(np.uint32))
+        np.minimum.at(least, numbers[own] * BUCKETS + (grams % np.uint64(BUCKETS)).astype(np.int64), np.minimum(grams >> np.uint64(48), NONE - np.uint16(1)).astype(np.uint16))
         least = least.reshape(-1, BUCKETS)
         if not len(lines):
             return least
@@ -112,13 +118,11 @@ def _lines(batches):
     """leaf, line, document and minhashes of the document's other lines, of each different line of a row."""
     for b in tk.slices(batches):
         x = Lines(b.column("text"))
-        fixed = np.r_[0, np.cumsum(x.tokens != WILD)]
         order, numbers = x.different()
         others = x.others(order, numbers)
-        some = (x.counts[order] >= MIN_TOKENS) & (fixed[x.first[order] + x.counts[order]] - fixed[x.first[order]] >= MIN_FIXED)
-        order, others = order[some], others[some]
-        packed = pa.Array.from_buffers(pa.binary(), len(order), [None, pa.py_buffer((np.arange(len(order) + 1) * 4 * BUCKETS).astype(np.int32)), pa.py_buffer(others.tobytes())])
-        yield pa.RecordBatch.from_arrays([pa.array(x.leaves[order]), pa.array(x.hashes[order]), b.column("doc_id").take(pa.array(x.rows[order])), packed], ["leaf", "line", "doc", "others"])
+        doublings = np.maximum(np.maximum(MIN_TOKENS - x.counts[order], MIN_FIXED - x.fixed[order]), 0)
+        packed = pa.Array.from_buffers(pa.binary(), len(order), [None, pa.py_buffer((np.arange(len(order) + 1) * 2 * BUCKETS).astype(np.int32)), pa.py_buffer(others.tobytes())])
+        yield pa.RecordBatch.from_arrays([pa.array(x.leaves[order]), pa.array(x.hashes[order]), b.column("doc_id").take(pa.array(x.rows[order])), pa.array(doublings.astype(np.int32)), packed], ["leaf", "line", "doc", "doublings", "others"])
 
 
 def _slot(leaves: np.ndarray) -> np.ndarray:
@@ -147,7 +151,7 @@ def _tokens(batches, shared):
         at = np.flatnonzero((x.counts > DEPTH) & bits[_slot(x.leaves)])
         _, own = np.unique(x.hashes[at], return_index=True)
         at = at[own]
-        tokens = x.tokens.astype(np.uint32)
+        tokens = x.keys.astype(np.uint32)
         yield pa.RecordBatch.from_arrays([pa.array(x.leaves[at]), pa.array(x.hashes[at]), pa.array([tokens[f : f + c].tobytes() for f, c in zip(x.first[at], x.counts[at])], pa.binary())], ["leaf", "line", "tokens"])
 
 
@@ -211,7 +215,7 @@ def _recurring(batches):
             continue
         found = []
         names, docs, needs = (b.column(c).to_numpy(zero_copy_only=False) for c in ("template", "doc", "need"))
-        others = np.frombuffer(b"".join(b.column("others").to_pylist()), np.uint32).reshape(-1, BUCKETS)
+        others = np.frombuffer(b"".join(b.column("others").to_pylist()), np.uint16).reshape(-1, BUCKETS)
         cuts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
         for start, end in zip(cuts, np.r_[cuts[1:], len(names)]):
             if names[start] != template:
@@ -237,8 +241,8 @@ def recurring(docs: DataFrame, similar: float = SIMILAR, min_families: int = MIN
     scratch: list[str] = []
     small_batches(spark)
     rows = texts(docs)
-    occurrences = save(rows.mapInArrow(_lines, "leaf bigint, line bigint, doc bigint, others binary"), "lines", scratch)
-    lines = save(occurrences.groupBy("leaf", "line").agg(F.count("*").alias("docs")), "leaves", scratch)
+    occurrences = save(rows.mapInArrow(_lines, "leaf bigint, line bigint, doc bigint, doublings int, others binary"), "lines", scratch)
+    lines = save(occurrences.groupBy("leaf", "line").agg(F.count("*").alias("docs"), F.min("doublings").alias("doublings")), "leaves", scratch)
     leaves = lines.groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("docs").alias("leaf_docs")).where((F.col("lines") > 1) & (F.col("leaf_docs") >= min_families)).select("leaf")
     bits = bytearray((1 << LEAF_LOG2) // 8)
     size = len(bits) // BLOCKS
@@ -249,8 +253,9 @@ def recurring(docs: DataFrame, similar: float = SIMILAR, min_families: int = MIN
     grown = tokens.join(lines.join(leaves, "leaf", "left_semi"), ["leaf", "line"]).repartition(partitions(spark), "leaf").sortWithinPartitions("leaf", F.desc("docs"), "line")
     templates = grown.select("leaf", "line", "tokens").mapInArrow(lambda it: _grow(it, similar), "line bigint, template bigint")
     named = save(templates, "templates", scratch)
-    of = lines.join(named, "line", "left").select("line", "docs", F.coalesce("template", "line").alias("template"))
-    enough = of.groupBy("template").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_families).select("template", F.lit(min_families).cast("bigint").alias("need"))
+    of = lines.join(named, "line", "left").select("line", "docs", "doublings", F.coalesce("template", "line").alias("template"))
+    need = F.expr(f"CAST({min_families} * power(2, min(doublings)) AS bigint)")
+    enough = of.groupBy("template").agg(F.sum("docs").alias("docs"), need.alias("need")).where("docs >= need").select("template", "need")
     wanted = save(of.select("line", "template").join(enough, "template"), "wanted", scratch)
     # few lines are in several documents: broadcast, they leave the others where they are
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS // 4 else wanted

@@ -357,3 +357,19 @@ def test_line_templates_of_few_words(spark):
     got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in line_templates.strip_lines(make(spark, rows)).collect()}
     for i, t in rows:
         assert got[i] == ((t.rpartition("\n")[0], 1) if i < 300 else (t, 0)), i
+
+
+def test_line_templates_short(spark):
+    """Short lines recur too, in more families; numbers alone only as they are."""
+    rng = random.Random(13)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    prose = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    rows, gone = [], ("All rights reserved.", "Posted ", "Home")
+    for i in range(90):
+        own = [prose(12), prose(12), f"{i} {i * i}", "All rights reserved." if i % 2 else "Home", f"Posted 2024-01-{i:02d}"]
+        rows.append((i, "\n".join([*own, "By chance"] if i % 15 == 0 else own)))
+    copy = "\n".join(prose(12) for _ in range(4))
+    rows += [(200 + k, copy + "\nOf copies") for k in range(50)]
+    got = {r["doc_id"]: r["text"] for r in line_templates.strip_lines(make(spark, rows)).collect()}
+    for i, t in rows:
+        assert got[i] == "\n".join(line for line in t.split("\n") if not line.startswith(gone)), i
