@@ -404,3 +404,22 @@ AND NOT EXISTS (SELECT 1 FROM nodes x WHERE x.level = 3 AND x.g1 = n.g1 AND x.g2
 UNION ALL SELECT g1 || '(' || freq || ')' FROM nodes n WHERE n.level = 1 AND NOT EXISTS (SELECT 1 FROM nodes x WHERE x.level = 2 AND x.g1 = n.g1)""")
 def _(spark, d):
     return tables.leaf_paths(corpus(spark, d).ngrams().where("level <= 3")).where(~F.col("value").rlike(r"^\S+ \S+ \S+"))
+
+
+# the same over all six levels
+
+
+def leaf_sql() -> str:
+    same = lambda t, k: " AND ".join(f"{t}.g{i} = n.g{i}" for i in range(1, k + 1))
+    parts = []
+    for k in range(1, 7):
+        above = " ".join(f"JOIN nodes p{j} ON p{j}.level = {j} AND {same(f'p{j}', j)}" for j in range(1, k))
+        cells = ", ".join(f"n.g{j} || '(' || {f'p{j}' if j < k else 'n'}.freq || ')'" for j in range(1, k + 1))
+        leaf = f" AND NOT EXISTS (SELECT 1 FROM nodes x WHERE x.level = {k + 1} AND {same('x', k)})" if k < 6 else ""
+        parts.append(f"SELECT concat_ws(' ', {cells}) AS value FROM nodes n {above} WHERE n.level = {k}{leaf}")
+    return " UNION ALL ".join(parts)
+
+
+@add("ng_leaf_paths_all", GRAMS_SQL + leaf_sql())
+def _(spark, d):
+    return tables.leaf_paths(corpus(spark, d).ngrams())

@@ -237,3 +237,21 @@ def test_documents_with_nulls(spark):
     slots = plain.slots(c.star.main).orderBy("id").collect()
     assert [(r["slot"], r["sent_slot"]) for r in slots] == [(2, 2), (3, 2), (5, 5)]
     assert paging.anchors(c.tuples(Q(Slot(word="a")))).count() == 1
+
+
+def test_all_six_levels_are_registered(spark, corpus, monkeypatch):
+    from lexigrid import catalog
+
+    monkeypatch.setattr(catalog, "corpus", lambda spark, d: corpus)
+    united = {}
+    for r in corpus.star.main.orderBy("id").collect():
+        united.setdefault(r["sentence"], []).append(r["united"])
+    freq = {}
+    for us in united.values():
+        for i in range(len(us)):
+            for k in range(1, min(6, len(us) - i) + 1):
+                freq[tuple(us[i : i + k])] = freq.get(tuple(us[i : i + k]), 0) + 1
+    leaves = [g for g in freq if not any(len(x) == len(g) + 1 and x[:-1] == g for x in freq)]
+    want = sorted(" ".join(f"{g[j]}({freq[g[: j + 1]]})" for j in range(len(g))) for g in leaves)
+    assert sorted(r[0] for r in catalog.QUERIES["ng_leaf_paths_all"](spark, "").collect()) == want
+    assert {len(x.split()) for x in want} >= {3, 4, 5, 6}
