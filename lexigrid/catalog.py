@@ -409,6 +409,16 @@ def _(spark, d):
 # the same over all six levels
 
 
+@add("ng_rank_all", GRAMS_SQL + "SELECT level, node, g1, g2, g3, g4, g5, g6, freq FROM nodes")
+def _(spark, d):
+    return corpus(spark, d).ngrams().select("level", "node", *ngrams.GRAMS, "freq")
+
+
+@add("ng_wopunct_all", NO_PUNCT + "SELECT level, node, g1, g2, g3, g4, g5, g6, freq FROM nodes")
+def _(spark, d):
+    return corpus(spark, d).ngrams(False).select("level", "node", *ngrams.GRAMS, "freq")
+
+
 def leaf_sql() -> str:
     same = lambda t, k: " AND ".join(f"{t}.g{i} = n.g{i}" for i in range(1, k + 1))
     parts = []

@@ -255,3 +255,8 @@ def test_all_six_levels_are_registered(spark, corpus, monkeypatch):
     want = sorted(" ".join(f"{g[j]}({freq[g[: j + 1]]})" for j in range(len(g))) for g in leaves)
     assert sorted(r[0] for r in catalog.QUERIES["ng_leaf_paths_all"](spark, "").collect()) == want
     assert {len(x.split()) for x in want} >= {3, 4, 5, 6}
+    for name in ("ng_rank_all", "ng_wopunct_all"):
+        rows = catalog.QUERIES[name](spark, "").collect()
+        grams = {tuple(g for g in r[2:8] if g is not None): r["freq"] for r in rows}
+        assert len(grams) == len(rows) and all(len(g) == r["level"] for g, r in zip(grams, rows))
+        assert grams == freq if name == "ng_rank_all" else max(map(len, grams)) == max(r["level"] for r in rows) and set(grams) < set(freq)
