@@ -16,12 +16,17 @@ UNIT = r"\^((?:[^\\^$]|\\.)*)\$"
 PIECE = r"([^\^]*)\^((?:[^\\^$]|\\.)*)\$"
 
 
+def stripped(line: Column) -> Column:
+    """Without a byte-order mark, and blanks at the ends."""
+    return F.regexp_replace(F.regexp_replace(line, "^﻿", ""), "^[ \r\n]+|[ \r\n]+$", "")
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """sentence (the line's number from 0, over the files in order) and line, stripped; a byte-order mark goes. bz2 files are split by Spark."""
     text = spark.read.text(path)
     rows = text.rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
     schema = T.StructType([T.StructField("sentence", T.LongType(), False), T.StructField("line", T.StringType(), False)])
-    return spark.createDataFrame(rows, schema).select("sentence", F.regexp_replace("line", "^﻿", "").alias("line")).select("sentence", F.regexp_replace("line", "^[ \r\n]+|[ \r\n]+$", "").alias("line"))
+    return spark.createDataFrame(rows, schema).select("sentence", stripped(F.col("line")).alias("line"))
 
 
 def read_map(spark: SparkSession, path: str) -> DataFrame:
@@ -41,31 +46,34 @@ def _under(c: Column) -> Column:
     return F.translate(c, " ", "_")
 
 
-def parse(rows: DataFrame) -> DataFrame:
-    """sentence, pos, word_case, word, lemma, tags of the units and of the text between them; text after the last unit is lost.
+def tokens_of(line: Column) -> Column:
+    """An array of word_case, word, lemma, tags of the line's units and of the text between them; text after the last unit is lost.
 
     The lemma is the first part of the last reading; tags are those of all parts of all readings."""
-    pieces = F.transform(
-        F.regexp_extract_all("line", F.lit(PIECE), F.lit(0)),
-        lambda p: F.struct(F.regexp_extract(p, PIECE, 1).alias("blank"), F.regexp_extract(p, PIECE, 2).alias("unit")),
-    )
-    exploded = rows.select("sentence", F.posexplode(pieces).alias("n", "piece")).select("sentence", "n", F.regexp_replace("piece.blank", "^[ \t]+|[ \t]+$", "").alias("blank"), F.split("piece.unit", r"(?<!\\)/").alias("parts"))
-    surface = _plain(F.col("parts")[0])
-    readings = F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0)))
-    subs = F.transform(readings, lambda r: F.split(r, r"(?<!\\)\+"))
     base = lambda s: _plain(F.regexp_extract(s, r"^((?:[^\\<]|\\.)*)", 1))
     tag_list = lambda s: F.array_join(F.regexp_extract_all(s, F.lit(r"<[^>]*>"), F.lit(0)), ",")
-    flat = F.flatten(subs)
-    joined = F.array_join(F.transform(flat, lambda s, i: F.when(i == 0, tag_list(s)).otherwise(F.concat(F.lit("+"), base(s), tag_list(s)))), ",")
-    lemma = F.lower(base(F.try_element_at(F.try_element_at(subs, F.lit(-1)), F.lit(1))))
-    units = exploded.select("sentence", "n", "blank", surface.alias("s"), F.coalesce(F.regexp_replace(lemma, r"^\*", ""), F.lit("")).alias("l"), F.when(joined.isin("", "<>"), "*").otherwise(joined).alias("t"))
-    none = (F.lower("s") == "") & (F.col("l") == "")
-    unit = F.struct(F.lit(1).alias("k"), _under(F.col("s")).alias("word_case"), F.when(none, "/").otherwise(_under(F.lower("s"))).alias("word"), F.when(none, "/").otherwise(_under(F.col("l"))).alias("lemma"), sort_tags(F.coalesce("t", F.lit("*"))).alias("tags"))
-    gap = F.struct(F.lit(0).alias("k"), F.col("blank").alias("word_case"), F.col("blank").alias("word"), F.col("blank").alias("lemma"), F.lit("<sym>").alias("tags"))
-    both = units.select("sentence", "n", F.explode(F.when(F.col("blank") != "", F.array(gap, unit)).otherwise(F.array(unit))).alias("u"))
-    packed = both.groupBy("sentence").agg(F.array_sort(F.collect_list(F.struct("n", "u"))).alias("us"))
-    out = packed.select("sentence", F.posexplode("us").alias("pos", "x"))
-    return out.select("sentence", F.col("pos").cast("bigint").alias("pos"), *[F.col(f"x.u.{c}").alias(c) for c in ("word_case", "word", "lemma", "tags")])
+
+    def tokens(piece: Column) -> Column:
+        blank = F.regexp_replace(F.regexp_extract(piece, PIECE, 1), "^[ \t]+|[ \t]+$", "")
+        parts = F.split(F.regexp_extract(piece, PIECE, 2), r"(?<!\\)/")
+        s = _plain(parts[0])
+        subs = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda r: F.split(r, r"(?<!\\)\+"))
+        joined = F.array_join(F.transform(F.flatten(subs), lambda s, i: F.when(i == 0, tag_list(s)).otherwise(F.concat(F.lit("+"), base(s), tag_list(s)))), ",")
+        lemma = F.lower(base(F.try_element_at(F.try_element_at(subs, F.lit(-1)), F.lit(1))))
+        lemma = F.coalesce(F.regexp_replace(lemma, r"^\*", ""), F.lit(""))
+        none = (F.lower(s) == "") & (lemma == "")
+        own = F.when(joined.isin("", "<>"), "*").otherwise(joined)
+        unit = F.struct(_under(s).alias("word_case"), F.when(none, "/").otherwise(_under(F.lower(s))).alias("word"), F.when(none, "/").otherwise(_under(lemma)).alias("lemma"), sort_tags(F.coalesce(own, F.lit("*"))).alias("tags"))
+        gap = F.struct(blank.alias("word_case"), blank.alias("word"), blank.alias("lemma"), F.lit("<sym>").alias("tags"))
+        return F.when(blank != "", F.array(gap, unit)).otherwise(F.array(unit))
+
+    return F.flatten(F.transform(F.regexp_extract_all(line, F.lit(PIECE), F.lit(0)), tokens))
+
+
+def parse(rows: DataFrame) -> DataFrame:
+    """sentence, pos, word_case, word, lemma, tags of the tokens of each line, as by tokens_of()."""
+    out = rows.select("sentence", F.posexplode(tokens_of(F.col("line"))).alias("pos", "x"))
+    return out.select("sentence", F.col("pos").cast("bigint").alias("pos"), *[F.col(f"x.{c}").alias(c) for c in ("word_case", "word", "lemma", "tags")])
 
 
 def with_ids(tokens: DataFrame, sentence_sources: DataFrame) -> DataFrame:

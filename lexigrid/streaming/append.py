@@ -5,19 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexigrid.sources.tagged import stripped, tokens_of
+
 TYPE = ["word_case", "word", "lemma", "tags"]
 
 
 def parsed_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """word_case, word, lemma, tags of the tokens in files of tagged lines that arrive in a folder."""
-    from lexigrid.sources.tagged import _under
-
-    unit = r"\^((?:[^\\^$/]|\\.)*)/((?:[^\\^$<]|\\.)*)((?:<[^>]*>)*)[^$]*\$"
+    """word_case, word, lemma, tags of the tokens in files of tagged lines that arrive in a folder, as the batch parser makes them."""
     lines = spark.readStream.text(folder)
-    units = lines.select(F.explode(F.regexp_extract_all("value", F.lit(unit), F.lit(0))).alias("u"))
-    tags = F.array_join(F.array_sort(F.regexp_extract_all(F.regexp_extract("u", unit, 3), F.lit("<[^>]*>"), F.lit(0))), ",")
-    surface = _under(F.regexp_extract("u", unit, 1))
-    return units.select(surface.alias("word_case"), F.lower(surface).alias("word"), F.lower(_under(F.regexp_extract("u", unit, 2))).alias("lemma"), F.when(tags == "", "*").otherwise(tags).alias("tags"))
+    return lines.select(F.explode(tokens_of(stripped(F.col("value")))).alias("x")).select(*[F.col(f"x.{c}").alias(c) for c in TYPE])
 
 
 def maintain_counts(stream: DataFrame, table: str, checkpoint: str):

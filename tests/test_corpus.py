@@ -260,3 +260,16 @@ def test_all_six_levels_are_registered(spark, corpus, monkeypatch):
         grams = {tuple(g for g in r[2:8] if g is not None): r["freq"] for r in rows}
         assert len(grams) == len(rows) and all(len(g) == r["level"] for g, r in zip(grams, rows))
         assert grams == freq if name == "ng_rank_all" else max(map(len, grams)) == max(r["level"] for r in rows) and set(grams) < set(freq)
+
+
+def test_stream_is_like_batch(spark, tmp_path):
+    from lexigrid.streaming import append
+
+    (tmp_path / "in").mkdir()
+    text = "\ufeff^Мин/Мин<prn><pers><p1><sg><nom>$ ^үземне/үз<prn><ref><px1sg><acc>$ – ^ерак/ерак<adj>$ ^идем/и<cop><ifi><p1><sg>$^./.<sent>$\n^a b/c<n>/d<v>+и<cop>$ x ^plain$ ^/$\n"
+    (tmp_path / "in" / "0.txt").write_text(text, encoding="utf-8")
+    append.maintain_counts(append.parsed_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    batch = tagged.parse(tagged.read_lines(spark, str(tmp_path / "in"))).groupBy(*append.TYPE).agg(F.count("*").alias("freq"))
+    got = sorted(map(tuple, append.current_counts(spark, str(tmp_path / "out")).select(*append.TYPE, "freq").collect()))
+    assert got == sorted(map(tuple, batch.collect())) and ("–", "–", "–", "<sym>", 1) in got and ("идем", "идем", "и", "<cop>,<ifi>,<p1>,<sg>", 1) in got
+    assert ("a_b", "a_b", "d", "+d<v>,+и<cop>,<n>", 1) in got
