@@ -1,44 +1,59 @@
 """Operator 3, n-gram Jaccard self-join with set relations.
 
-A document is the set of its runs of N words, hashed to 32 bits. Two documents match if the Jaccard similarity of their sets
-is THRESHOLD at least; a group is a connected component of matches.
-
-1. Set relations: documents are brought together by a minhash and a size class. Equal sets collapse, and a set that matches a recent set (its
-   leader) takes the leader's label: what the leader is joined to holds for it, so pairs within a label are never looked at again.
-2. Index lists: each set's prefix, its rarest n-grams in one global order, goes to inverted lists. The order comes from a count
-   sketch of all n-grams, of a fixed size; any order gives the same result, and this one keeps lists short.
-   A list is sorted by set size; a probe leaves it at the first set too large for the threshold, and entries are
-   skipped whose positions leave too few n-grams. Pairs left over whose one-permutation sketches agree in SIGMAS standard deviations less
-   than a match would are skipped too; that can lose a match, with a chance below one in a million.
-3. Other pairs of different labels are verified on their whole sets: first one or two for each set, then those that these don't put in
-   one component, whose answer thus follows from others'. The components of all matches are returned.
+A document is the set of its runs of N words, hashed to 32 bits; a document of fewer words is one run of them all. Two documents match
+if the Jaccard similarity of their sets is THRESHOLD at least. The result has each document that matches another, with the number of documents
+that it matches and its class, the connected component. Nothing is estimated: every match is counted.
+
+1. Equal sets are one, found by 128-bit digests. Highly similar sets meet by a minhash and a size class: a set whose similarity to a leader is
+   (1 + THRESHOLD) / 2 at least follows it. Jaccard distance is a metric, so any two sets of such a class match: these answers are derived.
+   From then on a follower is its difference from the leader.
+2. Exact frequencies of all n-grams (of leaders, and of followers' differences) give one global order, rarest first. Each block of sets sends its
+   distinct n-grams once and gets a code for each back. Only prefixes are indexed, without n-grams that a single set has: such an n-gram makes no pair.
+3. Inverted lists hold classes, sorted by size and cut into blocks that know their smallest size and the most n-grams that are left behind
+   a position. A block is skipped as a whole if these leave too few n-grams for the threshold, then entries are.
+4. A pair of classes is answered from the overlap of its leaders and from the differences: if the largest differences can't turn the answer, it holds for all
+   members. Only otherwise are members compared, in chunks, on leaders and differences.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .graph import components
-from .shared import discard, partitions, save, small_batches, table, texts, without
+from .shared import BROADCAST_ROWS, discard, partitions, save, small_batches, table, texts, without
 
 N = 3
 THRESHOLD = 0.5
-SKETCH_LOG2 = 22
-BLOCKS = 64
-BINS = 64
-SIGMAS = 5
-IDS_LOG2 = 22
 #: Sets that a set is compared with to find its leader. It affects speed alone.
 LEADERS = 8
+#: Sets of one minhash that one task looks at; larger groups are split, and their leaders meet in the index.
+CROWD = 4096
+#: N-grams, about, that one task counts at a time.
+PART_GRAMS = 3 << 20
+#: Entries of a list that are skipped together, members of a class that are compared together.
+LIST_BLOCK = 8
+CHUNK_SETS = 64
+CHUNK_GRAMS = 500_000
 
 
 def doc_sets(column: pa.Array, n: int = N) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct 32-bit n-grams of each row, and the row bounds."""
-    grams, rows = tk.Words(column).grams(n)
+    w = tk.Words(column)
+    found = [w.grams(n)]
+    for k in range(1, n):
+        rows = np.flatnonzero(w.counts == k)
+        h = np.zeros(len(rows), np.uint64)
+        for i in range(k):
+            h = h * np.uint64(tk.BASE) + w.hashes[w.bounds[rows] + i]
+        found.append((tk.mix(h, k), rows))
+    grams, rows = (np.concatenate([f[i] for f in found]) for i in (0, 1))
     keys = np.unique((rows.astype(np.uint64) << np.uint64(32)) | (grams >> np.uint64(32)))
     return (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.searchsorted(keys, np.arange(len(column) + 1).astype(np.uint64) << np.uint64(32))
 
@@ -48,295 +63,498 @@ def least(threshold: float, a, b):
     return np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9)
 
 
+def prefix(threshold: float, n):
+    """The n-grams, rarest first, of which a set shares one with each match."""
+    return n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
+
+
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Common elements of two sorted arrays without repeats."""
     if len(a) > len(b):
         a, b = b, a
+    if not len(a):
+        return 0
     at = np.searchsorted(b, a)
     at[at == len(b)] = 0
     return int((b[at] == a).sum())
 
 
-def _sets(batches, n):
+def _digests(batches, n):
     for b in tk.slices(batches):
         grams, bounds = doc_sets(b.column("text"), n)
         sizes = np.diff(bounds)
         some = np.flatnonzero(sizes)
         if not len(some):
             continue
-        least_hash = np.minimum.reduceat(tk.mix(grams.astype(np.uint64), 5), bounds[some])
-        # copies have about the same size: with it in the key, documents that merely share a frequent n-gram spread over many keys
-        key = tk.mix(least_hash + np.floor(np.log(sizes[some]) / np.log(1.5)).astype(np.uint64), 6)
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column("doc_id").take(pa.array(some)), pa.array(sizes[some].astype(np.int64)), pa.array([grams[bounds[i] : bounds[i + 1]].tobytes() for i in some], pa.binary())], ["key", "doc_id", "n", "grams"])
+        g, at = grams.astype(np.uint64), bounds[some]
+        # similar sets have about the same size: with it in the key, documents that merely share a frequent n-gram spread over many keys
+        key = tk.mix(np.minimum.reduceat(tk.mix(g, 5), at) + np.floor(np.log(sizes[some]) / np.log(1.5)).astype(np.uint64), 6)
+        sums = [np.add.reduceat(tk.mix(g, seed), at).view(np.int64) for seed in (31, 32)]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(some)), pa.array(sizes[some].astype(np.int64)), *map(pa.array, sums), pa.array(key.view(np.int64))], ["doc_id", "n", "h1", "h2", "key"])
 
 
-def _lead(batches, threshold):
-    """Rows sorted by key, n, doc_id -> doc_id, label, n, grams; grams is null if another row has the same set."""
-    key, leaders, same = None, [], {}
-    for b in batches:
-        keys, ids, sizes, blobs = b.column("key").to_pylist(), b.column("doc_id").to_pylist(), b.column("n").to_pylist(), b.column("grams")
-        labels, grams = [], []
-        for i, k in enumerate(keys):
-            if k != key:
-                key, leaders, same = k, [], {}
-            size, blob = sizes[i], blobs[i].as_py()
-            while same and next(iter(same))[0] < size:  # only sets of the same size can be equal
-                same = {}
-            label = same.get((size, blob))
-            if label is None:
-                x = np.frombuffer(blob, np.uint32)
-                label = ids[i]
-                for leader, name in reversed(leaders):
-                    if len(leader) >= threshold * size and overlap(leader, x) >= least(threshold, len(leader), size):
-                        label = name
-                        break
-                else:
-                    leaders = [*leaders[1 - LEADERS :], (x, label)]
-                same[(size, blob)] = label
-                grams.append(blob)
-            else:
-                grams.append(None)
-            labels.append(label)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(labels, pa.int64()), b.column("n"), pa.array(grams, pa.binary())], ["doc_id", "label", "n", "grams"])
-
+#: A slice of sets in one row, so that a block's n-grams stay together: for each set its class, own size, smallest and largest size in the class, most n-grams that
+#: a follower adds and lacks, n-grams to index, followers (-1: it is one itself), n-grams listed; then the lists, end to end.
+FIELDS = {"cls": np.int64, "n": np.int64, "lo": np.int64, "hi": np.int64, "added": np.int64, "lacks": np.int64, "pre": np.int64, "fans": np.int64, "m": np.int64}
+SETS = "block bigint, " + ", ".join(f"{k} binary" for k in FIELDS) + ", grams binary"
+MEMBERS = "doc_id bigint, leader bigint, size bigint, more binary, less binary"
 
-def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    column = b.column("grams")
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.uint32) if offsets[-1] > offsets[0] else np.zeros(0, np.uint32)
-    return data, (offsets - offsets[0]) // 4
 
+def _block(number: int) -> int:
+    return (TaskContext.get().partitionId() << 28) + number
 
-def _sketch(batches):
-    counts = np.zeros(1 << SKETCH_LOG2, np.uint32)
-    for b in tk.slices(batches, "grams", 4 * tk.CHUNK):
-        data, _ = _flat(b)
-        counts += np.bincount(data >> np.uint32(32 - SKETCH_LOG2), minlength=len(counts)).astype(np.uint32)
-    if counts.any():
-        parts = np.minimum(counts, 255).astype(np.uint8).reshape(BLOCKS, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "counts"])
 
+def _slice(block: int, rows: dict[str, np.ndarray], grams: bytes) -> dict[str, list]:
+    return {"block": [block], **{k: [np.ascontiguousarray(rows[k], kind).tobytes()] for k, kind in FIELDS.items()}, "grams": [grams]}
 
-def _sum_sketch(t: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_py(), np.uint8).astype(np.uint32) for x in t.column("counts"))
-    return pa.table({"block": pa.array([t.column("block")[0].as_py()], pa.int32()), "counts": pa.array([np.ceil(np.log2(total + 1.0)).astype(np.uint8).tobytes()], pa.binary())})
 
+def _types() -> dict[str, pa.DataType]:
+    return {"block": pa.int64(), **{k: pa.binary() for k in FIELDS}, "grams": pa.binary(), "doc_id": pa.int64(), "leader": pa.int64(), "size": pa.int64(), "more": pa.binary(), "less": pa.binary()}
 
-def sketches(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """BINS nibbles a set, packed: each bin's least hash, reduced to 1..15; 0 for an empty bin."""
-    out = np.zeros((len(bounds) - 1, BINS), np.uint8)
-    h = tk.mix(grams.astype(np.uint64), 21)
-    rows = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)).astype(np.uint64)
-    keys = np.sort(((rows * np.uint64(BINS) + (h & np.uint64(BINS - 1))) << np.uint64(32)) | (h >> np.uint64(32)))
-    bins = (keys >> np.uint64(32)).astype(np.int64)
-    first = np.r_[True, bins[1:] != bins[:-1]][: len(bins)]
-    out.reshape(-1)[bins[first]] = 1 + (keys[first] & np.uint64(0xFFFFFFFF)) % np.uint64(15)
-    return out[:, ::2] | (out[:, 1::2] << 4)
 
+def _batch(columns: dict[str, list]) -> pa.RecordBatch:
+    kinds = _types()
+    return pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for k, v in columns.items()], list(columns))
 
-def alike(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
-    """Whether unpacked sketches agree as often as they would for a match, but for SIGMAS deviations."""
-    used = ((a > 0) | (b > 0)).sum(1)
-    return ((a == b) & (a > 0)).sum(1) >= used * threshold - SIGMAS * np.sqrt(used * threshold * (1 - threshold))
 
-
-def _entries(batches, threshold, order, parts):
-    """Prefix entries of a slice of sets, one row for each part of the n-gram space."""
-    for b in tk.slices(batches, "grams", 8 * tk.CHUNK):
-        grams, bounds = _flat(b)
+def _alone(batches, n, threshold):
+    """Sets that share no minhash with others: one row of SETS a slice."""
+    number = 0
+    for b in tk.slices(batches, most=8 * tk.CHUNK):
+        grams, bounds = doc_sets(b.column("text"), n)
         sizes = np.diff(bounds)
-        rows = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
-        rank = order[grams >> np.uint32(32 - SKETCH_LOG2)].astype(np.uint64)
-        keys = np.sort((rows << np.uint64(40)) | (rank << np.uint64(32)) | grams)  # a slice has fewer than 2**24 rows
-        position = np.arange(len(keys)) - np.repeat(bounds[:-1], sizes)
-        keep = position < np.repeat(sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1, sizes)
-        keys, position = keys[keep], position[keep]
-        grams, rows = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), (keys >> np.uint64(40)).astype(np.int64)
-        part = (tk.mix(grams.astype(np.uint64), 9) % np.uint64(parts)).astype(np.int64)
-        by = np.argsort(part, kind="stable")
-        grams, rows, position, part = grams[by], rows[by], position[by], part[by]
-        ends = np.searchsorted(part, np.arange(parts + 1))
-        ids, labels = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "label"))
-        sketch = sketches(*_flat(b))
-        out = {"part": [], "grams": [], "row": [], "position": [], "doc_id": [], "label": [], "n": [], "sketch": []}
-        for p in np.flatnonzero(np.diff(ends)):
-            at = slice(ends[p], ends[p + 1])
-            own, inner = np.unique(rows[at], return_inverse=True)
-            out["part"].append(int(p))
-            out["grams"].append(grams[at].tobytes())
-            out["row"].append(inner.astype(np.uint16 if len(own) < 1 << 16 else np.uint32).tobytes())
-            out["position"].append(np.minimum(position[at], 65535).astype(np.uint16).tobytes())  # a smaller position only prunes less
-            out["doc_id"].append(ids[own].astype(np.int64).tobytes())
-            out["label"].append(labels[own].astype(np.int64).tobytes())
-            out["n"].append(sizes[own].astype(np.uint32).tobytes())
-            out["sketch"].append(sketch[own].tobytes())
-        if out["part"]:
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32() if k == "part" else pa.binary()) for k, v in out.items()})
-
-
-def candidates(grams, position, sizes, labels, threshold):
-    """Pairs of entries that share an n-gram, with different labels, that the sizes and positions allow."""
-    order = np.lexsort((sizes, grams))
-    g = grams[order]
-    starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, int)
-    lengths = np.diff(np.r_[starts, len(g)])
-    lab = labels[order]
-    if len(g):  # a list of one label has no pair to look at
-        mixed = (np.minimum.reduceat(lab, starts) != np.maximum.reduceat(lab, starts)) & (lengths > 1)
-        order = order[np.repeat(mixed, lengths)]
-        lengths = lengths[mixed]
-    g, lab, n, pos = grams[order], labels[order], sizes[order].astype(np.int64), position[order].astype(np.int64)
-    end = np.repeat(np.cumsum(lengths), lengths)
-    active, shift = np.arange(len(g)), 1
-    while len(active):
-        active = active[active + shift < end[active]]
-        other = active + shift
-        fits = n[other] * threshold <= n[active] + 1e-9
-        active, other = active[fits], other[fits]  # lists are sorted by size: the rest of this list is skipped
-        left = 1 + np.minimum(n[active] - pos[active], n[other] - pos[other]) - 1
-        hit = (lab[active] != lab[other]) & (left >= least(threshold, n[active], n[other]))
-        if hit.any():
-            yield order[active[hit]], order[other[hit]]
-        shift += 1
+        some = np.flatnonzero(sizes)
+        if not len(some):
+            continue
+        size, none = sizes[some], np.zeros(len(some), np.int64)
+        ids = b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)[some]
+        yield _batch(_slice(_block(2 * number), {"cls": ids, "n": size, "lo": size, "hi": size, "added": none, "lacks": none, "pre": prefix(threshold, size), "fans": none, "m": size}, grams.tobytes()))
+        number += 1
 
 
-def _reduce(threshold):
-    def run(t: pa.Table) -> pa.Table:
-        grams, position, sets, per_set, sketch, before = [], [], [], {"n": [], "label": [], "doc_id": []}, [], 0
-        kinds = {"n": np.uint32, "label": np.int64, "doc_id": np.int64}
-        for i in range(t.num_rows):
-            cell = lambda k: t.column(k)[i].as_buffer()  # noqa: B023, E731
-            grams.append(np.frombuffer(cell("grams"), np.uint32))
-            position.append(np.frombuffer(cell("position"), np.uint16))
-            row = np.frombuffer(cell("row"), np.uint16 if cell("row").size * 2 == cell("grams").size else np.uint32)
-            sets.append(row.astype(np.int32) + np.int32(before))
-            for k, kind in kinds.items():
-                per_set[k].append(np.frombuffer(cell(k), kind))
-            packed = np.frombuffer(cell("sketch"), np.uint8).reshape(-1, BINS // 2)
-            sketch.append(np.concatenate([packed & 15, packed >> 4], 1))
-            before += len(packed)
-        grams, position, sets, sketch = (np.concatenate(x) for x in (grams, position, sets, sketch))
-        c = {k: np.concatenate(v) for k, v in per_set.items()}
-        # a quarter of the n-grams at a time; a pair is one number, of two places in the list of sets
-        seen, held = [np.zeros(0, np.uint64)], 0
-        for quarter in range(4):
-            own = np.flatnonzero((grams & np.uint32(3)) == quarter)
-            part = sets[own]
-            for i, j in candidates(grams[own], position[own], c["n"][part], c["label"][part], threshold):
-                for k in range(0, len(i), 1 << 17):
-                    x, y = part[i[k : k + (1 << 17)]], part[j[k : k + (1 << 17)]]
-                    keys = np.unique((np.minimum(x, y).astype(np.uint64) << np.uint64(32)) | np.maximum(x, y).astype(np.uint64))
-                    x, y = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                    seen.append(keys[alike(sketch[x], sketch[y], threshold)])
-                    held += len(seen[-1])
-                    if held > 1 << 20:
-                        seen = [np.unique(np.concatenate(seen))]
-                        held = 0
-        keys = np.unique(np.concatenate(seen))
-        x, y = (c["doc_id"][(k).astype(np.int64)] for k in (keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)))
-        return pa.table({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
+def _sets(batches, n):
+    """Sets in rows of their own, for _lead()."""
+    for b in tk.slices(batches):
+        grams, bounds = doc_sets(b.column("text"), n)
+        sizes = np.diff(bounds)
+        some = pa.array(np.flatnonzero(sizes))
+        blobs = [grams[bounds[i] : bounds[i + 1]].tobytes() for i in some.to_numpy()]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id").take(some), b.column("key").take(some), b.column("salt").take(some), pa.array(sizes[some.to_numpy()].astype(np.int64)), pa.array(blobs, pa.binary())], ["doc_id", "key", "salt", "n", "grams"])
 
-    return run
 
+class _Leader:
+    def __init__(self, doc: int, grams: np.ndarray, threshold: float):
+        n = len(grams)
+        self.doc, self.grams, self.n = doc, grams, n
+        self.lo = self.hi = n
+        self.added = self.lacks = self.fans = 0
+        self.pre = int(prefix(threshold, np.int64(n)))
 
-def _id_slots(column: pa.Array) -> np.ndarray:
-    return (tk.mix(column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), 13) >> np.uint64(64 - IDS_LOG2)).astype(np.int64)
+    def follow(self, size: int, added: int, lacks: int, threshold: float) -> None:
+        self.lo, self.hi, self.fans = min(self.lo, size), max(self.hi, size), self.fans + 1
+        self.added, self.lacks = max(self.added, added), max(self.lacks, lacks)
+        # an n-gram of a follower's prefix is at most ``lacks`` places further back in the leader
+        self.pre = max(self.pre, int(prefix(threshold, np.int64(size))) + lacks)
 
 
-def _mark_ids(batches):
-    bits = np.zeros(1 << IDS_LOG2, bool)
+def _lead(batches, threshold):
+    """Rows sorted by key, salt, n, doc_id -> SETS of leaders and of followers' differences, and MEMBERS of followers."""
+    near = (1 + threshold) / 2
+    key, leaders, number = None, [], 0
+    held: dict[str, list] = {k: [] for k in FIELDS}
+    grams: list[bytes] = []
+    size_held = 0
+    members: dict[str, list] = {k: [] for k in ("doc_id", "leader", "size", "more", "less")}
+
+    def put(blob, **values):
+        nonlocal size_held
+        for k, v in values.items():
+            held[k].append(v)
+        grams.append(blob)
+        size_held += len(blob)
+
+    def evict(x: _Leader):
+        put(x.grams.tobytes(), cls=x.doc, n=x.n, lo=x.lo, hi=x.hi, added=x.added, lacks=x.lacks, pre=x.pre, fans=x.fans, m=x.n)
+
+    def flush():
+        nonlocal number, size_held
+        if grams:
+            rows = _slice(_block(2 * number + 1), {k: np.array(v, np.int64) for k, v in held.items()}, b"".join(grams))
+            yield _batch({**rows, **{k: [None] for k in members}})
+            number += 1
+        if members["doc_id"]:
+            blank = [None] * len(members["doc_id"])
+            yield _batch({**{k: blank for k in rows_of}, **members})
+        for x in (*held.values(), grams, *members.values()):
+            x.clear()
+        size_held = 0
+
+    rows_of = ("block", *FIELDS, "grams")
     for b in batches:
-        bits[_id_slots(b.column("doc_id"))] = True
-    if bits.any():
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
-
-
-def _wanted(batches, wanted):
-    """Rows whose doc_id may be in a pair: most others needn't be moved for the join."""
-    bits = np.unpackbits(wanted.value).astype(bool)
+        keys = zip(b.column("key").to_pylist(), b.column("salt").to_pylist())
+        for k, doc, size, blob in zip(keys, b.column("doc_id").to_pylist(), b.column("n").to_pylist(), b.column("grams")):
+            if k != key:
+                for x in leaders:
+                    evict(x)
+                key, leaders = k, []
+            x = np.frombuffer(blob.as_buffer(), np.uint32)
+            for leader in reversed(leaders):
+                if leader.n >= near * size and overlap(leader.grams, x) >= least(near, leader.n, size):
+                    more, less = np.setdiff1d(x, leader.grams, assume_unique=True), np.setdiff1d(leader.grams, x, assume_unique=True)
+                    leader.follow(size, len(more), len(less), threshold)
+                    put(more.tobytes(), cls=leader.doc, n=size, lo=size, hi=size, added=0, lacks=0, pre=int(prefix(threshold, np.int64(size))), fans=-1, m=len(more))
+                    for c, v in zip(members, (doc, leader.doc, size, more.tobytes(), less.tobytes())):
+                        members[c].append(v)
+                    break
+            else:
+                if len(leaders) == LEADERS:
+                    evict(leaders.pop(0))
+                leaders.append(_Leader(doc, x.copy(), threshold))
+            if size_held > 8 * tk.CHUNK:
+                yield from flush()
+    for x in leaders:
+        evict(x)
+    yield from flush()
+
+
+def _gaps(sorted_: np.ndarray) -> bytes:
+    """Ascending 32-bit numbers: a byte 1 and 16-bit gaps (65535: and more), or a byte 0 and the numbers, whichever is shorter."""
+    gaps = np.diff(sorted_.astype(np.int64), prepend=0)
+    more = gaps // 65535
+    if 2 * (len(gaps) + more.sum()) >= 4 * len(gaps):
+        return b"\0" + sorted_.astype(np.uint32).tobytes()
+    out = np.full(len(gaps) + more.sum(), 65535, np.uint16)
+    out[np.cumsum(more + 1) - 1] = gaps - 65535 * more
+    return b"\1" + out.tobytes()
+
+
+def _from_gaps(data: bytes) -> np.ndarray:
+    if data[:1] == b"\0":
+        return np.frombuffer(data, np.uint32, offset=1)
+    gaps = np.frombuffer(data, np.uint16, offset=1)
+    return np.cumsum(gaps, dtype=np.uint32)[gaps != 65535]
+
+
+def _spread(batches, parts):
+    """The distinct n-grams of each block, and how many of its sets have them, by range."""
+    edges = (np.arange(1, parts, dtype=np.int64) << 32) // parts
     for b in batches:
-        yield b.filter(pa.array(bits[_id_slots(b.column("doc_id"))]))
+        for block, blob in zip(b.column("block").to_pylist(), b.column("grams")):
+            grams, counts = np.unique(np.frombuffer(blob.as_buffer(), np.uint32), return_counts=True)
+            cuts = np.r_[0, np.searchsorted(grams.astype(np.int64), edges), len(grams)]
+            some = np.flatnonzero(np.diff(cuts))
+            counts = np.minimum(counts, 255).astype(np.uint8)
+            for at in range(0, len(some), 256):
+                own = some[at : at + 256]
+                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array([block] * len(own), pa.int64()), pa.array([_gaps(grams[cuts[p] : cuts[p + 1]]) for p in own], pa.binary()), pa.array([counts[cuts[p] : cuts[p + 1]].tobytes() for p in own], pa.binary())], ["part", "block", "grams", "counts"])
+
+
+def _codes(t: pa.Table) -> pa.Table:
+    """For each block its n-grams' codes: 0 for those of a single set, else 1 and eight times the logarithm of their number."""
+    grams = [_from_gaps(x.as_py()) for x in t.column("grams")]
+    ends = np.cumsum([len(x) for x in grams])
+    grams = np.concatenate(grams)
+    order = np.argsort(grams, kind="stable")
+    counts = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in t.column("counts")])[order].astype(np.int64)
+    grams = grams[order]
+    begins = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
+    number = np.add.reduceat(counts, begins)
+    code = np.where(number > 1, np.minimum(255, 1 + (8 * np.log2(number)).astype(np.int64)), 0).astype(np.uint8)
+    codes = np.empty(len(grams), np.uint8)
+    codes[order] = np.repeat(code, np.diff(np.r_[begins, len(grams)]))
+    return pa.table({"block": t.column("block"), "part": t.column("part"), "codes": pa.array([x.tobytes() for x in np.split(codes, ends[:-1])], pa.binary())})
+
+
+INDEX = "part int, grams binary, row binary, room binary, set_cls binary, set_lo binary, set_hi binary"
+CORES = "cls bigint, n bigint, lo bigint, hi bigint, added bigint, lacks bigint, fans bigint, core binary"
+
+
+def _index(parts):
+    """A block and its codes -> INDEX rows of prefix entries, CORES of leaders: their n-grams that other sets have too."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = {"part": pa.int32(), **{c: pa.binary() for c in ("grams", "row", "room", "set_cls", "set_lo", "set_hi")}, **{c: pa.int64() for c in ("cls", "n", "lo", "hi", "added", "lacks", "fans")}, "core": pa.binary()}
+        out: dict[str, list] = {k: [] for k in names}
+        if left.num_rows:
+            x = {k: np.frombuffer(left.column(k)[0].as_py(), kind) for k, kind in FIELDS.items()}
+            grams = np.frombuffer(left.column("grams")[0].as_py(), np.uint32)
+            by = np.argsort(right.column("part").to_numpy())
+            blobs = right.column("codes").to_pylist()
+            codes = np.frombuffer(b"".join(blobs[i] for i in by), np.uint8)
+            distinct, inverse = np.unique(grams, return_inverse=True)
+            if len(distinct) != len(codes):
+                raise ValueError("a block of sets and its codes don't agree")
+            rank = codes[inverse].astype(np.uint64)
+            bounds = np.r_[0, np.cumsum(x["m"])]
+            shared = rank > 0
+            before = np.r_[0, np.cumsum(shared)]
+            for i in np.flatnonzero(x["fans"] >= 0):
+                own = slice(bounds[i], bounds[i + 1])
+                if before[bounds[i + 1]] > before[bounds[i]] or x["fans"][i]:
+                    for k in ("cls", "n", "lo", "hi", "added", "lacks", "fans"):
+                        out[k].append(int(x[k][i]))
+                    out["core"].append(grams[own][shared[own]].tobytes())
+            for k in ("part", "grams", "row", "room", "set_cls", "set_lo", "set_hi"):
+                out[k] += [None] * len(out["cls"])
+            rows = np.repeat(np.arange(len(x["m"]), dtype=np.uint64), x["m"])
+            keys = np.sort((rows << np.uint64(40)) | (rank << np.uint64(32)) | grams)
+            place = np.arange(len(keys)) - np.repeat(bounds[:-1], x["m"])
+            rows = (keys >> np.uint64(40)).astype(np.int64)
+            keep = ((keys >> np.uint64(32)) & np.uint64(255) > 0) & (place < x["pre"][rows])
+            rows, place, grams = rows[keep], place[keep], (keys[keep] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            room = x["n"][rows] - place + np.where(x["fans"][rows] > 0, x["added"][rows], 0)
+            part = (tk.mix(grams.astype(np.uint64), 9) % np.uint64(parts)).astype(np.int64)
+            order = np.lexsort((x["cls"][rows], grams, part))
+            rows, room, grams, part = rows[order], room[order], grams[order], part[order]
+            ends = np.searchsorted(part, np.arange(parts + 1))
+            for p in np.flatnonzero(np.diff(ends)):
+                at = slice(ends[p], ends[p + 1])
+                own, inner = np.unique(rows[at], return_inverse=True)
+                for k, v in (("part", int(p)), ("grams", _gaps(grams[at])), ("row", inner.astype(np.uint32).tobytes()), ("room", room[at].astype(np.uint32).tobytes()), ("set_cls", x["cls"][own].tobytes()), ("set_lo", x["lo"][own].astype(np.uint32).tobytes()), ("set_hi", x["hi"][own].astype(np.uint32).tobytes())):
+                    out[k].append(v)
+                for k in ("cls", "n", "lo", "hi", "added", "lacks", "fans", "core"):
+                    out[k].append(None)
+        return pa.table({k: pa.array(v, names[k]) for k, v in out.items()})
 
+    return run
 
-def _verify(threshold):
-    def run(batches):
-        for b in batches:
-            ok = [overlap(x := np.frombuffer(p.as_py(), np.uint32), y := np.frombuffer(q.as_py(), np.uint32)) >= least(threshold, len(x), len(y)) for p, q in zip(b.column("grams_a"), b.column("grams_b"))]
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return run
+def candidates(grams, cls, lo, hi, room, threshold):
+    """Pairs of entries, as places in the arrays, of lists' different classes that sizes and positions allow. Entries are sorted by n-gram."""
+    order = np.lexsort((lo, grams))
+    g, c = grams[order], cls[order]
+    if not len(g):
+        return
+    starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+    lengths = np.diff(np.r_[starts, len(g)])
+    mixed = (np.minimum.reduceat(c, starts) != np.maximum.reduceat(c, starts)) & (lengths > 1)  # a list of one class has no pair
+    order, lengths = order[np.repeat(mixed, lengths)], lengths[mixed]
+    if not len(order):
+        return
+    c, lo, hi, room = cls[order], lo[order].astype(np.int64), hi[order].astype(np.int64), room[order].astype(np.int64)
+    first = np.cumsum(lengths) - lengths
+    end = np.repeat(first + lengths, lengths)
+    blocks = -(-lengths // LIST_BLOCK)
+    heads = np.repeat(first, blocks) + (np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * LIST_BLOCK
+    block = np.searchsorted(heads, np.arange(len(c)), side="right") - 1
+    last_block = np.repeat(np.cumsum(blocks), lengths)
+    least_lo, most_hi, most_room = np.minimum.reduceat(lo, heads), np.maximum.reduceat(hi, heads), np.maximum.reduceat(room, heads)
+
+    def fits(i, other_lo, other_hi, other_room):
+        return (hi[i] >= threshold * other_lo - 1e-9) & (other_hi >= threshold * lo[i] - 1e-9) & (np.minimum(room[i], other_room) >= least(threshold, lo[i], other_lo))
+
+    def pairs(i, j):
+        hit = (c[i] != c[j]) & fits(i, lo[j], hi[j], room[j])
+        return order[i[hit]], order[j[hit]]
+
+    at = np.arange(len(c))
+    block_end = np.minimum(np.r_[heads[1:], len(c)][block], end)
+    for shift in range(1, LIST_BLOCK):  # within a block
+        at = at[at + shift < block_end[at]]
+        if not len(at):
+            break
+        yield pairs(at, at + shift)
+    at, shift = np.arange(len(c)), 1
+    while True:  # with whole blocks further on
+        at = at[block[at] + shift < last_block[at]]
+        if not len(at):
+            return
+        other = block[at] + shift
+        # sizes ascend: once a block is too large, so are all behind it
+        small = hi[at] >= threshold * least_lo[other] - 1e-9
+        at, other = at[small], other[small]
+        open_ = fits(at, least_lo[other], most_hi[other], most_room[other])
+        i, b = at[open_], other[open_]
+        for k in range(LIST_BLOCK):
+            j = heads[b] + k
+            inside = j < end[i]
+            i, b, j = i[inside], b[inside], j[inside]
+            if len(i):
+                yield pairs(i, j)
+        shift += 1
 
 
-def _verified(pairs: DataFrame, own: DataFrame, threshold: float, scratch: list[str]) -> DataFrame:
-    """The pairs that match, from their whole sets. Sets whose doc_id can't be in a pair aren't moved."""
-    spark = pairs.sparkSession
-    slots = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).mapInArrow(_mark_ids, "bits binary").collect()  # half a megabyte each
-    wanted = spark.sparkContext.broadcast(np.bitwise_or.reduce([np.frombuffer(r["bits"], np.uint8) for r in slots] or [np.zeros((1 << IDS_LOG2) // 8, np.uint8)]))
-    known = own.select("doc_id", "grams").mapInArrow(lambda it: _wanted(it, wanted), "doc_id bigint, grams binary")
-    wide = pairs.join(known.select(F.col("doc_id").alias("a"), F.col("grams").alias("grams_a")), "a").join(known.select(F.col("doc_id").alias("b"), F.col("grams").alias("grams_b")), "b")
-    return save(wide.select("a", "b", "grams_a", "grams_b").mapInArrow(_verify(threshold), "a bigint, b bigint"), "matches", scratch)
+def _meet(threshold):
+    def run(t: pa.Table) -> pa.Table:
+        grams, row, room, cls, lo, hi, before = [], [], [], [], [], [], 0
+        for r in t.select(["grams", "row", "room", "set_cls", "set_lo", "set_hi"]).to_pylist():
+            grams.append(_from_gaps(r["grams"]))
+            row.append(np.frombuffer(r["row"], np.uint32).astype(np.int64) + before)
+            room.append(np.frombuffer(r["room"], np.uint32))
+            cls.append(np.frombuffer(r["set_cls"], np.int64))
+            lo.append(np.frombuffer(r["set_lo"], np.uint32))
+            hi.append(np.frombuffer(r["set_hi"], np.uint32))
+            before += len(cls[-1])
+        grams, row, room, cls, lo, hi = map(np.concatenate, (grams, row, room, cls, lo, hi))
+        names, code = np.unique(cls, return_inverse=True)
+        code, lo, hi = code[row], lo[row], hi[row]
+        # a class's entries in one list are one
+        order = np.lexsort((code, grams))
+        g, c = grams[order], code[order]
+        begins = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (c[1:] != c[:-1])])
+        grams, code = g[begins], c[begins]
+        lo, hi, room = np.minimum.reduceat(lo[order], begins), np.maximum.reduceat(hi[order], begins), np.maximum.reduceat(room[order], begins)
+        seen, held = [np.zeros(0, np.uint64)], 0
+        for i, j in candidates(grams, code, lo, hi, room, threshold):
+            for k in range(0, len(i), 1 << 20):
+                x, y = code[i[k : k + (1 << 20)]], code[j[k : k + (1 << 20)]]
+                seen.append(np.unique((np.minimum(x, y).astype(np.uint64) << np.uint64(32)) | np.maximum(x, y).astype(np.uint64)))
+                held += len(seen[-1])
+                if held > 1 << 21:
+                    seen, held = [np.unique(np.concatenate(seen))], 0
+        keys = np.unique(np.concatenate(seen))
+        return pa.table({"a": pa.array(names[(keys >> np.uint64(32)).astype(np.int64)]), "b": pa.array(names[(keys & np.uint64(0xFFFFFFFF)).astype(np.int64)])})
+
+    return run
 
 
-def matched(docs: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(node, root) of the components of all matches."""
+def _answer(batches, threshold):
+    """Pairs of classes that match as a whole (full) or need their members compared; others go."""
+    for b in batches:
+        get = lambda k: b.column(k).to_numpy(zero_copy_only=False).astype(np.int64)  # noqa: B023, E731
+        common = np.array([overlap(np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)) for x, y in zip(b.column("core_a"), b.column("core_b"))], np.int64)
+        some = common + get("added_a") + get("added_b") >= least(threshold, get("lo_a"), get("lo_b"))
+        full = common - get("lacks_a") - get("lacks_b") >= least(threshold, get("hi_a"), get("hi_b"))
+        keep = pa.array(some | full)
+        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(full)], ["a", "b", "full"]).filter(keep)
+
+
+def _members(leader: np.ndarray, chunk) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    sets, ids, sizes, weights = [], [], [], []
+    for m in chunk:
+        less, more = np.frombuffer(m["less"], np.uint32), np.frombuffer(m["more"], np.uint32)
+        sets.append(np.concatenate([np.setdiff1d(leader, less, assume_unique=True), more]))
+        ids.append(m["doc_id"])
+        sizes.append(m["size"])
+        weights.append(m["docs"])
+    return sets, np.array(ids, np.int64), np.array(sizes, np.int64), np.array(weights, np.int64)
+
+
+def _compare(batches, threshold):
+    """Chunks of two classes' members -> the documents that each matches, and the classes, for each set that matches any."""
+    for b in batches:
+        for r in b.to_pylist():
+            a, ids_a, n_a, docs_a = _members(np.frombuffer(r["core_a"], np.uint32), r["chunk_a"])
+            o, ids_o, n_o, docs_o = _members(np.frombuffer(r["core_b"], np.uint32), r["chunk_b"])
+            names = np.unique(np.concatenate(a + o))
+            left, right = np.zeros((len(a), len(names)), np.float32), np.zeros((len(o), len(names)), np.float32)
+            for m, sets in ((left, a), (right, o)):
+                for i, x in enumerate(sets):
+                    m[i, np.searchsorted(names, x)] = 1
+            hit = left @ right.T >= least(threshold, n_a[:, None], n_o[None, :])
+            ids = np.r_[ids_a, ids_o]
+            links = np.r_[hit @ docs_o, hit.T @ docs_a]
+            some = links > 0
+            yield pa.RecordBatch.from_arrays([pa.array([r["a"]] * int(some.sum()), pa.int64()), pa.array([r["b"]] * int(some.sum()), pa.int64()), pa.array(ids[some]), pa.array(links[some])], ["a", "b", "doc_id", "links"])
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Marked for a broadcast if a saved table has few enough rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def one_text_each(docs: DataFrame, scratch: list[str]) -> DataFrame:
+    """doc_id and text; of rows that repeat a doc_id, the smallest text counts."""
+    rows = texts(docs)
+    again = save(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("again")), "again", scratch)
+    if again.isEmpty():
+        return rows
+    of = F.col("doc_id") == F.col("again")
+    return rows.join(small(again), of, "left_anti").unionByName(rows.join(small(again), of, "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+
+
+def links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id, n_links of each document that matches another: the smallest doc_id of its connected component, and how many documents it matches.
+
+    Rows without doc_id or text and texts without words match nothing; of rows that repeat a doc_id the one with the smallest text counts; ties need no rule;
+    other columns are ignored; an empty table gives none. The result is a saved table."""
     spark = docs.sparkSession
     small_batches(spark)
     scratch: list[str] = []
-    sets = texts(docs).mapInArrow(lambda it: _sets(it, n), "key bigint, doc_id bigint, n bigint, grams binary")
-    sets = sets.repartition(partitions(spark), "key").sortWithinPartitions("key", "n", "doc_id")
-    sets = save(sets.mapInArrow(lambda it: _lead(it, threshold), "doc_id bigint, label bigint, n bigint, grams binary"), "sets", scratch)
-    own = sets.where("grams IS NOT NULL")
-    summed = own.select("grams").mapInArrow(_sketch, "block int, counts binary").groupBy("block").applyInArrow(_sum_sketch, "block int, counts binary").collect()
-    order = np.zeros((BLOCKS, (1 << SKETCH_LOG2) // BLOCKS), np.uint8)
-    for r in summed:  # BLOCKS rows, whatever the input
-        order[r["block"]] = np.frombuffer(r["counts"], np.uint8)
-    shared = spark.sparkContext.broadcast(order.reshape(-1))
-    parts = max(8, partitions(spark) * 2 // 3)
-    fields = ", ".join(f"{k} binary" for k in ("grams", "row", "position", "doc_id", "label", "n", "sketch"))
-    entries = own.select("doc_id", "label", "grams").mapInArrow(lambda it: _entries(it, threshold, shared.value, parts), f"part int, {fields}")
-    pairs = save(entries.groupBy("part").applyInArrow(_reduce(threshold), "a bigint, b bigint").distinct(), "pairs", scratch)
-    # each set's first partner comes first; pairs that this puts in one component have their answer, and the rest are verified
-    chosen = save(pairs.groupBy("a").agg(F.min("b").alias("b")).unionByName(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")).distinct(), "chosen", scratch)
-    edges = sets.where("doc_id <> label").select(F.col("doc_id").alias("a"), F.col("label").alias("b")).unionByName(_verified(chosen, own, threshold, scratch))
-    found = save(components(edges, "groups"), "found", scratch)
-    of = lambda c: found.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    left = pairs.join(chosen, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    left = save(left.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "left", scratch)
-    if not left.isEmpty():
-        more = _verified(left, own, threshold, scratch)
-        if not more.isEmpty():
-            found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "groups")
-    found = save(found, "roots")
+    rows = one_text_each(docs, scratch)
+    digests = save(rows.mapInArrow(lambda it: _digests(it, n), "doc_id bigint, n bigint, h1 bigint, h2 bigint, key bigint"), "digests", scratch)
+    distinct = save(digests.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("docs"), F.min("n").alias("n"), F.min("key").alias("key")), "distinct", scratch)
+    equal = distinct.where("docs > 1").select("h1", "h2", "rep")
+    copies = save(digests.join(equal, ["h1", "h2"]).where("doc_id <> rep").select("doc_id", "rep"), "copies", scratch)
+    shared = distinct.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    crowd = save(distinct.join(shared, "key").select(F.col("rep").alias("crowd_id"), "key", F.pmod(F.xxhash64("rep"), F.ceil(F.col("c") / CROWD)).alias("salt")), "crowd", scratch)
+    rows = without(rows, copies.select("doc_id"))
+    alone = without(rows, crowd.select("crowd_id"))
+    alone = save(alone.mapInArrow(lambda it: _alone(it, n, threshold), SETS), "alone", scratch)
+    crowded = rows.join(small(crowd, BROADCAST_ROWS // 2), F.col("doc_id") == F.col("crowd_id")).select("doc_id", "text", "key", "salt")
+    crowded = crowded.mapInArrow(lambda it: _sets(it, n), "doc_id bigint, key bigint, salt bigint, n bigint, grams binary")
+    crowded = crowded.repartition(partitions(spark), "key", "salt").sortWithinPartitions("key", "salt", "n", "doc_id")
+    led = save(crowded.mapInArrow(lambda it: _lead(it, threshold), f"{SETS}, {MEMBERS}"), "led", scratch)
+    members = led.where("doc_id IS NOT NULL").select("doc_id", "leader", "size", "more", "less")
+    sets = alone.unionByName(led.where("block IS NOT NULL").select(*alone.columns))
+    total = distinct.agg(F.sum("n")).first()[0] or 0
+    parts = max(8, partitions(spark) // 2, math.ceil(total / PART_GRAMS))
+    counted = sets.select("block", "grams").mapInArrow(lambda it: _spread(it, parts), "part int, block bigint, grams binary, counts binary")
+    codes = counted.groupBy("part").applyInArrow(_codes, "block bigint, part int, codes binary")
+    index = sets.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(_index(parts), f"{INDEX}, {CORES}")
+    index = save(index, "index", scratch)
+    entries = index.where("part IS NOT NULL").select("part", "grams", "row", "room", "set_cls", "set_lo", "set_hi")
+    cores = index.where("cls IS NOT NULL").select("cls", "n", "lo", "hi", "added", "lacks", "fans", "core")
+    pairs = save(entries.groupBy("part").applyInArrow(_meet(threshold), "a bigint, b bigint").distinct(), "pairs", scratch)
+    wanted = save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids", scratch)
+    cores = save(cores.join(small(wanted), F.col("cls") == F.col("id"), "left_semi"), "cores", scratch)
+    side = lambda s, *more: cores.select(F.col("cls").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in (*more, "core")])
+    wide = pairs.join(side("a", "lo", "hi", "added", "lacks"), "a").join(side("b", "lo", "hi", "added", "lacks"), "b")
+    answered = save(wide.mapInArrow(lambda it: _answer(it, threshold), "a bigint, b bigint, full boolean"), "answered", scratch)
+
+    weights = distinct.select("rep", "docs").join(members.select(F.col("doc_id").alias("rep"), "leader"), "rep", "left").select("rep", "docs", F.coalesce("leader", "rep").alias("cls"))
+    weights = save(weights, "weights", scratch)
+    classes = save(weights.groupBy("cls").agg(F.sum("docs").alias("cls_docs")), "classes", scratch)
+    open_ = answered.where("NOT full").select("a", "b")
+    partial = spark.createDataFrame([], "a bigint, b bigint, doc_id bigint, links bigint")
+    if not open_.isEmpty():
+        ends = open_.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        own = members.unionByName(cores.select(F.col("cls").alias("doc_id"), F.col("cls").alias("leader"), F.col("n").alias("size"), F.lit(b"").alias("more"), F.lit(b"").alias("less")))
+        own = own.join(ends, F.col("leader") == F.col("id"), "left_semi").join(distinct.select(F.col("rep").alias("doc_id"), "docs"), "doc_id")
+        fans = cores.select(F.col("cls").alias("leader"), F.ceil((F.col("fans") + 1) / F.greatest(F.lit(1.0), F.least(F.lit(CHUNK_SETS), CHUNK_GRAMS / F.col("n")))).alias("chunks"))
+        chunks = own.join(fans, "leader").groupBy("leader", F.pmod(F.xxhash64("doc_id"), "chunks").alias("chunk")).agg(F.collect_list(F.struct("doc_id", "size", "more", "less", "docs")).alias("chunk_of"))
+        chunks = save(chunks.select("leader", "chunk_of"), "chunks", scratch)
+        of = lambda s: chunks.select(F.col("leader").alias(s), F.col("chunk_of").alias(f"chunk_{s}"))
+        wide = open_.join(side("a"), "a").join(side("b"), "b").join(of("a"), "a").join(of("b"), "b")
+        partial = save(wide.mapInArrow(lambda it: _compare(it, threshold), "a bigint, b bigint, doc_id bigint, links bigint"), "partial", scratch)
+
+    full = answered.where("full").select("a", "b")
+    both = full.unionByName(full.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    from_classes = both.join(classes.withColumnRenamed("cls", "b"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("cls_docs").alias("more"))
+    from_sets = partial.groupBy(F.col("doc_id").alias("rep")).agg(F.sum("links").alias("own"))
+    found = components(full.unionByName(partial.select("a", "b").distinct()), "groups")
+    out = weights.join(classes, "cls").join(from_classes, "cls", "left").join(from_sets, "rep", "left").join(found.withColumnRenamed("node", "cls"), "cls", "left")
+    out = out.select("rep", F.coalesce("root", "cls").alias("root"), (F.col("cls_docs") - 1 + F.coalesce("more", F.lit(0)) + F.coalesce("own", F.lit(0))).alias("n_links")).where("n_links > 0")
+    out = save(out, "linked", scratch)
+    out = out.join(out.groupBy("root").agg(F.min("rep").alias("class_id")), "root")
+    mine = out.select(F.col("rep").alias("doc_id"), "class_id", "n_links").unionByName(copies.join(out, "rep").select("doc_id", "class_id", "n_links"))
+    out = save(mine, "links")
     discard(spark, scratch)
-    return found
-
-
-def groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """keep_id, doc_ids, n_docs of each group of two documents or more; keep_id is the smallest doc_id, doc_ids ascend.
-
-    Documents of fewer than n words and rows without doc_id or text match nothing; rows that repeat a doc_id count as one document,
-    which has the matches of all its rows; ties need no rule; other columns are ignored; an empty table gives no group."""
-    found = matched(docs, n, threshold)
-    return found.groupBy(F.col("root").alias("keep_id")).agg(F.sort_array(F.collect_list("node")).alias("doc_ids")).withColumn("n_docs", F.size("doc_ids").cast("bigint"))
+    return out
 
 
 def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents without those of a group other than its keep_id; rows without doc_id stay."""
-    return without(docs, matched(docs, n, threshold).where("node <> root").select("node"))
+    """The documents without those of a class other than its smallest doc_id; rows without doc_id stay. Nulls, repeats, ties and empty tables as in links();
+    all columns are returned, whatever their names."""
+    return without(docs, links(docs, n, threshold).where("doc_id <> class_id").select("doc_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups(table(spark, sf_dir, "documents"))
+    return links(table(spark, sf_dir, "documents"))
 
 
 SQL = f"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-grams AS (SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM words, LATERAL (SELECT unnest(range(1, len(w) - 1)) AS i)),
+grams AS (
+  SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM words, LATERAL (SELECT unnest(range(1, len(w) - 1)) AS i)
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM words WHERE len(w) BETWEEN 1 AND 2),
 sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY 1),
 common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
 matches AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE c >= ceil({THRESHOLD} / (1 + {THRESHOLD}) * (x.n + y.n) - 1e-9)),
 edges AS (SELECT a, b FROM matches UNION SELECT b, a FROM matches),
 reach AS (SELECT a AS node, b AS other FROM edges UNION SELECT r.node, e.b FROM reach r JOIN edges e ON e.a = r.other),
-roots AS (SELECT node, least(node, min(other)) AS root FROM reach GROUP BY node)
-SELECT root AS keep_id, list_sort(list(node)) AS doc_ids, count(*) AS n_docs FROM roots GROUP BY root
+roots AS (SELECT node, least(node, min(other)) AS root FROM reach GROUP BY node),
+degrees AS (SELECT a, count(*) AS n_links FROM edges GROUP BY a)
+SELECT node AS doc_id, root AS class_id, n_links FROM roots JOIN degrees ON a = node
 """

@@ -56,13 +56,13 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
-def jaccard_groups(docs, n, threshold):
+def jaccard_links(docs, n, threshold):
     sets = {}
-    for i, t in docs:
+    for i, t in sorted(docs, key=lambda r: (r[0] is None, r[0], r[1] is None, r[1])):
         w = tk.words_of(t)
-        g = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
-        if i is not None and t is not None and g:
-            sets.setdefault(i, []).append(g)
+        g = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} or ({tuple(w)} if w else set())
+        if i is not None and t is not None and i not in sets:
+            sets[i] = g
     root = {i: i for i in sets}
 
     def find(x):
@@ -70,43 +70,72 @@ def jaccard_groups(docs, n, threshold):
             x = root[x]
         return x
 
+    n_links = dict.fromkeys(sets, 0)
     for a in sets:
         for b in sets:
-            if a < b and any(len(x & y) / len(x | y) >= threshold - 1e-9 for x in sets[a] for y in sets[b]):
+            if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= threshold - 1e-9:
+                n_links[a] += 1
+                n_links[b] += 1
                 ra, rb = find(a), find(b)
                 root[max(ra, rb)] = min(ra, rb)
-    groups = {}
-    for i in sets:
-        groups.setdefault(find(i), []).append(i)
-    return sorted((k, sorted(v)) for k, v in groups.items() if len(v) > 1)
+    return sorted((i, find(i), k) for i, k in n_links.items() if k)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_ngram_join(spark, seed):
+def linked(docs):
+    return collected(ngram_join.links(docs), "doc_id", "class_id", "n_links")
+
+
+@pytest.mark.parametrize("seed", [1, 4])
+def test_ngram_join(spark, seed, monkeypatch):
+    if seed == 4:  # hot groups are split
+        monkeypatch.setattr(ngram_join, "CROWD", 3)
+        monkeypatch.setattr(ngram_join, "CHUNK_SETS", 2)
+        monkeypatch.setattr(ngram_join, "PART_GRAMS", 100)
     rng = random.Random(seed)
     rows, vocabulary = [], [f"w{i}" for i in range(400)]
-    for i in range(120):
+    for i in range(200):
         if i % 4 and rows:
-            words = rng.choice(rows)[1].split()
-            share = rng.choice([0, 0.02, 0.08, 0.15, 0.3])
+            words = (rng.choice(rows) if seed % 2 else rng.choice(rows[:3]))[1].split()
+            share = rng.choice([0, 0.01, 0.02, 0.08, 0.15, 0.3])
             words = [rng.choice(vocabulary) if rng.random() < share else w for w in words]
+            words = words[: rng.choice([len(words), len(words), len(words) * 2 // 3])]
         else:
-            words = [rng.choice(vocabulary) for _ in range(rng.choice([2, 5, 20, 60, 150]))]
+            words = [rng.choice(vocabulary) for _ in range(rng.choice([1, 2, 5, 20, 60, 150]))]
         rows.append((i, " ".join(words)))
     rng.shuffle(rows)
     docs = make(spark, rows)
-    got = sorted((r["keep_id"], list(r["doc_ids"])) for r in ngram_join.groups(docs).collect())
-    assert got == jaccard_groups(rows, ngram_join.N, ngram_join.THRESHOLD) and got
-    gone = {x for k, v in got for x in v if x != k}
+    got = linked(docs)
+    assert got == jaccard_links(rows, ngram_join.N, ngram_join.THRESHOLD) and got
+    gone = {i for i, root, _ in got if i != root}
     assert sorted(r["doc_id"] for r in ngram_join.keep_one(docs).collect()) == sorted(i for i, _ in rows if i not in gone)
 
 
 def test_ngram_join_awkward(spark):
     docs = awkward(spark)
-    assert [(r["keep_id"], list(r["doc_ids"])) for r in ngram_join.groups(docs).collect()] == [(3, [3, 4])]
+    assert linked(docs) == [(3, 3, 1), (4, 3, 1)]
     kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns and sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 1, 2, 3, 5, 6, 7, 8, 9, 10, 11]
-    assert ngram_join.groups(docs.limit(0)).count() == 0 and ngram_join.keep_one(docs.limit(0)).count() == 0
+    assert ngram_join.links(docs.limit(0)).count() == 0 and ngram_join.keep_one(docs.limit(0)).count() == 0
+    rows = [(1, "b c d e"), (1, "a b c d"), (2, "a b c d"), (3, "b c d e"), (4, "one two"), (5, "two one"), (6, "One, two!"), (7, ""), (8, None), (None, "one two")]
+    assert linked(make(spark, rows)) == [(1, 1, 1), (2, 1, 1), (4, 4, 1), (6, 4, 1)]
+
+
+@pytest.mark.parametrize("most", [1 << 20, 70_000, 300])
+def test_gaps(most):
+    x = np.unique(np.random.default_rng(most).integers(0, 1 << 32, most // 100, dtype=np.uint32) if most > 300 else np.array([0, 65534, 65535, 65536, 1 << 31, (1 << 32) - 1], np.uint32))
+    assert (ngram_join._from_gaps(ngram_join._gaps(x)) == x).all()
+    assert (ngram_join._from_gaps(ngram_join._gaps(np.array([3, 3, 70_000], np.uint32))) == [3, 3, 70_000]).all()
+
+
+def test_list_blocks():
+    rng = np.random.default_rng(4)
+    n = 400
+    grams, cls = np.sort(rng.integers(0, 12, n)), rng.integers(0, 90, n)
+    lo = rng.integers(3, 60, n)
+    hi, room = lo + rng.integers(0, 5, n), rng.integers(1, 60, n)
+    got = {(min(x, y), max(x, y)) for i, j in ngram_join.candidates(grams, cls, lo, hi, room, 0.5) for x, y in zip(i, j)}
+    fits = lambda i, j: grams[i] == grams[j] and cls[i] != cls[j] and hi[i] >= 0.5 * lo[j] and hi[j] >= 0.5 * lo[i] and min(room[i], room[j]) >= ngram_join.least(0.5, lo[i], lo[j])
+    assert got == {(i, j) for i in range(n) for j in range(i + 1, n) if fits(i, j)}
 
 
 def test_language_id(spark):
