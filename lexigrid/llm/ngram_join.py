@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .graph import components
-from .shared import BROADCAST_ROWS, discard, partitions, save, small_batches, table, texts, without
+from .shared import BROADCAST_ROWS, discard, partitions, save, small, small_batches, table, texts, without
 
 N = 3
 THRESHOLD = 0.5
@@ -218,21 +218,21 @@ def _lead(batches, threshold):
 
 
 def _gaps(sorted_: np.ndarray) -> bytes:
-    """Ascending 32-bit numbers: a byte 1 and 16-bit gaps (65535: and more), or a byte 0 and the numbers, whichever is shorter."""
-    gaps = np.diff(sorted_.astype(np.int64), prepend=0)
+    """Ascending 32-bit numbers: a byte 1, the first, and 16-bit gaps (65535: and more), or a byte 0 and the numbers, whichever is shorter."""
+    gaps = np.diff(sorted_.astype(np.int64))
     more = gaps // 65535
     if 2 * (len(gaps) + more.sum()) >= 4 * len(gaps):
         return b"\0" + sorted_.astype(np.uint32).tobytes()
     out = np.full(len(gaps) + more.sum(), 65535, np.uint16)
     out[np.cumsum(more + 1) - 1] = gaps - 65535 * more
-    return b"\1" + out.tobytes()
+    return b"\1" + sorted_[:1].astype(np.uint32).tobytes() + out.tobytes()
 
 
 def _from_gaps(data: bytes) -> np.ndarray:
     if data[:1] == b"\0":
         return np.frombuffer(data, np.uint32, offset=1)
-    gaps = np.frombuffer(data, np.uint16, offset=1)
-    return np.cumsum(gaps, dtype=np.uint32)[gaps != 65535]
+    gaps = np.frombuffer(data, np.uint16, offset=5)
+    return np.frombuffer(data, np.uint32, 1, 1) + np.r_[np.uint32(0), np.cumsum(gaps, dtype=np.uint32)[gaps != 65535]]
 
 
 def _spread(batches, parts):
@@ -448,11 +448,6 @@ def _compare(batches, threshold):
             yield pa.RecordBatch.from_arrays([pa.array([r["a"]] * int(some.sum()), pa.int64()), pa.array([r["b"]] * int(some.sum()), pa.int64()), pa.array(ids[some]), pa.array(links[some])], ["a", "b", "doc_id", "links"])
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marked for a broadcast if a saved table has few enough rows."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def one_text_each(docs: DataFrame, scratch: list[str]) -> DataFrame:
     """doc_id and text; of rows that repeat a doc_id, the smallest text counts."""
     rows = texts(docs)
