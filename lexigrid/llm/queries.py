@@ -13,10 +13,12 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.query,
     "op9_site_quality": site_quality.query,
     "op10_archive": archive.query,
+    "vector_join_wide": vector_join.wide,
 }
 SQL = {
     "op3_ngram_join": ngram_join.SQL,
     "op5_vector_join": vector_join.SQL,
+    "vector_join_wide": vector_join.SQL_WIDE,
     "op8_suffix_dedup": suffix_dedup.SQL,
     "op10_archive": archive.SQL,
 }

@@ -74,14 +74,17 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Marked for a broadcast if a saved table has few enough rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id isn't in the one column of ids, a saved table; a null doc_id never is.
 
     Up to BROADCAST_ROWS ids are broadcast, so that the documents stay where they are."""
     name = free_name(docs, "__gone")
-    ids = ids.toDF(name)
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    return docs.join(ids, F.col("doc_id") == F.col(name), "left_anti")
+    return docs.join(small(ids.toDF(name)), F.col("doc_id") == F.col(name), "left_anti")
 
 
 def partitions(spark: SparkSession) -> int:

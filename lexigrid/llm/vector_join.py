@@ -4,10 +4,14 @@ Vectors are scaled to length one; a pair matches if its cosine is COSINE at leas
 a hash, part the space: a vector lives in its nearest pivot's cell. If y lives in cell j and a vector within RANGE lives in
 cell i, then d(y, pivot i) - d(y, pivot j) <= 2 RANGE by the triangle inequality, so y is copied to just those cells, and only to cells
 of a smaller number, as the pair is then found in the smaller of its two cells. Of those cells, only the ones are kept whose bordering plane
-(of points as far from one pivot as from the other) is within RANGE of y. Cells join independently and no pair is found twice.
+(of points as far from one pivot as from the other) is within RANGE of y. Cells join independently and no pair is found twice. A cell of more than
+MOST_CELL vectors is cut into blocks, and each pair of blocks is a task of its own.
+
+Equal vectors are one beforehand. A cell returns no pairs, whose number grows with the square of a group of copies, but for each vector how many it matches,
+and its group within the cell; connected components of these are the classes. Each dimension is joined for itself.
 
 Vectors without clusters lie near most borders: then most cells of a smaller number get a copy, and the work is that of comparing all pairs, in
-independent parts. Only the pivots, MOST_PIVOTS at most, are broadcast.
+independent parts. Only the pivots, of PIVOT_BYTES at most, and the numbers of blocks of oversize cells are broadcast.
 """
 
 from __future__ import annotations
@@ -18,99 +22,193 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import fresh_path, save, small_batches, table
+from .graph import components
+from .shared import discard, save, small, small_batches, table
 
 COSINE = 0.95
-#: Vectors that a cell should hold; never fewer than LEAST_PIVOTS cells, never more than MOST_PIVOTS.
+#: Vectors that a cell should hold; never fewer than LEAST_PIVOTS cells.
 CELL = 2048
+MOST_CELL = 8 * CELL
 LEAST_PIVOTS = 16
-MOST_PIVOTS = 4096
+PIVOT_BYTES = 32 << 20
 BLOCK = 1024
+UNIT = 1 << 30
 
 
-def _unit(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    x = flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _assign(batches, pivots, span):
-    """cell, own, vec_id, vector for a vector's own cell and the cells that it is copied to."""
-    p = pivots.value
+def _homes(x: np.ndarray, p: np.ndarray, span: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For unit vectors x and pivots p: each vector's cell, and (vector, cell) of its copies."""
+    d = np.sqrt(np.maximum(2 - 2 * x @ p.T, 0))
+    cell = d.argmin(1)
+    near = d[np.arange(len(x)), cell]
+    apart = np.sqrt(np.maximum(2 - 2 * p[cell] @ p.T, 0))
+    close = (d - near[:, None] <= 2 * span + 1e-9) & (d**2 - near[:, None] ** 2 <= 2 * span * apart + 1e-9)
+    return cell, *np.nonzero(close & (np.arange(len(p)) < cell[:, None]))
+
+
+def _placed(batches, pivots, span):
+    """For each batch and dimension: columns, rows of the batch, and those of _homes()."""
     for b in batches:
         if not b.num_rows:
             continue
-        x = _unit(b.column("vector"))
-        ids = b.column("vec_id").to_numpy(zero_copy_only=False)
-        d = np.sqrt(np.maximum(2 - 2 * x @ p.T, 0))
-        cell = d.argmin(1)
-        near = d[np.arange(len(x)), cell]
-        apart = np.sqrt(np.maximum(2 - 2 * p[cell] @ p.T, 0))
-        close = (d - near[:, None] <= 2 * span + 1e-9) & (d**2 - near[:, None] ** 2 <= 2 * span * apart + 1e-9)
-        rows, cells = np.nonzero(close & (np.arange(len(p)) < cell[:, None]))
-        rows, cells = np.r_[np.arange(len(x)), rows], np.r_[cell, cells]
-        own = np.r_[np.ones(len(x), bool), np.zeros(len(rows) - len(x), bool)]
-        for at in range(0, len(rows), 4096):
-            cut = slice(at, at + 4096)
-            vectors = x[rows[cut]]
-            yield pa.RecordBatch.from_arrays([pa.array(cells[cut].astype(np.int64)), pa.array(own[cut]), pa.array(ids[rows[cut]].astype(np.int64)), pa.array([v.tobytes() for v in vectors], pa.binary())], ["cell", "own", "vec_id", "vector"])
-
-
-def _join(cosine):
+        vectors = b.column("vector")
+        sizes = np.diff(vectors.offsets.to_numpy())
+        flat = vectors.flatten().to_numpy(zero_copy_only=False)
+        starts = np.cumsum(sizes) - sizes
+        for k in np.unique(sizes):
+            rows = np.flatnonzero(sizes == k)
+            raw = flat[starts[rows][:, None] + np.arange(k)]
+            yield b, int(k), rows, raw, *_homes(_unit(raw), pivots[int(k)], span)
+
+
+def _sizes(batches, pivots, span):
+    for _, k, rows, _, cell, _, other in _placed(batches, pivots.value, span):
+        own, copies = np.bincount(cell, minlength=len(pivots.value[k])), np.bincount(other, minlength=len(pivots.value[k]))
+        some = np.flatnonzero(own + copies)
+        yield pa.RecordBatch.from_arrays([pa.array([k] * len(some), pa.int32()), pa.array(some.astype(np.int32)), pa.array(own[some].astype(np.int64)), pa.array(copies[some].astype(np.int64))], ["k", "cell", "own", "copies"])
+
+
+def _assign(batches, plan, span):
+    """Rows of tasks: dimension, cell, blocks i <= j of the cell, role (0: own in block i, 1: own in block j, 2: copy in block j, 3: copy in block i), vector."""
+    pivots, cuts = plan.value
+    for b, k, rows, raw, cell, copied, other in _placed(batches, pivots, span):
+        ids, docs = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64)[rows] for c in ("vec_id", "docs"))
+        out: list[tuple[int, int, int, int, int]] = []
+        for r, c, role in [*((r, c, 0) for r, c in enumerate(cell.tolist())), *((r, c, 2) for r, c in zip(copied.tolist(), other.tolist()))]:
+            blocks = cuts.get((k, c), 1)
+            mine = hash((int(ids[r]), c)) % blocks if blocks > 1 else 0
+            if role == 2:
+                out += [(r, c, i, mine, 2) for i in range(mine + 1)] + [(r, c, mine, j, 3) for j in range(mine + 1, blocks)]
+            else:
+                out += [(r, c, mine, j, 0) for j in range(mine, blocks)] + [(r, c, i, mine, 1) for i in range(mine)]
+        for at in range(0, len(out), 4096):
+            r, c, i, j, role = (np.array(x) for x in zip(*out[at : at + 4096]))
+            blobs = [raw[x].tobytes() for x in r]
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(r), pa.int32()), *[pa.array(x.astype(np.int32)) for x in (c, i, j, role)], pa.array(ids[r]), pa.array(docs[r]), pa.array(blobs, pa.binary())], ["k", "cell", "i", "j", "role", "vec_id", "docs", "vector"])
+
+
+def _roots(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest member of each component of parent's and the edges a - b, by hooking and pointer jumping."""
+    while True:
+        ra, rb = parent[a], parent[b]
+        apart = ra != rb
+        if not apart.any():
+            return parent
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+
+
+def _join(cosine, kind):
+    """Own vectors of block i against those of block j (of block i itself if there is one block) and its copies, own ones of block j against block i's copies."""
+
     def run(t: pa.Table) -> pa.Table:
-        ids, own = t.column("vec_id").to_numpy(), t.column("own").to_numpy(zero_copy_only=False)
-        x = np.frombuffer(b"".join(v.as_py() for v in t.column("vector")), np.float64).reshape(len(ids), -1)
-        order = np.argsort(~own, kind="stable")
-        ids, x, n_own = ids[order], x[order], int(own.sum())
-        a, b, c = [], [], []
-        for i in range(0, n_own, BLOCK):
-            for j in range(i, len(ids), BLOCK):
-                near = x[i : min(i + BLOCK, n_own)] @ x[j : j + BLOCK].T
-                u, v = np.nonzero(near >= cosine)
-                keep = (u + i < v + j) & (ids[u + i] != ids[v + j])
-                u, v = u[keep], v[keep]
-                a.append(ids[u + i])
-                b.append(ids[v + j])
-                c.append(near[u, v])
-        a, b, c = (np.concatenate(k) if k else np.zeros(0, kind) for k, kind in ((a, np.int64), (b, np.int64), (c, float)))
-        return pa.table({"vec_a": pa.array(np.minimum(a, b)), "vec_b": pa.array(np.maximum(a, b)), "cosine": pa.array(c)})
+        role = t.column("role").to_numpy()
+        order = np.lexsort((t.column("vec_id").to_numpy(), role))
+        role, ids, docs = role[order], t.column("vec_id").to_numpy()[order], t.column("docs").to_numpy()[order]
+        x = _unit(np.frombuffer(b"".join(v.as_py() for v in t.column("vector").take(pa.array(order))), kind).reshape(len(ids), -1))
+        at = np.searchsorted(role, np.arange(5))
+        whole = t.column("i")[0].as_py() == t.column("j")[0].as_py()
+        links, parent = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        for left, right in (((at[0], at[1]), (at[0] if whole else at[1], at[3])), ((at[1], at[2]), (at[3], at[4]))):
+            for i in range(left[0], left[1], BLOCK):
+                for j in range(max(right[0], i if whole else 0), right[1], BLOCK):
+                    u, v = np.nonzero(x[i : min(i + BLOCK, left[1])] @ x[j : min(j + BLOCK, right[1])].T >= cosine)
+                    u, v = u + i, v + j
+                    u, v = u[u < v], v[u < v]
+                    if len(u):
+                        np.add.at(links, u, docs[v])
+                        np.add.at(links, v, docs[u])
+                        parent = _roots(parent, u, v)
+        some = links > 0
+        return pa.table({"vec_id": pa.array(ids[some]), "near": pa.array(ids[parent[some]]), "links": pa.array(links[some])})
 
     return run
 
 
-def near_pairs(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """vec_a < vec_b and their cosine, rounded to 4 places, of all pairs with this cosine or more.
+def links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
+    """vec_id, class_id, n_links of each vector that another is near: the smallest vec_id of its connected component, and how many vectors are near.
 
-    Rows without vec_id or embedding, with a null, NaN or infinite element, of length zero, or with another dimension than most rows, match nothing.
-    Rows that repeat a vec_id don't match each other, and a pair of ids found twice is one with its largest cosine; ties at the bound
-    count as matches; other columns are ignored; an empty table gives none."""
+    Rows without vec_id or embedding, with a null, NaN or infinite element, or of length zero match nothing; vectors of different dimensions don't match. Of rows
+    that repeat a vec_id the smallest vector counts; ties at the bound count as matches; other columns are ignored; an empty table gives none. The result is a saved table."""
     spark = vectors.sparkSession
     small_batches(spark)
-    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    scratch: list[str] = []
+    given = vectors.schema["embedding"].dataType
+    single = isinstance(given, T.ArrayType) and isinstance(given.elementType, T.FloatType)
+    kind, name = (np.float32, "float") if single else (np.float64, "double")
+    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast(f"array<{name}>").alias("vector"))
     sound = rows.where("vec_id IS NOT NULL AND vector IS NOT NULL AND size(vector) > 0").where(F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vector", lambda v: v != 0))
-    sound = save(sound, "vectors")
-    sizes = sound.groupBy(F.size("vector").alias("k")).agg(F.count("*").alias("n")).collect()  # a row a dimension
-    if not sizes:
-        return spark.createDataFrame([], "vec_a bigint, vec_b bigint, cosine double")
-    k, n = max(((r["k"], r["n"]) for r in sizes), key=lambda x: (x[1], -x[0]))
-    sound = sound.where(F.size("vector") == k)
-    count = min(MOST_PIVOTS, max(LEAST_PIVOTS, math.ceil(n / CELL)))
-    picked = sound.orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id").limit(count).select("vector").toArrow()
-    pivots = spark.sparkContext.broadcast(_unit(picked.column("vector").combine_chunks()))
-    span = math.sqrt(max(2 - 2 * cosine, 0))
-    placed = sound.mapInArrow(lambda it: _assign(it, pivots, span), "cell bigint, own boolean, vec_id bigint, vector binary")
-    pairs = placed.groupBy("cell").applyInArrow(_join(cosine), "vec_a bigint, vec_b bigint, cosine double")
-    return pairs.groupBy("vec_a", "vec_b").agg(F.round(F.max("cosine"), 4).alias("cosine"))
+    again = save(sound.groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("vec_id").alias("again")), "again", scratch)
+    if not again.isEmpty():
+        of = F.col("vec_id") == F.col("again")
+        sound = sound.join(small(again), of, "left_anti").unionByName(sound.join(small(again), of, "left_semi").groupBy("vec_id").agg(F.min("vector").alias("vector")))
+    # adding 0.0 makes one zero of both
+    digests = save(sound.select("vec_id", F.size("vector").alias("k"), F.transform("vector", lambda v: v + F.lit(0.0).cast(name)).alias("v")).select("vec_id", "k", F.xxhash64("v").alias("h1"), F.xxhash64("v", F.lit(3)).alias("h2")), "digests", scratch)
+    distinct = save(digests.groupBy("k", "h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("docs")), "distinct", scratch)
+    several = distinct.where("docs > 1").select("k", "h1", "h2", "rep", "docs")
+    copies = save(digests.join(several, ["k", "h1", "h2"]).select("vec_id", "rep", "docs"), "copies", scratch)
+    # vectors without a copy, and one of each group of equal ones
+    known = small(copies.select(F.col("vec_id").alias("own"), "rep", "docs"))
+    sound = sound.join(known, F.col("vec_id") == F.col("own"), "left").where("own IS NULL OR rep = vec_id").select("vec_id", F.coalesce("docs", F.lit(1)).cast("bigint").alias("docs"), "vector")
+    numbers = {r["k"]: r["n"] for r in distinct.groupBy("k").agg(F.count("*").alias("n")).collect()}  # a row a dimension
+    if not numbers:
+        discard(spark, scratch)
+        return spark.createDataFrame([], "vec_id bigint, class_id bigint, n_links bigint")
+    counts = {k: max(1, min(n, PIVOT_BYTES // (8 * k * len(numbers)), max(LEAST_PIVOTS, math.ceil(n / CELL)))) for k, n in numbers.items()}
+    share = F.create_map(*[F.lit(x) for k, n in numbers.items() for x in (k, UNIT if n <= 4 * counts[k] + 64 else math.ceil(UNIT * (2 * counts[k] + 32) / n))])
+    hashed = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(UNIT))
+    found: dict[int, list] = {k: [] for k in numbers}
+    for r in sound.where(hashed < share[F.size("vector")]).select(hashed.alias("h"), "vec_id", "vector").collect():  # some more than the pivots
+        found[len(r["vector"])].append((r["h"], r["vec_id"], r["vector"]))
+    held = {k: _unit(np.array([v for _, _, v in sorted(rows)[: counts[k]]])) if rows else np.eye(1, k) for k, rows in found.items()}
+    pivots, span = spark.sparkContext.broadcast(held), math.sqrt(max(2 - 2 * cosine, 0))
+    sizes = sound.select("vector").mapInArrow(lambda it: _sizes(it, pivots, span), "k int, cell int, own bigint, copies bigint").groupBy("k", "cell").agg(F.sum("own").alias("own"), F.sum("copies").alias("copies"))
+    cuts = {(r["k"], r["cell"]): math.ceil((r["own"] + r["copies"]) / CELL) for r in sizes.where(F.col("own") + F.col("copies") > MOST_CELL).collect()}  # no more than pivots
+    plan = spark.sparkContext.broadcast((held, cuts))
+    placed = sound.mapInArrow(lambda it: _assign(it, plan, span), "k int, cell int, i int, j int, role int, vec_id bigint, docs bigint, vector binary")
+    near = save(placed.groupBy("k", "cell", "i", "j").applyInArrow(_join(cosine, kind), "vec_id bigint, near bigint, links bigint"), "near", scratch)
+    roots = components(near.select(F.col("vec_id").alias("a"), F.col("near").alias("b")), "vector-groups")
+    per = near.groupBy(F.col("vec_id").alias("rep")).agg(F.sum("links").alias("n"))
+    per = save(per.join(roots, F.col("rep") == F.col("node")).select("rep", "n", "root"), "linked", scratch)
+    mine = copies.join(per, "rep", "left").select("vec_id", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("docs") - 1).alias("n_links"))
+    alone = per.join(copies.select(F.col("vec_id").alias("rep")), "rep", "left_anti").select(F.col("rep").alias("vec_id"), F.col("root").alias("class_id"), F.col("n").alias("n_links"))
+    out = save(mine.unionByName(alone), "links")
+    discard(spark, scratch)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_pairs(table(spark, sf_dir, "embeddings"))
+    return links(table(spark, sf_dir, "embeddings"))
+
 
+#: A bound at which the small tables have pairs too.
+WIDE = 0.42
 
-SQL = f"""
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
-u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v)
-SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, round(list_dot_product(a.e, b.e), 4) AS cosine
-FROM u a JOIN u b ON a.vec_id < b.vec_id WHERE list_dot_product(a.e, b.e) >= {COSINE}
+
+def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links(table(spark, sf_dir, "embeddings"), WIDE)
+
+
+def sql(cosine: float) -> str:
+    return f"""
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+u AS MATERIALIZED (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v),
+matches AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id < b.vec_id WHERE list_dot_product(a.e, b.e) >= {cosine}),
+edges AS MATERIALIZED (SELECT a, b FROM matches UNION ALL SELECT b, a FROM matches),
+reach AS (SELECT a AS node, b AS other FROM edges UNION SELECT r.node, e.b FROM reach r JOIN edges e ON e.a = r.other),
+roots AS (SELECT node, least(node, min(other)) AS root FROM reach GROUP BY node),
+degrees AS (SELECT a, count(*) AS n_links FROM edges GROUP BY a)
+SELECT node AS vec_id, root AS class_id, n_links FROM roots JOIN degrees ON a = node
 """
+
+
+SQL = sql(COSINE)
+SQL_WIDE = sql(WIDE)
