@@ -9,6 +9,7 @@ records is read.
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import io
@@ -33,6 +34,11 @@ PACKAGE_BYTES = 64 << 20
 TIME = "20260101000000"
 END, END64, LOCATOR64, ENTRY, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
 MOST_COMMENT = 65_535
+#: Header of a record that stands for a null text.
+NO_TEXT = "x-no-text"
+#: Records are read together if no more than GAP bytes lie between them, up to MOST_READ bytes at once.
+GAP = 64 << 10
+MOST_READ = 8 << 20
 
 
 class Member:
@@ -111,7 +117,7 @@ def record_ranges(read, size: int) -> Iterator[tuple[str, int, int, str]]:
             if "{" not in line or line.startswith("!"):
                 continue
             fields = json.loads(line[line.index("{") :])
-            target = "archive/" + fields["filename"]
+            target = fields["filename"] if fields["filename"] in members else "archive/" + fields["filename"]
             if target not in members:
                 raise ValueError(f"an index names {target}, which isn't in the package")
             if members[target].method != 0:
@@ -127,7 +133,7 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     """Headers (lower case) and block of a record."""
     data = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
     head, _, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8").split("\r\n")
+    lines = head.decode("utf-8", "replace").split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError("not a WARC record")
     headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
@@ -137,11 +143,66 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[:length]
 
 
+def _dechunked(body: bytes) -> bytes:
+    """The body of a chunked HTTP message; as it is if it isn't one."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = body[at:end].split(b";")[0].strip() if end >= 0 else b""
+        if not size or any(c not in b"0123456789abcdefABCDEF" for c in size):
+            return body
+        n = int(size, 16)
+        if not n:
+            return b"".join(out)
+        if end + 2 + n > len(body):
+            return body
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 2 + n + 2
+
+
+def payload(headers: dict[str, str], block: bytes) -> tuple[bytes, list[bytes]]:
+    """What the record is about, and what its payload digest may cover: for HTTP messages the body, with and without its transfer encoding."""
+    if not headers.get("content-type", "").replace(" ", "").lower().startswith("application/http"):
+        return block, [block]
+    head, mark, body = block.partition(b"\r\n\r\n")
+    if not mark or not head.startswith(b"HTTP/") and headers.get("warc-type") != "request":
+        return block, [block]
+    fields = {k.strip().lower(): v.strip().lower() for k, _, v in (x.partition(":") for x in head.decode("latin-1").split("\r\n")[1:])}
+    plain = _dechunked(body) if "chunked" in fields.get("transfer-encoding", "") else body
+    text, coding = plain, fields.get("content-encoding", "")
+    try:
+        if coding in ("gzip", "x-gzip"):
+            text = gzip.decompress(plain)
+        elif coding == "deflate":
+            text = zlib.decompress(plain, -15 if plain[:1] != b"x" else 15)
+    except (OSError, EOFError, zlib.error):
+        text = plain  # some archives keep the header of a body that they have decoded
+    return text, [plain, body, block, text]
+
+
+def agrees(digest: str, contents: list[bytes]) -> bool:
+    """Whether a labelled digest (``sha1:`` in hexadecimal or base 32, ``sha256:``, ``md5:``) is that of any of these; other labels can't be checked."""
+    name, _, value = digest.partition(":")
+    name = name.lower().replace("-", "")
+    if name not in ("sha1", "sha256", "md5"):
+        return True
+    for c in contents:
+        own = hashlib.new(name, c).digest()
+        if value.lower() == own.hex() or value.upper().rstrip("=") == base64.b32encode(own).decode().rstrip("="):
+            return True
+    return False
+
+
+def text_of(headers: dict[str, str], body: bytes) -> str | None:
+    """The payload as text; None for the mark of a page without any."""
+    return None if headers.get(NO_TEXT) else body.decode("utf-8", "replace")
+
+
 def make_record(number: int, url: str, html: str | None) -> bytes:
     body = b"" if html is None else html.encode()
     kind = b"metadata" if html is None else b"resource"
     digest = hashlib.sha1(body).hexdigest()
-    head = b"WARC/1.1\r\nWARC-Type: %b\r\nWARC-Record-ID: <urn:page:%d>\r\nWARC-Target-URI: %b\r\nWARC-Date: 2026-01-01T00:00:00Z\r\nWARC-Payload-Digest: sha1:%b\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % (kind, number, url.replace("\r", "%0D").replace("\n", "%0A").encode(), digest.encode(), len(body))
+    head = b"WARC/1.1\r\nWARC-Type: %b\r\nWARC-Record-ID: <urn:page:%d>\r\nWARC-Target-URI: %b\r\nWARC-Date: 2026-01-01T00:00:00Z\r\nWARC-Payload-Digest: sha1:%b\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n%b\r\n" % (kind, number, url.replace("\r", "%0D").replace("\n", "%0A").encode(), digest.encode(), len(body), b"" if html is not None else NO_TEXT.encode() + b": yes\r\n")
     return gzip.compress(head + body + b"\r\n\r\n", 3, mtime=0)
 
 
@@ -217,34 +278,53 @@ def _ranges(batches):
                 yield pa.RecordBatch.from_arrays([pa.array([file] * len(part)), pa.array([r[1] for r in part], pa.int64()), pa.array([r[2] for r in part], pa.int64())], ["file", "offset", "length"])
 
 
+def _runs(ranges: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int, list[tuple[int, int]]]]:
+    """(file, start, end, [(offset, length)]): sorted ranges, with neighbours together."""
+    held: list[tuple[int, int]] = []
+    name, start, end = "", 0, 0
+    for file, offset, length in ranges:
+        if held and (file != name or offset > end + GAP or max(end, offset + length) - start > MOST_READ):
+            yield name, start, end, held
+            held = []
+        if not held:
+            name, start, end = file, offset, offset
+        held.append((offset, length))
+        end = max(end, offset + length)
+    if held:
+        yield name, start, end, held
+
+
 def _fetch(batches):
     f = name = None
     for b in batches:
         rows = sorted(zip(b.column("file").to_pylist(), b.column("offset").to_pylist(), b.column("length").to_pylist()))
-        for at in range(0, len(rows), 64):
-            out = {"page_id": [], "url": [], "html": [], "warc_type": []}
-            for file, offset, length in rows[at : at + 64]:
-                if file != name:
-                    if f is not None:
-                        f.close()
-                    f, read = _reader(file)
-                    name = file
-                headers, body = parse_record(read(offset, length))
-                digest = headers.get("warc-payload-digest", "")
-                if digest.startswith("sha1:") and digest[5:] != hashlib.sha1(body).hexdigest():
-                    raise ValueError(f"{file} at {offset}: the record's digest is wrong")
-                number = headers.get("warc-record-id", "").removeprefix("<urn:page:").removesuffix(">")
-                out["page_id"].append(int(number) if number.lstrip("-").isdigit() else None)
-                out["url"].append(headers.get("warc-target-uri", ""))
-                out["html"].append(None if headers.get("warc-type") == "metadata" else body.decode("utf-8", "replace"))
-                out["warc_type"].append(headers.get("warc-type"))
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64() if k == "page_id" else pa.string()) for k, v in out.items()})
+        for file, start, end, parts in _runs(rows):
+            if file != name:
+                if f is not None:
+                    f.close()
+                f, read = _reader(file)
+                name = file
+            data = read(start, end - start)
+            for at in range(0, len(parts), 64):
+                out = {"page_id": [], "url": [], "html": [], "warc_type": []}
+                for offset, length in parts[at : at + 64]:
+                    headers, block = parse_record(data[offset - start : offset - start + length])
+                    body, contents = payload(headers, block)
+                    if not agrees(headers.get("warc-payload-digest", ""), contents) or not agrees(headers.get("warc-block-digest", ""), [block]):
+                        raise ValueError(f"{file} at {offset}: the record's digest is wrong")
+                    number = headers.get("warc-record-id", "").removeprefix("<urn:page:").removesuffix(">")
+                    out["page_id"].append(int(number) if number.lstrip("-").isdigit() else None)
+                    out["url"].append(headers.get("warc-target-uri", ""))
+                    out["html"].append(text_of(headers, body))
+                    out["warc_type"].append(headers.get("warc-type"))
+                yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64() if k == "page_id" else pa.string()) for k, v in out.items()})
     if f is not None:
         f.close()
 
 
 def read_packages(files: DataFrame) -> DataFrame:
-    """page_id, url, html, warc_type of all records in the packages that column ``file`` names.
+    """page_id, url, html, warc_type of all records in the packages that column ``file`` names. page_id is null in records of other writers; html is the
+    body of an HTTP message, decoded, or the block of another record, as UTF-8.
 
     A damaged package, index or record raises ValueError; null file names are left out; a file named twice is read twice; an empty table
     gives none."""

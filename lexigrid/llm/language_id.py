@@ -61,24 +61,28 @@ def probes(grams: np.ndarray):
 
 
 class Filters:
-    """The bit-sliced filter of up to 64 languages."""
+    """The bit-sliced filter: a bit a language in each slot, in as many mask words as the languages need."""
 
     def __init__(self, profiles: dict[str, np.ndarray]):
         self.languages = sorted(profiles)
-        if len(self.languages) > 64:
-            raise ValueError("at most 64 languages")
-        kind = np.uint8 if len(self.languages) <= 8 else np.uint64
-        self.slots = np.zeros(1 << SLOTS_LOG2, kind)
-        for bit, language in enumerate(self.languages):
+        self.kind = np.uint8 if len(self.languages) <= 8 else np.uint64
+        self.bits = 8 * np.dtype(self.kind).itemsize
+        self.words = [np.zeros(1 << SLOTS_LOG2, self.kind) for _ in range(-(-len(self.languages) // self.bits))]
+        for i, language in enumerate(self.languages):
+            word, bit = self.words[i // self.bits], self.kind(1 << (i % self.bits))
             for slot in probes(profiles[language].astype(np.uint32)):
-                self.slots[slot] |= kind(1 << bit)
-        fill = np.array([((self.slots >> kind(bit)) & kind(1)).mean() for bit in range(len(self.languages))])
+                word[slot] |= bit
+        fill = np.array([self._has(self.words, i).mean() for i in range(len(self.languages))])
         self.false_rate = fill**PROBES
 
-    def masks(self, grams: np.ndarray) -> np.ndarray:
-        out = None
+    def _has(self, words: list[np.ndarray], i: int) -> np.ndarray:
+        return (words[i // self.bits] >> self.kind(i % self.bits)) & self.kind(1)
+
+    def masks(self, grams: np.ndarray) -> list[np.ndarray]:
+        """The mask words of each n-gram: the languages that contain it."""
+        out: list[np.ndarray] = []
         for slot in probes(grams):
-            out = self.slots[slot] if out is None else out & self.slots[slot]
+            out = [w[slot] & o for w, o in zip(self.words, out)] if out else [w[slot] for w in self.words]
         return out
 
     def shares(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -89,10 +93,10 @@ class Filters:
         out = np.zeros((n, len(self.languages)))
         if len(grams):
             masks = self.masks(grams)
-            for bit in range(len(self.languages)):
-                hits = np.bincount(rows, weights=((masks >> masks.dtype.type(bit)) & masks.dtype.type(1)), minlength=n)
-                rate = self.false_rate[bit]
-                out[:, bit] = np.clip((hits / np.maximum(total, 1) - rate) / max(1 - rate, 1e-9), 0, 1)
+            for i in range(len(self.languages)):
+                hits = np.bincount(rows, weights=self._has(masks, i), minlength=n)
+                rate = self.false_rate[i]
+                out[:, i] = np.clip((hits / np.maximum(total, 1) - rate) / max(1 - rate, 1e-9), 0, 1)
         return out, total
 
 
@@ -136,11 +140,12 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Filters | None:
     return Filters({k: gram[keep & (lang == k)] for k in sizes})
 
 
-def _decide(filters: Filters, column: pa.Array, min_share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _decide(filters: Filters, column: pa.Array, min_share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Best language, its share, whether it is accepted, and the number of n-grams."""
     shares, total = filters.shares(column)
     best = shares.argmax(1)
     score = shares[np.arange(len(best)), best]
-    return best, score, (score >= min_share) & (total > 0)
+    return best, score, (score >= min_share) & (total > 0), total
 
 
 def identify(docs: DataFrame, filters: Filters | None = None, min_share: float = MIN_SHARE, rejected: bool = False) -> DataFrame:
@@ -159,11 +164,10 @@ def identify(docs: DataFrame, filters: Filters | None = None, min_share: float =
         for b in tk.slices(batches):
             n = b.num_rows
             if f.languages:
-                best, score, ok = _decide(f, b.column("text"), min_share)
+                best, score, ok, grams = _decide(f, b.column("text"), min_share)
             else:
-                best, score, ok = np.zeros(n, int), np.zeros(n), np.zeros(n, bool)
+                best, score, ok, grams = np.zeros(n, int), np.zeros(n), np.zeros(n, bool), np.bincount(ngrams(b.column("text"))[1], minlength=n)
             keep = ~ok if rejected else ok
-            grams = np.bincount(ngrams(b.column("text"))[1], minlength=n)
             names = pa.array([None if rejected else f.languages[i] for i in best[keep]], pa.string())
             yield pa.RecordBatch.from_arrays([b.column("doc_id").filter(pa.array(keep)), names, pa.array(score[keep]), pa.array(grams[keep].astype(np.int64))], ["doc_id", "language", "share", "n_ngrams"])
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .shared import save, small_batches, table, texts
-from .tokenizer import RANKS, encoder
+from .tokenizer import RANKS, ids_of
 
 CAPACITY = 2048
 SHARD_DOCS = 20_000
@@ -75,7 +75,7 @@ def pack(ids: list[int], sizes: list[int], capacity: int) -> list[list[tuple[int
 
 
 def _count(batches, ranks):
-    encode = encoder(ranks).encode_ordinary
+    encode = ids_of(ranks)
     for b in tk.slices(batches):
         sizes = [len(encode(x)) + 1 for x in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64())], ["doc_id", "size"])

@@ -2,7 +2,7 @@
 
 A record is its length (8 bytes, little endian), the masked CRC-32C of those, the data, and the data's masked CRC-32C: the framing that
 readers of such record files know. The data are doc_id (8 bytes) and the token ids, with 2 bytes each. Every task writes a file of its own; a separate
-index has the offset of each record, so that records can be read in any order.
+index has the offset of each record, so that records can be read in any order. There is no end mark in the data: the frame tells where they end.
 
 A task that is run again writes a new file, and the index names the files of the tasks that ended well, so lost executors
 leave at most files that nothing refers to.
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .shared import fresh_path, partitions, save, small_batches, table, texts
-from .tokenizer import RANKS, encoder
+from .tokenizer import RANKS, encoder, ids_of
 
 POLYNOMIAL = 0x82F63B78
 PIECE = 256
@@ -128,7 +128,7 @@ def _filesystem(uri: str):
 
 
 def _write(batches, folder, ranks):
-    encode = encoder(ranks).encode_ordinary
+    encode = ids_of(ranks)
     out, at, number, name = None, 0, 0, f"part-{uuid.uuid4().hex}.rec"
     for b in tk.slices(batches):
         if out is None:

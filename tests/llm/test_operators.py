@@ -211,19 +211,38 @@ def test_records(spark):
     assert index.where("length <> 2 * n_tokens + 8 + 16").count() == 0 and records.write_records(docs.limit(0)).count() == 0
 
 
-def test_vector_join(spark):
-    rng = np.random.default_rng(4)
-    base = rng.standard_normal((150, 8))
-    x = np.concatenate([base, base[:60] + 0.05 * rng.standard_normal((60, 8)), base[:10]])
-    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
-    bad = [(900, None), (None, rows[0][1]), (901, [0.0] * 8), (902, [float("nan")] * 8), (903, [1.0]), (904, [None] + [1.0] * 7), (5, rows[5][1])]
-    df = spark.createDataFrame(rows + bad, "vec_id bigint, embedding array<double>").withColumn("cell", F.lit("clash")).withColumn("vector", F.lit(1))
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    for cosine in (0.95, 0.8):
-        got = {(r["vec_a"], r["vec_b"]) for r in vector_join.near_pairs(df, cosine).collect()}
-        sims = u @ u.T
-        assert got == {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if sims[i, j] >= cosine} and got
-    assert vector_join.near_pairs(df.limit(0)).count() == 0
+def vector_links(rows, cosine):
+    root, n_links, vectors = {}, {}, {}
+    for i, v in sorted((r for r in rows if r[0] is not None and r[1] and all(x is not None and np.isfinite(x) for x in r[1]) and any(r[1])), key=lambda r: (r[0], r[1])):
+        vectors.setdefault(i, np.array(v) / np.linalg.norm(v))
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, x in vectors.items():
+        for b, y in vectors.items():
+            if a < b and len(x) == len(y) and x @ y >= cosine:
+                n_links[a], n_links[b] = n_links.get(a, 0) + 1, n_links.get(b, 0) + 1
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return sorted((i, find(i), n) for i, n in n_links.items())
+
+
+@pytest.mark.parametrize("most", [10_000, 30])
+def test_vector_join(spark, monkeypatch, most):
+    monkeypatch.setattr(vector_join, "MOST_CELL", most)  # 30: cells are cut into blocks
+    monkeypatch.setattr(vector_join, "CELL", min(most, vector_join.CELL))
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((60, 8))
+    near = lambda: (base[rng.integers(60)] + rng.standard_normal(8) * rng.choice([0.05, 0.3]))
+    rows = [(i, [float(x) for x in near()]) for i in range(400)]
+    rows += [(500 + i, rows[i % 3][1]) for i in range(40)]  # equal ones
+    rows += [(600, [0.0] * 8), (601, None), (602, [1.0, None] * 4), (None, rows[0][1]), (603, [float("nan")] + [1.0] * 7), (604, []), (605, [1.0, 2.0]), (606, [2.0, 4.0]), (607, [-1.0, 0.5]), (5, rows[9][1]), (6, rows[6][1]), (608, [0.0, -0.0, 1.0]), (609, [-0.0, 0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("cell", F.lit("clash")).withColumn("docs", F.lit(7))
+    got = collected(vector_join.links(df, 0.95), "vec_id", "class_id", "n_links")
+    assert got == vector_links(rows, 0.95) and len(got) > 300
+    assert vector_join.links(df.limit(0)).count() == 0
 
 
 def test_decontaminate(spark):
@@ -402,3 +421,112 @@ def test_line_templates_short(spark):
     got = {r["doc_id"]: r["text"] for r in line_templates.strip_lines(make(spark, rows)).collect()}
     for i, t in rows:
         assert got[i] == "\n".join(line for line in t.split("\n") if not line.startswith(gone)), i
+
+
+def test_long_runs(spark):
+    texts = [" " * 2_000_000, "a" + "\n" * 30_000 + "b c", "x" * 1_500_000, "no" + " " * 20_000, "-" * 300_000 + " " * 12_000 + "."]
+    docs = make(spark, list(enumerate(texts)))
+    sizes = {}
+    for r in packing.packed(docs).collect():
+        for d, n in zip(r["doc_ids"], r["lengths"]):
+            sizes[d] = sizes.get(d, 0) + n
+    index = records.write_records(docs)
+    assert {r["doc_id"]: r["n_tokens"] + 1 for r in index.collect()} == sizes and len(sizes) == len(texts)
+    assert records.read_records(index).count() == len(texts)
+
+
+def test_pieces_of_white_space(monkeypatch):
+    import re
+
+    from lexigrid.llm import tokenizer
+
+    monkeypatch.setattr(tokenizer, "LONG_SPACE", re.compile(tokenizer.LONG_SPACE.pattern.replace("10000", "3")))
+    rng, e = random.Random(6), tokenizer.encoder()
+    encode = tokenizer.ids_of()
+    for _ in range(400):
+        text = "".join(rng.choice(["a", "bc", "7", "!", " ", "  ", "    ", "\n\n\n", "\t", " ", "'s", " é"]) for _ in range(rng.randrange(14)))
+        assert encode(text) == e.encode_ordinary(text)
+
+
+def test_many_languages(spark):
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{i:03}": ["".join(rng.choice(letters) for _ in range(6)) for _ in range(12)] for i in range(150)}
+    line = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
+    docs = make(spark, [(i, line(k, 40), k, "s", 0) for i, k in enumerate(sorted(words) * 4)], extra=False)
+    filters = language_id.fit(docs)
+    assert len(filters.languages) == 150 and len(filters.words) == 3
+    held = make(spark, [(i, line(k, 15), None, "s", 0) for i, k in enumerate(sorted(words))])
+    got = {r["doc_id"]: r["language"] for r in language_id.identify(held, filters).collect()}
+    assert got == dict(enumerate(sorted(words)))
+    # brute force: sets instead of filters; without false positives the filters' shares are the sets'
+    profiles = {k: set() for k in words}
+    import pyarrow as pa
+
+    grams, rows = language_id.ngrams(pa.array([" ".join(v) for v in words.values()]))
+    for k, i in zip(words, range(len(words))):
+        profiles[k] = set(grams[rows == i].tolist())
+    exact = language_id.Filters({k: np.array(sorted(v), np.int64) for k, v in profiles.items()})
+    column = pa.array([line(k, 10) for k in sorted(words)])
+    shares, total = exact.shares(column)
+    grams, rows = language_id.ngrams(column)
+    want = np.array([[sum(g in profiles[k] for g in grams[rows == i].tolist()) / total[i] for k in exact.languages] for i in range(len(column))])
+    assert np.abs(shares - want).max() < 0.05 and (shares.argmax(1) == want.argmax(1)).all()
+
+
+def test_labels_that_disagree(spark):
+    rng = random.Random(3)
+    good, bad = [f"good{i}" for i in range(20)], [f"bad{i}" for i in range(20)]
+    rows = [(i, " ".join(rng.choice(good if i % 2 else bad) for _ in range(30)), "x", "s", 0) for i in range(200)]
+    docs = make(spark, [*rows, (1, "aaa", "x", "s", 0)], extra=False)
+    labels = [(i, i % 2, 0) for i in range(200)]
+    first = site_quality.fit(docs, spark.createDataFrame([*labels, (1, 0, 1), (1, 1, 0), (3, 0, 0)], "doc_id bigint, quality int, toxic int"))
+    second = site_quality.fit(docs, spark.createDataFrame([(1, 0, 1), (3, 0, 0), *[x for x in labels if x[0] not in (1, 3)]], "doc_id bigint, quality int, toxic int"))
+    assert (first.quality.weights == second.quality.weights).all() and first.rate == second.rate
+
+
+def foreign_package(path):
+    """As other writers make them: HTTP messages, digests in base 32, chunks, coded bodies, records that aren't pages."""
+    import base64
+    import gzip
+    import hashlib
+    import json
+    import zipfile
+
+    page = "<p>grüße</p>".encode()
+    chunked = b"5\r\n" + page[:5] + b"\r\n" + f"{len(page) - 5:x}".encode() + b";x=1\r\n" + page[5:] + b"\r\n0\r\n\r\n"
+    b32 = lambda x: "sha1:" + base64.b32encode(hashlib.sha1(x).digest()).decode()
+    http = lambda more, body: b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n" + more + b"\r\n" + body
+    blocks = [
+        ("response", "application/http; msgtype=response", http(b"", page), b32(page)),
+        ("response", "application/http;msgtype=response", http(b"Transfer-Encoding: chunked\r\n", chunked), b32(page)),
+        ("response", "application/http; msgtype=response", http(b"Transfer-Encoding: chunked\r\n", chunked), b32(chunked)),
+        ("response", "application/http", http(b"Content-Encoding: gzip\r\n", gzip.compress(page)), ""),
+        ("metadata", "application/warc-fields", b"via: x\r\n", ""),
+        ("resource", "text/html", page, "sha256:" + hashlib.sha256(page).hexdigest()),
+    ]
+    body, lines = b"", []
+    for i, (kind, content, block, digest) in enumerate(blocks):
+        head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{i}>\r\nWARC-Target-URI: http://h.x/{i}\r\nWARC-Block-Digest: {b32(block)}\r\n" + (f"WARC-Payload-Digest: {digest}\r\n" if digest else "") + f"Content-Type: {content}\r\nContent-Length: {len(block)}\r\n\r\n"
+        raw = gzip.compress(head.encode() + block + b"\r\n\r\n")
+        lines.append(f"x,h)/{i} 2020 " + json.dumps({"url": f"http://h.x/{i}", "filename": "data.warc.gz", "offset": str(len(body)), "length": str(len(raw))}))
+        body += raw
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("archive/data.warc.gz", body)
+        z.writestr(zipfile.ZipInfo("indexes/index.cdx.gz"), gzip.compress("\n".join(["!meta {}", *lines]).encode()), zipfile.ZIP_DEFLATED)
+    return page.decode()
+
+
+def test_foreign_packages(spark, tmp_path):
+    page = foreign_package(tmp_path / "a.wacz")
+    files = spark.createDataFrame([(f"file://{tmp_path}/a.wacz",)], "file string")
+    want = sorted([(f"http://h.x/{i}", "via: x\r\n" if i == 4 else page, None) for i in range(6)])
+    assert collected(archive.read_packages(files), "url", "html", "page_id") == want
+    assert not archive.agrees("sha1:AAAA", [b"x"]) and archive.agrees("crc32:1", [b"x"])
+
+
+def test_ranges_read_together():
+    gap, most = archive.GAP, archive.MOST_READ
+    ranges = [("a", 0, 10), ("a", 10, 5), ("a", 15 + gap, 5), ("a", 21 + 2 * gap, 4), ("b", 0, most - 2), ("b", most - 2, 3)]
+    assert list(archive._runs(ranges)) == [("a", 0, 20 + gap, [(0, 10), (10, 5), (15 + gap, 5)]), ("a", 21 + 2 * gap, 25 + 2 * gap, [(21 + 2 * gap, 4)]), ("b", 0, most - 2, [(0, most - 2)]), ("b", most - 2, most + 1, [(most - 2, 3)])]
+    assert list(archive._runs([])) == []
