@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +13,10 @@ from lexigrid.operators import ngrams, paging, render, sequence
 from lexigrid.operators.dictionary import longest
 from lexigrid.operators.predicates import matching_sources, slot_column
 from lexigrid.operators.segments import without_punctuation
-from lexigrid.plans.engine import corpus
+from lexigrid.plans.engine import Corpus, corpus
 from lexigrid.plans.query import CorpusQuery, Slot
-from lexigrid.sources import plain, tables
+from lexigrid.sources import tables, tagged
+from lexigrid.sources.shared import fresh
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,13 +28,13 @@ lines AS (SELECT doc_id, lang, i - 1 AS sidx, regexp_extract_all(l, '{TOKEN}') A
   SELECT doc_id, coalesce(lang, '') AS lang, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)),
 sents AS (SELECT doc_id, lang, sidx, w, row_number() OVER (ORDER BY doc_id, sidx) - 1 AS sentence FROM lines WHERE len(w) > 0),
 raw AS (SELECT doc_id, lang, sentence, unnest(w) AS s, generate_subscripts(w, 1) - 1 AS pos FROM sents),
-tokens AS (SELECT row_number() OVER (ORDER BY sentence, pos) - 1 AS id, sentence, pos, doc_id AS source, s AS word_case, lower(s) AS word,
+tokens AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sentence, pos) - 1 AS id, sentence, pos, doc_id AS source, s AS word_case, lower(s) AS word,
   regexp_replace(lower(s), '{LEMMA}', '\\1') AS lemma,
   CASE WHEN regexp_matches(s, '^\\p{{N}}+$') THEN '<num>' WHEN regexp_matches(s, '^\\p{{Lu}}') THEN '<' || lang || '>,<np>' WHEN regexp_matches(s, '^[\\p{{L}}\\p{{N}}]') THEN '<' || lang || '>,<n>' {_marks} ELSE '<sym>' END AS tags FROM raw)"""
 TYPES = """
-types AS (SELECT row_number() OVER (ORDER BY word_case, word, lemma, tags) - 1 AS id, count(*) AS freq, word_case, word, lemma, tags FROM tokens GROUP BY word_case, word, lemma, tags)"""
+types AS MATERIALIZED (SELECT row_number() OVER (ORDER BY word_case, word, lemma, tags) - 1 AS id, count(*) AS freq, word_case, word, lemma, tags FROM tokens GROUP BY word_case, word, lemma, tags)"""
 FACTS = """
-facts AS (SELECT k.id, t.id AS united, k.sentence, k.source, k.pos FROM tokens k JOIN types t USING (word_case, word, lemma, tags))"""
+facts AS MATERIALIZED (SELECT k.id, t.id AS united, k.sentence, k.source, k.pos FROM tokens k JOIN types t USING (word_case, word, lemma, tags))"""
 
 
 def add(name: str, sql: str | None = None):
@@ -92,6 +94,27 @@ def _(spark, d):
     return tables.debug_dump(corpus(spark, d).star)
 
 
+@add("debug_types", with_(TYPES) + "SELECT id, freq, word_case, word, lemma, tags FROM types")
+def _(spark, d):
+    return tables.types_dump(corpus(spark, d).star)
+
+
+@add("stream_parse", with_() + "SELECT id, sentence, pos, source, word_case, word, lemma, tags FROM tokens")
+def _(spark, d):
+    """The corpus written as tagged text with a map of its sentences, and read again."""
+    c, folder = corpus(spark, d), fresh(spark, "tagged")
+    tables.write_tagged(c.tokens, f"{folder}/text", f"{folder}/map")
+    return tagged.with_ids(tagged.parse(tagged.read_lines(spark, f"{folder}/text")), tagged.read_map(spark, f"{folder}/map"))
+
+
+@add("tables_reload", with_(TYPES, FACTS) + "SELECT id, united, sentence, source, pos FROM facts")
+def _(spark, d):
+    """The star schema in text files, as a database would hold it (without pos), and read again."""
+    c, folder = corpus(spark, d), fresh(spark, "star")
+    tables.write_tsv(c.star, folder, pos=False)
+    return Corpus.from_tables(tables.read_tsv(spark, folder)).star.main.select("id", "united", "sentence", "source", "pos")
+
+
 @add("source_table", "SELECT doc_id AS id, coalesce(source, '') AS author, 'document ' || doc_id AS title, coalesce(lang, '') AS genre FROM documents WHERE doc_id IS NOT NULL")
 def _(spark, d):
     return corpus(spark, d).star.sources.select("id", "author", "title", "genre")
@@ -167,10 +190,10 @@ def _(spark, d):
 
 def sequence_sql(conditions: list[str], distances: list[tuple[int, int]], source: str = "TRUE", select: str | None = None) -> str:
     k = len(conditions)
-    hits = ", ".join(f"h{i} AS (SELECT id, sentence, pos, source FROM tokens WHERE {c})" for i, c in enumerate(conditions, 1))
+    hits = ", ".join(f"h{i} AS MATERIALIZED (SELECT id, sentence, pos, source FROM tokens WHERE {c})" for i, c in enumerate(conditions, 1))
     joins = " ".join(f"JOIN h{i + 1} ON h{i + 1}.sentence = h{i}.sentence AND h{i + 1}.pos BETWEEN h{i}.pos + {a} AND h{i}.pos + {b}" for i, (a, b) in enumerate(distances, 1))
     zs = ", ".join(f"h{i}.id AS z{i}" for i in range(1, k + 1))
-    found = f"found AS (SELECT h1.sentence, h1.source, {zs} FROM h1 {joins} WHERE h1.source IN (SELECT doc_id FROM documents WHERE {source}))"
+    found = f"found AS MATERIALIZED (SELECT h1.sentence, h1.source, {zs} FROM h1 {joins} WHERE h1.source IN (SELECT doc_id FROM documents WHERE {source}))"
     return with_(hits, found) + (select or "SELECT * FROM found")
 
 
@@ -181,6 +204,8 @@ SEQUENCES = {
     "seq3_range": ((Slot(wildmatch="th*"), Slot(wildmatch="*n"), Slot(wildmatch="e?*")), [(1, 10), (1, 10)], ["word LIKE 'th%'", "word LIKE '%n'", "word LIKE 'e_%'"], {}, "TRUE"),
     "seq3_heavy": ((Slot(wildmatch="b*"), Slot(wildmatch="*n", tags="<n>"), Slot(lemma="the")), [(1, 10), (1, 10)], ["word LIKE 'b%'", "word LIKE '%n' AND tags LIKE '%<n>%'", "lemma = 'the'"], {}, "TRUE"),
     "seq6": (tuple(Slot(wildmatch=g) for g in ("*erst", "*tion", "*ly", "*ing", "*ble", "*hat")), [(1, 30)] * 5, [f"word LIKE '%{g}'" for g in ("erst", "tion", "ly", "ing", "ble", "hat")], {}, "TRUE"),
+    "seq4": (tuple(Slot(wildmatch=g) for g in ("th*", "*n", "e*", "*s")), [(1, 3), (1, 3), (1, 3)], ["word LIKE 'th%'", "word LIKE '%n'", "word LIKE 'e%'", "word LIKE '%s'"], {}, "TRUE"),
+    "seq5": ((Slot(tags="<np>"), *[Slot(wildmatch=g) for g in ("th*", "*n", "e*", "*s")]), [(1, 2), (1, 3), (1, 3), (1, 3)], ["tags LIKE '%<np>%'", "word LIKE 'th%'", "word LIKE '%n'", "word LIKE 'e%'", "word LIKE '%s'"], {}, "TRUE"),
     "seq_gap_any": ((Slot(word="in"), Slot(), Slot(tags="<np>")), [(1, 1), (1, 2)], ["word = 'in'", "TRUE", "tags LIKE '%<np>%'"], {}, "TRUE"),
     "seq_source_regex": ((Slot(word="and"), Slot(wildmatch="[aeiou].*")), [(2, 5)], ["word = 'and'", "regexp_matches(word, '^[aeiou].*$')"], dict(source="SRC1.*", regex=True), "regexp_matches(source, '(?i)^src1.*$')"),
 }
@@ -252,6 +277,30 @@ def _(spark, d):
     return corpus(spark, d).summary(heavy(returned=50, cursor=5000))
 
 
+WIDEST = [f"*{c}" for c in "eansto"]
+
+
+def counted_parts(conditions: list[str], distances: list[tuple[int, int]]) -> list[str]:
+    """Anchors with the number of their tuples and the first one, slot by slot from the last."""
+    k = len(conditions)
+    parts = [f"c{k} AS MATERIALIZED (SELECT id, sentence, pos, source, CAST(1 AS HUGEINT) AS n, NULL AS t FROM tokens WHERE {conditions[-1]})"]
+    for i in range(k - 1, 0, -1):
+        a, b = distances[i - 1]
+        t = f"min(struct_pack(z{i + 1} := y.id" + (", t := y.t))" if i < k - 1 else "))")
+        parts.append(f"c{i} AS MATERIALIZED (SELECT x.id, any_value(x.sentence) AS sentence, any_value(x.pos) AS pos, any_value(x.source) AS source, sum(y.n) AS n, {t} AS t FROM tokens x JOIN c{i + 1} y ON y.sentence = x.sentence AND y.pos BETWEEN x.pos + {a} AND x.pos + {b} WHERE {conditions[i - 1]} GROUP BY x.id)")
+    return parts
+
+
+def counted_sql(conditions: list[str], distances: list[tuple[int, int]]) -> str:
+    zs = ", ".join("t" + ".t" * (i - 2) + f".z{i} AS z{i}" for i in range(2, len(conditions) + 1))
+    return with_(*counted_parts(conditions, distances)) + f"SELECT id AS z1, {zs}, sentence, source, CAST(n AS BIGINT) AS n_tuples FROM c1"
+
+
+@add("seq6_widest", counted_sql([f"word LIKE '%{g[1]}'" for g in WIDEST], [(1, 100)] * 5))
+def _(spark, d):
+    return corpus(spark, d).anchors(Q(*[Slot(wildmatch=g) for g in WIDEST], distances=[(1, 100)] * 5))
+
+
 # rendering
 
 SPACED = """
@@ -278,7 +327,7 @@ ELSE {PLAIN} END, '' ORDER BY s.pos) AS sentence_text FROM p JOIN spaced s ON s.
 )
 def _(spark, d):
     c = corpus(spark, d)
-    return render.hit_sentences(c.tokens, c.page(Q(Slot(word="of"), Slot(word="the"))))
+    return c.sentences(Q(Slot(word="of"), Slot(word="the")))
 
 
 @add("context", with_(SPACED) + f"SELECT s.sentence, s.source, string_agg(space || {PLAIN}, '' ORDER BY pos) AS sentence_text, min(coalesce(d.source, '')) AS author FROM spaced s JOIN documents d ON d.doc_id = s.source WHERE sentence BETWEEN 120 AND 124 GROUP BY s.sentence, s.source")
@@ -286,28 +335,79 @@ def _(spark, d):
     return corpus(spark, d).context(CorpusQuery(extend=122, extend_range=2).normalise()).select("sentence", "source", "sentence_text", F.col("s_author").alias("author"))
 
 
-@add("response_json")
+HITS_SQL = (
+    "h1 AS MATERIALIZED (SELECT id, sentence, pos, source FROM tokens WHERE word = 'of')", "h2 AS MATERIALIZED (SELECT id, sentence, pos FROM tokens WHERE word = 'the')",
+    "found AS MATERIALIZED (SELECT h1.id AS z1, h2.id AS z2, h1.sentence, h1.source FROM h1 JOIN h2 ON h2.sentence = h1.sentence AND h2.pos = h1.pos + 1)",
+    "p AS MATERIALIZED (SELECT * FROM found ORDER BY z1 LIMIT 20)",
+)
+_number = "CASE WHEN s.id = p.z1 THEN '0' ELSE '1' END"
+MARKED = f"CASE WHEN s.id IN (p.z1, p.z2) THEN '<span class=''found_word'' id=''found_word_' || {_number} || ''' title=''(' || lemma || ') ' || tags || '''>' || word_case || '</span><!-- found_word_' || {_number} || ' -->' ELSE {PLAIN} END"
+SOURCE_JSON = "to_json(struct_pack(id := sentence, nice := '', author := coalesce(d.source, ''), title_id := r.source, title := 'document ' || r.source, date := '', type := 'document', genre := coalesce(d.lang, ''), source := '', url := '', meta := '', \"full\" := '', sentence := sentence_text))"
+TOTALS = """'],"last_pos":"' || (SELECT max(z1) FROM p) || '","found_all":' || (SELECT count(*) FROM found) || ',"progress":' || (SELECT count(*) FROM found WHERE z1 <= (SELECT max(z1) FROM p)) || '}'"""
+
+
+@add(
+    "response_json",
+    with_(*HITS_SQL, SPACED)
+    + f""", r AS (SELECT p.z1, p.sentence, p.source, string_agg(space || {MARKED}, '' ORDER BY s.pos) AS sentence_text FROM p JOIN spaced s ON s.sentence = p.sentence GROUP BY p.z1, p.sentence, p.source)
+SELECT '{{"example":[' || (SELECT string_agg(j, ',' ORDER BY z1) FROM (SELECT z1, {SOURCE_JSON}::VARCHAR AS j FROM r JOIN documents d ON d.doc_id = r.source)) || ',{{"id":-1}}' || {TOTALS} AS response""",
+)
+def _(spark, d):
+    return corpus(spark, d).respond('{"word":["of","the"],"dist_from":[1],"dist_to":[1],"return":20}')
+
+
+@add("response_count", with_(*HITS_SQL) + """SELECT '{"example":[{"id":-1}' || """ + TOTALS + " AS response")
 def _(spark, d):
-    return corpus(spark, d).respond('{"word":["of","the"],"dist_from":[1],"dist_to":[2],"return":20}')
+    return corpus(spark, d).respond('{"word":["of","the"],"return":20,"count_only":1}')
 
 
-@add("response_context")
+@add(
+    "response_context",
+    with_(SPACED)
+    + f""", r AS (SELECT s.sentence, s.source, string_agg(space || {PLAIN}, '' ORDER BY pos) AS sentence_text FROM spaced s WHERE sentence BETWEEN 120 AND 124 GROUP BY s.sentence, s.source)
+SELECT '{{"example":[' || (SELECT string_agg(j, ',' ORDER BY sentence) FROM (SELECT sentence, {SOURCE_JSON}::VARCHAR AS j FROM r JOIN documents d ON d.doc_id = r.source)) || ',{{"id":-1}}]}}' AS response""",
+)
 def _(spark, d):
     return corpus(spark, d).respond('{"extend":122,"extend_range":2}')
 
 
+# whole answers: page, totals and marked sentences with their sources
+
+
+def answer_sql(conditions: list[str], distances: list[tuple[int, int]], returned: int = 100) -> str:
+    k = len(conditions)
+    zs = ", ".join(["id", *("t" + ".t" * (i - 2) + f".z{i}" for i in range(2, k + 1))])
+    number = "CAST(list_position(p.zs, s.id) - 1 AS VARCHAR)"
+    shown = f"CASE WHEN list_contains(p.zs, s.id) THEN '<span class=''found_word'' id=''found_word_' || {number} || ''' title=''(' || lemma || ') ' || tags || '''>' || word_case || '</span><!-- found_word_' || {number} || ' -->' ELSE {PLAIN} END"
+    page = f"p AS MATERIALIZED (SELECT id AS z1, [{zs}] AS zs, sentence, source FROM c1 ORDER BY id LIMIT {returned})"
+    last = "(SELECT max(z1) FROM p)"
+    return with_(*counted_parts(conditions, distances), page, SPACED) + f""", r AS (SELECT p.z1, p.sentence, p.source, string_agg(space || {shown}, '' ORDER BY s.pos) AS sentence_text FROM p JOIN spaced s ON s.sentence = p.sentence GROUP BY p.z1, p.sentence, p.source)
+SELECT '{{"example":[' || (SELECT string_agg(j, ',' ORDER BY z1) FROM (SELECT z1, {SOURCE_JSON}::VARCHAR AS j FROM r JOIN documents d ON d.doc_id = r.source)) || ',{{"id":-1}}],"last_pos":"' || {last} || '","found_all":' || (SELECT CAST(sum(n) AS BIGINT) FROM c1)
+|| ',"progress":' || (SELECT CAST(sum(n) AS BIGINT) FROM c1 WHERE id <= {last}) || '}}' AS response"""
+
+
+ANSWERS = {
+    "answer_1": ({"word": ["the"]}, ["word = 'the'"], []),
+    "answer_2": ({"word": ["The"], "case": [1], "lemma": ["", "and"], "dist_from": [1], "dist_to": [3]}, ["word_case = 'The'", "lemma = 'and'"], [(1, 3)]),
+    "answer_3": ({"wildmatch": ["b*", "*n"], "tags": ["", "<n>"], "lemma": ["", "", "the"], "dist_from": [1, 1], "dist_to": [10, 10]}, ["word LIKE 'b%'", "word LIKE '%n' AND tags LIKE '%<n>%'", "lemma = 'the'"], [(1, 10)] * 2),
+    "answer_6": ({"wildmatch": WIDEST, "dist_from": [1] * 5, "dist_to": [100] * 5}, [f"word LIKE '%{g[1]}'" for g in WIDEST], [(1, 100)] * 5),
+}
+for _name, (_request, _conditions, _distances) in ANSWERS.items():
+    add(_name, answer_sql(_conditions, _distances))(lambda spark, d, r=_request: corpus(spark, d).respond(json.dumps(r)))
+
+
 # n-grams
 
 
 def gram_sql(k: int, table: str = "facts", keys: str = "sentence") -> str:
     leads = ", ".join(f"lead(united, {i}) OVER (PARTITION BY {keys} ORDER BY pos) AS g{i + 1}" for i in range(1, 6))
-    ahead = f"ahead AS (SELECT united AS g1, {leads} FROM {table})"
+    ahead = f"ahead AS MATERIALIZED (SELECT united AS g1, {leads} FROM {table})"
     levels = " UNION ALL ".join(f"SELECT {j} AS level, {', '.join(f'g{i}' if i <= j else f'NULL::BIGINT AS g{i}' for i in range(1, 7))}, count(*) AS freq FROM ahead WHERE g{j} IS NOT NULL GROUP BY {', '.join(f'g{i}' for i in range(1, j + 1))}" for j in range(1, k + 1))
-    return ahead + f", grams AS ({levels}), nodes AS (SELECT CAST(level AS BIGINT) AS level, g1, g2, g3, g4, g5, g6, freq, row_number() OVER (PARTITION BY level ORDER BY freq DESC, g1, g2, g3, g4, g5, g6) - 1 AS node FROM grams)"
+    return ahead + f", grams AS MATERIALIZED ({levels}), nodes AS MATERIALIZED (SELECT CAST(level AS BIGINT) AS level, g1, g2, g3, g4, g5, g6, freq, row_number() OVER (PARTITION BY level ORDER BY freq DESC, g1, g2, g3, g4, g5, g6) - 1 AS node FROM grams)"
 
 
 GRAMS_SQL = with_(TYPES, FACTS, gram_sql(6))
-NO_PUNCT = with_(TYPES, SEGMENTS, "facts AS (SELECT k.id, t.id AS united, k.sentence, k.segment, k.pos FROM segs k JOIN types t USING (word_case, word, lemma, tags))", gram_sql(6, keys="sentence, segment"))
+NO_PUNCT = with_(TYPES, SEGMENTS, "facts AS MATERIALIZED (SELECT k.id, t.id AS united, k.sentence, k.segment, k.pos FROM segs k JOIN types t USING (word_case, word, lemma, tags))", gram_sql(6, keys="sentence, segment"))
 
 
 for _k in range(1, 7):
@@ -316,24 +416,36 @@ for _k in range(1, 7):
     )
 
 
-@add("ng_rank", GRAMS_SQL + "SELECT level, node, g1, freq FROM nodes WHERE level <= 3")
+@add("ng_rank", GRAMS_SQL + "SELECT level, node, g1, g2, g3, g4, g5, g6, freq FROM nodes")
 def _(spark, d):
-    return corpus(spark, d).ngrams().where("level <= 3").select("level", "node", "g1", "freq")
+    return corpus(spark, d).ngrams().select("level", "node", *ngrams.GRAMS, "freq")
 
 
-@add(
-    "ng_trie",
-    GRAMS_SQL
-    + "SELECT n.level, n.node, p.node AS parentnode, CASE n.level WHEN 1 THEN n.g1 WHEN 2 THEN n.g2 WHEN 3 THEN n.g3 WHEN 4 THEN n.g4 WHEN 5 THEN n.g5 ELSE n.g6 END AS united, n.freq FROM nodes n LEFT JOIN nodes p ON p.level = n.level - 1 AND p.g1 = n.g1 "
-    + " ".join(f"AND (n.level <= {j} OR p.g{j} = n.g{j})" for j in range(2, 6)),
-)
+def linked_sql(table: str, number: str, above: str, columns: str) -> str:
+    """Each n-gram with the number of the one that it continues."""
+    parts = [f"SELECT {columns.format(k=1, above=above)} FROM {table} n WHERE n.level = 1"]
+    for k in range(2, 7):
+        same = " AND ".join(f"p.g{i} = n.g{i}" for i in range(1, k))
+        parts.append(f"SELECT {columns.format(k=k, above=f'p.{number}')} FROM {table} n JOIN {table} p ON p.level = {k - 1} AND {same} WHERE n.level = {k}")
+    return " UNION ALL ".join(parts)
+
+
+@add("ng_trie", GRAMS_SQL + linked_sql("nodes", "node", "CAST(NULL AS BIGINT)", "n.level, n.node, {above} AS parentnode, n.g{k} AS united, n.freq"))
 def _(spark, d):
     return ngrams.trie(corpus(spark, d).ngrams())
 
 
-@add("ng_wopunct", NO_PUNCT + "SELECT level, g1, g2, g3, freq FROM grams WHERE level <= 3")
+TREE = f", tree AS MATERIALIZED (SELECT level, {', '.join(ngrams.GRAMS)}, freq, row_number() OVER (ORDER BY {', '.join(f'{g} NULLS FIRST' for g in ngrams.GRAMS)}) AS num FROM grams) "
+
+
+@add("ng_tree", GRAMS_SQL + TREE + linked_sql("tree", "num", "CAST(0 AS BIGINT)", "n.num AS node, {above} AS parent, n.g{k} AS word, n.freq AS amount"))
 def _(spark, d):
-    return corpus(spark, d).ngrams(False).where("level <= 3").select("level", "g1", "g2", "g3", "freq")
+    return tables.tree_rows(corpus(spark, d).ngrams())
+
+
+@add("ng_wopunct", NO_PUNCT + "SELECT level, node, g1, g2, g3, g4, g5, g6, freq FROM nodes")
+def _(spark, d):
+    return corpus(spark, d).ngrams(False).select("level", "node", *ngrams.GRAMS, "freq")
 
 
 def search_sql(conditions: list[str], base: str = GRAMS_SQL, more: str = "") -> str:
@@ -394,31 +506,18 @@ def _(spark, d):
     return ngrams.with_words(found, c.star.types, 2)
 
 
-@add("ng_response_json")
+@add(
+    "ng_response_json",
+    GRAMS_SQL
+    + """, found AS MATERIALIZED (SELECT node, freq, g1, g2 FROM nodes WHERE level = 2 AND g1 IN (SELECT id FROM types WHERE word = 'of') AND g2 IN (SELECT id FROM types WHERE word = 'the')),
+shown AS (SELECT * FROM found ORDER BY freq DESC, node LIMIT 10), spans AS (SELECT id, '<span title=''(' || lemma || ') ' || tags || '''>' || word_case || '</span>' AS w FROM types)
+SELECT '{"example":[' || (SELECT string_agg(to_json(struct_pack(id := node, freq := freq, ngram := [b.w, a.w]))::VARCHAR, ',' ORDER BY freq DESC, node) FROM shown JOIN spans a ON a.id = g1 JOIN spans b ON b.id = g2)
+|| ',{"id":-1}],"last_pos":"0","found_all":' || (SELECT count(*) FROM found) || ',"progress":0}' AS response""",
+)
 def _(spark, d):
     return corpus(spark, d).respond_ngrams('{"word":["of","the"],"return":10}')
 
 
-@add("ng_leaf_paths", GRAMS_SQL + """SELECT concat_ws(' ', a.g1 || '(' || a.freq || ')', n.g2 || '(' || n.freq || ')') AS value FROM nodes n JOIN nodes a ON a.level = 1 AND a.g1 = n.g1 WHERE n.level = 2
-AND NOT EXISTS (SELECT 1 FROM nodes x WHERE x.level = 3 AND x.g1 = n.g1 AND x.g2 = n.g2)
-UNION ALL SELECT g1 || '(' || freq || ')' FROM nodes n WHERE n.level = 1 AND NOT EXISTS (SELECT 1 FROM nodes x WHERE x.level = 2 AND x.g1 = n.g1)""")
-def _(spark, d):
-    return tables.leaf_paths(corpus(spark, d).ngrams().where("level <= 3")).where(~F.col("value").rlike(r"^\S+ \S+ \S+"))
-
-
-# the same over all six levels
-
-
-@add("ng_rank_all", GRAMS_SQL + "SELECT level, node, g1, g2, g3, g4, g5, g6, freq FROM nodes")
-def _(spark, d):
-    return corpus(spark, d).ngrams().select("level", "node", *ngrams.GRAMS, "freq")
-
-
-@add("ng_wopunct_all", NO_PUNCT + "SELECT level, node, g1, g2, g3, g4, g5, g6, freq FROM nodes")
-def _(spark, d):
-    return corpus(spark, d).ngrams(False).select("level", "node", *ngrams.GRAMS, "freq")
-
-
 def leaf_sql() -> str:
     same = lambda t, k: " AND ".join(f"{t}.g{i} = n.g{i}" for i in range(1, k + 1))
     parts = []
@@ -430,6 +529,6 @@ def leaf_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
-@add("ng_leaf_paths_all", GRAMS_SQL + leaf_sql())
+@add("ng_leaf_paths", GRAMS_SQL + leaf_sql())
 def _(spark, d):
     return tables.leaf_paths(corpus(spark, d).ngrams())

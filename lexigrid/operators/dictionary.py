@@ -15,7 +15,7 @@ SOURCE_FIELDS = ("nice", "author", "title", "date", "type", "genre", "source", "
 def lexicon(tokens: DataFrame, column: str, name: str | None = None) -> DataFrame:
     """id (rank in code-point order), freq, and the distinct value."""
     counted = tokens.groupBy(column).agg(F.count("*").alias("freq"))
-    out = numbered(counted, "id", [F.substring(column, 1, 2)], [F.col(column)])
+    out = numbered(counted, "id", [F.col(column)])
     return out.select("id", "freq", F.col(column).alias(name or column))
 
 
@@ -50,7 +50,7 @@ def types_of(tokens: DataFrame) -> DataFrame:
     """Distinct (word_case, word, lemma, tags) with their frequency, and their id: as lexicon ids are ranks of the strings, the rank of
     the four ids is the rank of the four strings."""
     counted = tokens.groupBy("word_case", "word", "lemma", "tags").agg(F.count("*").alias("freq"))
-    return numbered(counted, "id", [F.substring("word_case", 1, 2)], [F.col(c) for c in ("word_case", "word", "lemma", "tags")])
+    return numbered(counted, "id", [F.col(c) for c in ("word_case", "word", "lemma", "tags")])
 
 
 def united_of(types: DataFrame, words_case: DataFrame, words: DataFrame, lemmas: DataFrame, tags: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ def counts(rows: DataFrame, levels: int = LEVELS, first_between: tuple[int, int]
 
 def ranked(grams: DataFrame) -> DataFrame:
     """With node: from 0 at each level, by descending frequency, then ids."""
-    return numbered(grams, "node", [-F.col("freq"), F.floor(F.col("g1") / 256)], [F.col(g) for g in GRAMS], within=[F.col("level")])
+    return numbered(grams, "node", [F.desc("freq"), *[F.col(g) for g in GRAMS]], within="level")
 
 
 def trie(nodes: DataFrame) -> DataFrame:

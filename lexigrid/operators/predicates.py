@@ -5,7 +5,9 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrid.functions.patterns import anchored, glob_to_like, tags_to_like, to_java
@@ -13,9 +15,20 @@ from lexigrid.operators.dictionary import SOURCE_FIELDS
 from lexigrid.plans.query import CorpusQuery, Slot
 
 
+def compiled(expression: str) -> str:
+    """The expression, if Java takes it: a bad one is an error here and not in a task."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        try:
+            spark._jvm.java.util.regex.Pattern.compile(expression)
+        except (IllegalArgumentException, Py4JJavaError) as e:
+            raise ValueError(f"bad regular expression {expression!r}: {e}") from None
+    return expression
+
+
 def pattern(column: Column, text: str, regex: bool, anchor: bool = True) -> Column:
     if regex:
-        return column.rlike(to_java(anchored(text) if anchor else text))
+        return column.rlike(compiled(to_java(anchored(text) if anchor else text)))
     return column.like(glob_to_like(text))
 
 
@@ -44,5 +57,5 @@ def matching_sources(sources: DataFrame, query: CorpusQuery) -> DataFrame | None
     if query.source_field not in SOURCE_FIELDS:
         raise ValueError(f"source_field must be one of {', '.join(SOURCE_FIELDS)}")
     column = F.col(query.source_field)
-    test = column.rlike(to_java(anchored(query.source), ignore_case=True)) if query.regex else column.like(glob_to_like(query.source))
+    test = column.rlike(compiled(to_java(anchored(query.source), ignore_case=True))) if query.regex else column.like(glob_to_like(query.source))
     return sources.where(test).select(F.col("id").alias("source"))

@@ -56,6 +56,37 @@ def tuples(main: DataFrame, types: DataFrame, sources: DataFrame, query: CorpusQ
     return out.select("sentence", "source", *[f"z{i + 1}" for i in range(k)])
 
 
+#: A slot is selective if it has less than this share of the tokens: then only its sentences are looked at.
+SELECTIVE = 0.02
+
+
+def anchor_counts(main: DataFrame, types: DataFrame, sources: DataFrame, query: CorpusQuery, frequencies: list[int] | None = None) -> DataFrame:
+    """z1, z2..zk, sentence, source, n_tuples: for each first token the number of its tuples, and the first of them in lexicographic order.
+
+    Tuples are counted, not made: from the last slot to the first, each token gets the number of ways to go on from it and the first of these, sums and minima over
+    a range of positions within the sentence. All slots' windows share one sort, so the facts are read once whatever the distances."""
+    if query.boundary != "strict":
+        raise ValueError("tuples are counted within sentences")
+    k = len(query.slots)
+    frequencies = frequencies or slot_frequencies(types, query)
+    flags = types.select(F.col("id").alias("united"), "freq", *[slot_column(s, query.regex).alias(f"m{i + 1}") for i, s in enumerate(query.slots)])
+    if not any(s.empty for s in query.slots):
+        flags = flags.where(" OR ".join(f"m{i + 1}" for i in range(k)))
+    rows = _facts(main, sources, query).join(flags.drop("freq"), "united").select("sentence", "source", "pos", "id", *[f"m{i + 1}" for i in range(k)])
+    rare = min(range(k), key=lambda i: frequencies[i])
+    if k > 1 and frequencies[rare] < SELECTIVE * sum(frequencies):
+        rows = rows.join(_slot(_facts(main, sources, query), types, query, rare).select("sentence").distinct(), "sentence", "left_semi")
+    rows = rows.withColumn("n", F.when(F.col(f"m{k}"), F.lit(1).cast("bigint"))).withColumn("t", F.lit(None).cast("string"))
+    ordered = Window.partitionBy("sentence").orderBy("pos")
+    for i in range(k - 1, 0, -1):
+        ahead = ordered.rangeBetween(*query.distances[i - 1])
+        following = F.struct(F.col("id").alias(f"z{i + 1}"), *([F.col("t")] if i < k - 1 else []))
+        n, t = F.sum("n").over(ahead), F.min(F.when(F.col("n").isNotNull(), following)).over(ahead)
+        rows = rows.select("sentence", "source", "pos", "id", *[f"m{j + 1}" for j in range(i)], F.when(F.col(f"m{i}"), n).alias("n"), t.alias("t"))
+    path = lambda i: "t" + ".t" * (i - 2) + f".z{i}"
+    return rows.where("n > 0").select(F.col("id").alias("z1"), *[F.col(path(i)).alias(f"z{i}") for i in range(2, k + 1)], "sentence", "source", F.col("n").alias("n_tuples"))
+
+
 def adjacent_tuples(main: DataFrame, types: DataFrame, sources: DataFrame, query: CorpusQuery) -> DataFrame:
     """The same for distances of 1 alone, by looking ahead in a window: better than joins if no slot is selective."""
     if any(d != (1, 1) for d in query.distances) or query.boundary != "strict":

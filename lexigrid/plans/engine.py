@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,39 +10,80 @@ from pyspark.sql import functions as F
 from lexigrid.operators import ngrams, paging, render
 from lexigrid.operators.dictionary import Star, build, types_of
 from lexigrid.operators.segments import without_punctuation
-from lexigrid.operators.sequence import tuples
+from lexigrid.operators.sequence import anchor_counts, tuples
 from lexigrid.plans.query import CorpusQuery
-from lexigrid.sources import plain
+from lexigrid.sources import plain, tables, tagged
 from lexigrid.sources.shared import stored
 
 VERSION = "1.0"
 
 
+#: Searches whose matches are kept: the pages of one search come from one join. Their tables are given back in turn.
+KEPT = 8
+#: Ranges of sentences that a page is read by.
+RANGES = 32
+
+
+def sentence_ranges(wanted: list[int], most: int = RANGES) -> list[tuple[int, int]]:
+    """At most this many ranges that hold all the numbers, cut at the widest gaps."""
+    at = sorted(set(wanted))
+    gaps = sorted(range(1, len(at)), key=lambda i: at[i - 1] - at[i])[: most - 1]
+    cuts = [0, *sorted(i for i in gaps if at[i] - at[i - 1] > 1), len(at)]
+    return [(at[a], at[b - 1]) for a, b in zip(cuts, cuts[1:]) if b > a]
+
+
 @dataclass
 class Corpus:
-    """The star schema, and the token table with its strings (what rendering reads)."""
+    """The star schema, and the token table with its strings (what rendering reads), stored in the order of sentences."""
 
     star: Star
     tokens: DataFrame
     cached: dict[bool, DataFrame] = field(default_factory=dict)
+    kept: dict[CorpusQuery, DataFrame] = field(default_factory=dict)
 
     @classmethod
-    def from_documents(cls, docs: DataFrame) -> Corpus:
-        spark = docs.sparkSession
-        found = stored(plain.lines(docs, int(spark.conf.get("spark.sql.shuffle.partitions"))), "lines")
-        token_rows = stored(plain.tokens(plain.sentences(found)), "tokens")
+    def _of(cls, token_rows: DataFrame, sources: DataFrame) -> Corpus:
         types = stored(types_of(token_rows), "types").persist()
-        star = build(token_rows, plain.sources(docs), types)
+        star = build(token_rows, sources, types)
         # facts that lie together by sentence: matches, windows and rendering of a sentence need no further exchange
         star.main = stored(star.main, "main").repartition("sentence").persist()
         return cls(star, token_rows)
 
+    @classmethod
+    def from_documents(cls, docs: DataFrame) -> Corpus:
+        """A table of plain texts."""
+        return cls._of(stored(plain.tokens(docs), "tokens"), plain.sources(docs))
+
+    @classmethod
+    def from_tagged(cls, spark: SparkSession, text: str, sentence_map: str, sources: DataFrame) -> Corpus:
+        """Tagged text, the map of its sentences to sources, and the table of sources."""
+        found = tagged.with_ids(tagged.parse(tagged.read_lines(spark, text)), tagged.read_map(spark, sentence_map))
+        return cls._of(stored(found, "tokens"), sources)
+
+    @classmethod
+    def from_tables(cls, star: Star) -> Corpus:
+        """A star schema that was read from files or a database."""
+        rows = tables.debug_dump(star).join(star.main.select("id", "pos"), "id").select("id", "sentence", "pos", "source", "word_case", "word", "lemma", "tags")
+        found = stored(rows.repartitionByRange("sentence").sortWithinPartitions("sentence", "pos"), "tokens")
+        star.types = star.types.persist()
+        star.main = stored(star.main.select("id", "united", "sentence", "source", "pos"), "main").repartition("sentence").persist()
+        return cls(star, found)
+
     def tuples(self, query: CorpusQuery) -> DataFrame:
         main = plain.slots(self.star.main) if query.boundary == "compat" else self.star.main
         return tuples(main, self.star.types, self.star.sources, query)
 
     def anchors(self, query: CorpusQuery) -> DataFrame:
-        return paging.anchors(self.tuples(query))
+        """A row for each first token that has tuples. Kept, so that page, totals and progress of a search, and its later pages, come from one scan."""
+        key = query.alike()
+        found = self.kept.pop(key, None)
+        if found is None:
+            found = paging.anchors(self.tuples(query)) if query.boundary == "compat" else anchor_counts(self.star.main, self.star.types, self.star.sources, query)
+            found = found.persist()
+        self.kept[key] = found
+        while len(self.kept) > KEPT:
+            self.kept.pop(next(iter(self.kept))).unpersist()
+        return found
 
     def page(self, query: CorpusQuery) -> DataFrame:
         return paging.page(self.anchors(query), query.returned, query.cursor)
@@ -51,19 +92,42 @@ class Corpus:
         found = self.anchors(query)
         return paging.summary(found, paging.page(found, query.returned, query.cursor), query.cursor)
 
+    def _shown(self, query: CorpusQuery) -> tuple[DataFrame, DataFrame]:
+        """The page as a local table (1,000 rows at most), and the tokens of its sentences: ranges of these reach the scan, which leaves out other files."""
+        page = self.page(query)
+        rows = page.collect()
+        held = self.tokens.sparkSession.createDataFrame(rows, page.schema)
+        near = F.lit(False)
+        for a, b in sentence_ranges([r["sentence"] for r in rows]):
+            near = near | F.col("sentence").between(a, b)
+        return held, self.tokens.where(near)
+
+    def sentences(self, query: CorpusQuery) -> DataFrame:
+        """z1, sentence, source, sentence_text of the page."""
+        page, near = self._shown(query)
+        return render.hit_sentences(near, page)
+
     def rows(self, query: CorpusQuery) -> DataFrame:
         """The page's sentences, marked, with their sources."""
-        return render.with_sources(render.hit_sentences(self.tokens, self.page(query)), self.star.sources)
+        return render.with_sources(self.sentences(query), self.star.sources)
 
     def context(self, query: CorpusQuery) -> DataFrame:
         return render.with_sources(render.context(self.tokens, query.extend, query.extend_range), self.star.sources)
 
     def respond(self, request: str) -> DataFrame:
-        """One row, ``response``: the JSON answer to a JSON request. The page (1,000 rows at most) is all that is gathered."""
+        """One row, ``response``: the JSON answer to a JSON request. The page (1,000 rows at most) is all that is gathered.
+
+        A sentence to extend that the corpus doesn't have counts as none; ``count_only`` leaves the examples out."""
         query = CorpusQuery.from_json(request)
-        rows, key = (self.context(query), "sentence") if query.extend >= 0 else (self.rows(query), "z1")
-        items = rows.select(F.col(key).alias("k"), F.to_json(render.row_struct()).alias("j"))
-        listed = items.agg(F.array_sort(F.collect_list(F.struct("k", "j"))).alias("js")).select(F.concat(F.lit('{"example":['), F.concat_ws(",", F.concat(F.col("js.j"), F.array(F.lit('{"id":-1}')))), F.lit("]")).alias("head"))
+        if query.extend >= 0 and query.extend > (self.star.main.agg(F.max("sentence")).first()[0] or 0):
+            query = replace(query, extend=-1).normalise()
+        end = F.array(F.lit('{"id":-1}'))
+        if query.count_only and query.extend < 0:
+            listed = self.summary(query).select("found_all", F.concat(F.lit('{"example":['), F.concat_ws(",", end), F.lit("]")).alias("head")).drop("found_all")
+        else:
+            rows, key = (self.context(query), "sentence") if query.extend >= 0 else (self.rows(query), "z1")
+            items = rows.select(F.col(key).alias("k"), F.to_json(render.row_struct()).alias("j"))
+            listed = items.agg(F.array_sort(F.collect_list(F.struct("k", "j"))).alias("js")).select(F.concat(F.lit('{"example":['), F.concat_ws(",", F.concat(F.col("js.j"), end)), F.lit("]")).alias("head"))
         if query.extend >= 0:
             return listed.select(F.concat("head", F.lit("}")).alias("response"))
         s = self.summary(query)

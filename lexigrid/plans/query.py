@@ -9,7 +9,7 @@ SLOTS = 6
 LONGEST = 1000
 PAGE = 100
 ARRAYS = ("word", "lemma", "tags", "wildmatch", "wildmatch_lemma", "case", "dist_from", "dist_to")
-SCALARS = ("return", "last_pos", "regex", "source", "source_field", "extend", "extend_range", "boundary")
+SCALARS = ("return", "last_pos", "regex", "source", "source_field", "extend", "extend_range", "boundary", "count_only")
 
 
 @dataclass(frozen=True)
@@ -46,6 +46,7 @@ class CorpusQuery:
     extend: int = -1
     extend_range: int = 0
     boundary: str = "strict"
+    count_only: bool = False
     unknown: tuple[str, ...] = field(default=(), compare=False)
 
     @classmethod
@@ -70,7 +71,7 @@ class CorpusQuery:
         cursor = max((int(x) for x in str(got.get("last_pos", "")).split("x") if x.strip().isdigit()), default=-1)
         return cls(
             slots, distances, number("return", PAGE), -1 if str(got.get("last_pos", "")).replace("0", "").replace("x", "") == "" else cursor, str(got.get("regex", 0)) in ("1", "True", "true"),
-            str(got.get("source", "")), str(got.get("source_field", "author")), number("extend", -1), number("extend_range", 0), str(got.get("boundary", "strict")), unknown,
+            str(got.get("source", "")), str(got.get("source_field", "author")), number("extend", -1), number("extend_range", 0), str(got.get("boundary", "strict")), str(got.get("count_only", 0)) in ("1", "True", "true"), unknown,
         ).normalise()
 
     def normalise(self) -> CorpusQuery:
@@ -89,6 +90,10 @@ class CorpusQuery:
             extend_range=self.extend_range if 0 <= self.extend_range < 10 else 2,
         )
 
+    def alike(self) -> CorpusQuery:
+        """The query without what only chooses a page: all pages of one search share it."""
+        return replace(self, returned=PAGE, cursor=-1, extend=-1, extend_range=0, count_only=False, unknown=())
+
     @property
     def prefix(self) -> tuple[Slot, ...]:
         """The filled slots before the first gap: what an n-gram search looks at."""

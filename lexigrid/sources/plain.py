@@ -6,31 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigrid.functions.tokens import TOKEN, lemma, tags
-from lexigrid.operators.numbering import numbered
+from lexigrid.operators.numbering import numbered, part_of, place_of, starts
+from lexigrid.sources.shared import stored
 
 
-def lines(docs: DataFrame, partitions: int | None = None) -> DataFrame:
-    """doc_id, sidx, lang and the tokens of each line that has any."""
-    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"))
-    if partitions:
-        rows = rows.repartition(partitions, "doc_id")
-    split = rows.select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("sidx", "line"))
-    found = split.select("doc_id", F.col("sidx").cast("bigint").alias("sidx"), "lang", F.regexp_extract_all("line", F.lit(TOKEN), F.lit(0)).alias("words"))
-    return found.where(F.size("words") > 0)
-
-
-def sentences(found: DataFrame) -> DataFrame:
-    """With dense numbers: ``sentence``, ``start`` (the corpus position of the first token) and ``rank`` (of the source among those that have tokens)."""
-    bucket, order = [F.floor(F.col("doc_id") / 64)], [F.col("doc_id"), F.col("sidx")]
-    out = numbered(found, "sentence", bucket, order)
-    return numbered(out, "start", bucket, order, weight=F.size("words"))
+def tokens(docs: DataFrame) -> DataFrame:
+    """id, sentence, pos, source, word_case, word, lemma, tags of each token; ids and sentences are dense, in the order of doc_id. A line without tokens is no sentence.
 
-
-def tokens(numbered_lines: DataFrame) -> DataFrame:
-    """id, sentence, pos, source, word_case, word, lemma, tags of each token."""
-    rows = numbered_lines.select("sentence", "start", F.col("doc_id").alias("source"), "lang", F.posexplode("words").alias("pos", "word_case"))
-    rows = rows.select((F.col("start") + F.col("pos")).alias("id"), "sentence", F.col("pos").cast("bigint").alias("pos"), "source", "word_case", F.lower("word_case").alias("word"), "lang")
-    return rows.select("id", "sentence", "pos", "source", "word_case", "word", lemma(F.col("word")).alias("lemma"), tags(F.col("word_case"), F.col("lang")).alias("tags"))
+    One pass cuts the texts: lines and tokens keep their places within a range of documents, and these become numbers."""
+    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"))
+    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    split = rows.select("doc_id", "lang", F.explode(F.split("text", "\n")).alias("line"))
+    found = split.select("doc_id", "lang", F.regexp_extract_all("line", F.lit(TOKEN), F.lit(0)).alias("words")).where(F.size("words") > 0)
+    found = found.withColumn("__s", F.monotonically_increasing_id())
+    found = found.select("doc_id", "lang", "__s", F.posexplode("words").alias("pos", "word_case"))
+    raw = stored(found.withColumn("__t", F.monotonically_increasing_id()), "raw")
+    placed = raw.join(starts(raw, __tokens="__t", __sentences="__s"), part_of("__t") == F.col("__part"))
+    out = placed.select((F.col("__tokens") + place_of("__t")).alias("id"), (F.col("__sentences") + place_of("__s")).alias("sentence"), F.col("pos").cast("bigint").alias("pos"), F.col("doc_id").alias("source"), "word_case", F.lower("word_case").alias("word"), "lang")
+    return out.select("id", "sentence", "pos", "source", "word_case", "word", lemma(F.col("word")).alias("lemma"), tags(F.col("word_case"), F.col("lang")).alias("tags"))
 
 
 def sources(docs: DataFrame) -> DataFrame:
@@ -47,7 +40,7 @@ def slots(token_rows: DataFrame) -> DataFrame:
     """With ``slot`` and ``sent_slot``: places that also count a marker per sentence and one per change of source."""
     firsts = token_rows.groupBy("sentence").agg(F.min("id").alias("__first"), F.min("source").alias("__src"))
     per_source = firsts.groupBy("__src").agg(F.min("sentence").alias("__begin"))
-    ranks = numbered(per_source, "__rank", [F.floor(F.col("__begin") / 256)], [F.col("__begin")]).select(F.col("__src").alias("__src2"), "__rank")
+    ranks = numbered(per_source, "__rank", [F.col("__begin")]).select(F.col("__src").alias("__src2"), "__rank")
     marks = firsts.join(ranks, F.col("__src") == F.col("__src2")).select(F.col("sentence").alias("__s"), (F.col("sentence") + F.col("__rank") + 2).alias("__add"), "__first")
     out = token_rows.join(marks, F.col("sentence") == F.col("__s"))
     return out.withColumn("slot", F.col("id") + F.col("__add")).withColumn("sent_slot", F.col("__first") + F.col("__add")).drop("__s", "__add", "__first")

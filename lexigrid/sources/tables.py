@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexigrid.operators.dictionary import SOURCE_FIELDS, Star
+from lexigrid.sources.shared import stored
 
 SCHEMAS = {
     "main": "id bigint, united bigint, sentence bigint, source bigint, pos bigint",
@@ -34,23 +35,47 @@ def types_from(star_tables: dict[str, DataFrame]) -> DataFrame:
     return out.select("id", "freq", "word_case", "word", "lemma", "tags")
 
 
+def with_pos(main: DataFrame) -> DataFrame:
+    """main with ``pos``, the place within the sentence, where it is missing or empty: ids are dense and in the order of the text."""
+    if "pos" in main.columns:
+        first = main.select("pos").first()
+        if first is None or first["pos"] is not None:
+            return main
+        main = main.drop("pos")
+    return main.withColumn("pos", (F.col("id") - F.min("id").over(Window.partitionBy("sentence"))).cast("bigint"))
+
+
 def _star(tables: dict[str, DataFrame]) -> Star:
-    return Star(types=types_from(tables), **tables)
+    return Star(types=types_from(tables), **{**tables, "main": with_pos(tables["main"])})
 
 
 def read_parquet(spark: SparkSession, folder: str) -> Star:
     return _star({n: spark.read.schema(s).parquet(f"{folder}/{n}") for n, s in SCHEMAS.items()})
 
 
-def write_tsv(star: Star, folder: str) -> None:
+def write_tsv(star: Star, folder: str, pos: bool = True) -> None:
+    """All tables, tab-separated and packed; ``pos=False`` leaves out the place within the sentence, which some databases don't keep."""
     for name in SCHEMAS:
-        getattr(star, name).write.mode("overwrite").option("sep", "\t").option("compression", "bzip2").option("quote", "").option("emptyValue", "").csv(f"{folder}/{name}")
+        df = getattr(star, name)
+        df = df.select("id", "united", "sentence", "source", *(["pos"] if pos else [])) if name == "main" else df
+        df.write.mode("overwrite").option("sep", "\t").option("compression", "bzip2").option("quote", "").option("emptyValue", "").csv(f"{folder}/{name}")
 
 
 def read_tsv(spark: SparkSession, folder: str) -> Star:
     return _star({n: spark.read.schema(s).option("sep", "\t").option("quote", "").csv(f"{folder}/{n}").fillna("") for n, s in SCHEMAS.items()})
 
 
+def write_tagged(tokens: DataFrame, text: str, sentence_map: str) -> None:
+    """A line of units for each sentence, in order, and the map of sentences to sources."""
+    special = r"([\\^$/<>+*@\[\]{}~])"
+    plain = lambda c: F.regexp_replace(c, special, r"\\$1")
+    unit = F.concat(F.lit("^"), plain("word_case"), F.lit("/"), plain("lemma"), F.translate("tags", ",", ""), F.lit("$"))
+    lines = tokens.groupBy("sentence").agg(F.min("source").alias("source"), F.array_sort(F.collect_list(F.struct("pos", unit.alias("u")))).alias("us"))
+    lines = stored(lines.select("sentence", "source", F.concat_ws(" ", "us.u").alias("value")), "sentences")
+    lines.repartitionByRange("sentence").sortWithinPartitions("sentence").select("value").write.text(text)
+    lines.select("sentence", "source").write.csv(sentence_map, sep="\t")
+
+
 def read_jdbc(spark: SparkSession, url: str, prefix: str = "corpus_", partitions: int = 64, **options: str) -> Star:
     """All tables from a database; main is read in ``partitions`` ranges of its id at once."""
 
@@ -81,6 +106,33 @@ def read_ngrams(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("parentnode", F.when(F.col("parentnode") >= 0, F.col("parentnode")))
 
 
+def tree_rows(nodes: DataFrame) -> DataFrame:
+    """node, parent, word, amount: n-grams as a tree, numbered from 1 in depth-first order with words ascending; the root is 0."""
+    from lexigrid.operators.ngrams import GRAMS, LEVELS
+    from lexigrid.operators.numbering import numbered
+
+    placed = numbered(nodes.select("level", *GRAMS, "freq"), "node", [F.asc_nulls_first(g) for g in GRAMS]).withColumn("node", F.col("node") + 1)
+    out = placed.where("level = 1").select("node", F.lit(0).cast("bigint").alias("parent"), F.col("g1").alias("word"), F.col("freq").alias("amount"))
+    for k in range(2, LEVELS + 1):
+        above = placed.where(F.col("level") == k - 1).select(*[F.col(g).alias(f"__{g}") for g in GRAMS[: k - 1]], F.col("node").alias("parent"))
+        own = placed.where(F.col("level") == k).join(above, [F.col(g) == F.col(f"__{g}") for g in GRAMS[: k - 1]])
+        out = out.unionByName(own.select("node", "parent", F.col(f"g{k}").alias("word"), F.col("freq").alias("amount")))
+    return out
+
+
+def write_tree(nodes: DataFrame, path: str) -> None:
+    """``node;parent;word;amount`` lines in the order of their numbers, with a head line first and the next free number last."""
+    rows = stored(tree_rows(nodes), "tree")
+    lines = rows.select(F.col("node").alias("__n"), F.concat_ws(";", "node", "parent", "word", "amount").alias("value"))
+    ends = rows.agg((F.coalesce(F.max("node"), F.lit(0)) + 1).alias("free")).select(F.explode(F.array(F.struct(F.lit(0).cast("bigint").alias("n"), F.lit("#NodeId;parentNodeId;WordId;amount").alias("v")), F.struct(F.col("free").alias("n"), F.concat(F.lit("#Next free id:"), "free").alias("v")))).alias("x"))
+    lines.unionByName(ends.select(F.col("x.n").alias("__n"), F.col("x.v").alias("value"))).repartitionByRange("__n").sortWithinPartitions("__n").select("value").write.mode("overwrite").text(path)
+
+
+def types_dump(star: Star) -> DataFrame:
+    """united with its strings."""
+    return star.types.select("id", "freq", "word_case", "word", "lemma", "tags")
+
+
 def leaf_paths(nodes: DataFrame) -> DataFrame:
     """One text row for each n-gram that no longer one continues: ``id(count)`` of each prefix, in order."""
     from lexigrid.operators.ngrams import GRAMS, LEVELS

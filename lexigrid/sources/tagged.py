@@ -6,11 +6,11 @@ says so; the corpus at hand doesn't show either.)
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lexigrid.functions.tokens import sort_tags
+from lexigrid.sources.shared import stored
 
 UNIT = r"\^((?:[^\\^$]|\\.)*)\$"
 PIECE = r"([^\^]*)\^((?:[^\\^$]|\\.)*)\$"
@@ -22,11 +22,16 @@ def stripped(line: Column) -> Column:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """sentence (the line's number from 0, over the files in order) and line, stripped; a byte-order mark goes. bz2 files are split by Spark."""
-    text = spark.read.text(path)
-    rows = text.rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
-    schema = T.StructType([T.StructField("sentence", T.LongType(), False), T.StructField("line", T.StringType(), False)])
-    return spark.createDataFrame(rows, schema).select("sentence", stripped(F.col("line")).alias("line"))
+    """sentence (the line's number from 0, over the files by path) and line, stripped; a byte-order mark goes. bz2 files are split by Spark."""
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"))
+    # lines of one piece of a file are read one after another, whatever task has the piece
+    rows = stored(text.withColumn("__at", F.monotonically_increasing_id()), "lines")
+    pieces = rows.groupBy("__file", "__block").agg(F.min("__at").alias("__least"), F.count("*").alias("__n"))
+    before = Window.orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # a row a piece
+    pieces = pieces.select(F.col("__file").alias("__f"), F.col("__block").alias("__b"), "__least", (F.sum("__n").over(before) - F.col("__n")).alias("__start"))
+    out = rows.join(F.broadcast(pieces), (F.col("__file") == F.col("__f")) & (F.col("__block") == F.col("__b")))
+    return out.select((F.col("__start") + F.col("__at") - F.col("__least")).alias("sentence"), stripped(F.col("value")).alias("line"))
 
 
 def read_map(spark: SparkSession, path: str) -> DataFrame:
@@ -59,8 +64,9 @@ def tokens_of(line: Column) -> Column:
         s = _plain(parts[0])
         subs = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda r: F.split(r, r"(?<!\\)\+"))
         joined = F.array_join(F.transform(F.flatten(subs), lambda s, i: F.when(i == 0, tag_list(s)).otherwise(F.concat(F.lit("+"), base(s), tag_list(s)))), ",")
-        lemma = F.lower(base(F.try_element_at(F.try_element_at(subs, F.lit(-1)), F.lit(1))))
-        lemma = F.coalesce(F.regexp_replace(lemma, r"^\*", ""), F.lit(""))
+        # the mark of an unknown word is a plain star
+        last = F.regexp_replace(F.try_element_at(F.try_element_at(subs, F.lit(-1)), F.lit(1)), r"^\*", "")
+        lemma = F.coalesce(F.lower(base(last)), F.lit(""))
         none = (F.lower(s) == "") & (lemma == "")
         own = F.when(joined.isin("", "<>"), "*").otherwise(joined)
         unit = F.struct(_under(s).alias("word_case"), F.when(none, "/").otherwise(_under(F.lower(s))).alias("word"), F.when(none, "/").otherwise(_under(lemma)).alias("lemma"), sort_tags(F.coalesce(own, F.lit("*"))).alias("tags"))
@@ -81,4 +87,4 @@ def with_ids(tokens: DataFrame, sentence_sources: DataFrame) -> DataFrame:
     from lexigrid.operators.numbering import numbered
 
     rows = tokens.join(sentence_sources, "sentence")
-    return numbered(rows, "id", [F.floor(F.col("sentence") / 256)], [F.col("sentence"), F.col("pos")]).select("id", "sentence", "pos", "source", "word_case", "word", "lemma", "tags")
+    return numbered(rows, "id", [F.col("sentence"), F.col("pos")]).select("id", "sentence", "pos", "source", "word_case", "word", "lemma", "tags")

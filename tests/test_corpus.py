@@ -253,13 +253,13 @@ def test_all_six_levels_are_registered(spark, corpus, monkeypatch):
                 freq[tuple(us[i : i + k])] = freq.get(tuple(us[i : i + k]), 0) + 1
     leaves = [g for g in freq if not any(len(x) == len(g) + 1 and x[:-1] == g for x in freq)]
     want = sorted(" ".join(f"{g[j]}({freq[g[: j + 1]]})" for j in range(len(g))) for g in leaves)
-    assert sorted(r[0] for r in catalog.QUERIES["ng_leaf_paths_all"](spark, "").collect()) == want
+    assert sorted(r[0] for r in catalog.QUERIES["ng_leaf_paths"](spark, "").collect()) == want
     assert {len(x.split()) for x in want} >= {3, 4, 5, 6}
-    for name in ("ng_rank_all", "ng_wopunct_all"):
+    for name in ("ng_rank", "ng_wopunct"):
         rows = catalog.QUERIES[name](spark, "").collect()
         grams = {tuple(g for g in r[2:8] if g is not None): r["freq"] for r in rows}
         assert len(grams) == len(rows) and all(len(g) == r["level"] for g, r in zip(grams, rows))
-        assert grams == freq if name == "ng_rank_all" else max(map(len, grams)) == max(r["level"] for r in rows) and set(grams) < set(freq)
+        assert grams == freq if name == "ng_rank" else max(map(len, grams)) == max(r["level"] for r in rows) and set(grams) < set(freq)
 
 
 def test_stream_is_like_batch(spark, tmp_path):
@@ -273,3 +273,96 @@ def test_stream_is_like_batch(spark, tmp_path):
     got = sorted(map(tuple, append.current_counts(spark, str(tmp_path / "out")).select(*append.TYPE, "freq").collect()))
     assert got == sorted(map(tuple, batch.collect())) and ("–", "–", "–", "<sym>", 1) in got and ("идем", "идем", "и", "<cop>,<ifi>,<p1>,<sg>", 1) in got
     assert ("a_b", "a_b", "d", "+d<v>,+и<cop>,<n>", 1) in got
+
+
+@pytest.mark.parametrize("bad", ["a{2,1}", "[z-a]", "a{1", "(?<n>a)(?<n>b)"])
+def test_what_java_refuses_is_an_error_on_the_driver(corpus, bad):
+    with pytest.raises(ValueError):
+        corpus.tuples(Q(Slot(wildmatch=bad), regex=True))
+    with pytest.raises(ValueError):
+        matching_sources(corpus.star.sources, Q(K, source=bad, regex=True))
+
+
+QUERIES = [
+    Q(K), Q(K, A, distances=[(1, 4)]), Q(A, N, K, distances=[(1, 3), (1, 9)]), Q(K, Slot(), A, distances=[(1, 2), (1, 1)]), Q(N, N, N, distances=[(1, 9), (1, 9)]), Q(Slot(tags="<sent>"), K),
+    Q(K, K, K, K, K, K, distances=[(1, 1000)] * 5), Q(Slot(), Slot(), Slot(), N, distances=[(1, 2)] * 3), Q(K, A, distances=[(1, 4)], source="*мирхан"),
+]
+
+
+@pytest.mark.parametrize("k", range(len(QUERIES)))
+def test_counted_anchors_are_those_of_the_tuples(corpus, k, monkeypatch):
+    monkeypatch.setattr(sequence, "SELECTIVE", k % 2 * 0.9)
+    query = QUERIES[k]
+    by_tuples = paging.anchors(corpus.tuples(query))
+    got = sequence.anchor_counts(corpus.star.main, corpus.star.types, corpus.star.sources, query)
+    assert sorted(got.columns) == sorted(by_tuples.columns)
+    assert sorted(map(tuple, got.select(by_tuples.columns).collect())) == sorted(map(tuple, by_tuples.collect()))
+
+
+def test_sentence_ranges():
+    from lexigrid.plans.engine import sentence_ranges
+
+    assert sentence_ranges([]) == [] and sentence_ranges([7, 7]) == [(7, 7)]
+    assert sentence_ranges([1, 2, 3, 90, 91, 500], 2) == [(1, 91), (500, 500)]
+    assert sentence_ranges([1, 2, 3, 90, 91, 500]) == [(1, 3), (90, 91), (500, 500)]
+
+
+def test_numbers_over_many_partitions(spark):
+    import random
+
+    from lexigrid.operators.numbering import numbered
+
+    rng = random.Random(2)
+    values = [(rng.choice("xyz"), rng.randrange(10_000), i) for i in range(3000)]
+    df = spark.createDataFrame(values, "w string, a bigint, b bigint").repartition(7)
+    want = sorted(values, key=lambda r: (-r[1], r[2]))
+    assert [tuple(r)[:3] for r in sorted(numbered(df, "k", [F.desc("a"), F.col("b")]).collect(), key=lambda r: r["k"])] == want
+    got = numbered(df, "k", [F.desc("a"), F.col("b")], within="w").collect()
+    for w in "xyz":
+        own = sorted((r["k"], r["a"], r["b"]) for r in got if r["w"] == w)
+        assert [r[0] for r in own] == list(range(len(own))) and [(w, *r[1:]) for r in own] == [r for r in want if r[0] == w]
+    assert numbered(df.limit(0), "k", [F.col("a")]).count() == 0
+
+
+def test_saved_tables_without_places(spark, corpus, tmp_path):
+    tables.write_tsv(corpus.star, str(tmp_path / "star"), pos=False)
+    again = Corpus.from_tables(tables.read_tsv(spark, str(tmp_path / "star")))
+    query = Q(K, A, distances=[(1, 4)])
+    key = "z1"
+    assert sorted(map(tuple, again.rows(query).select(key, "sentence_text", "s_author").collect())) == sorted(map(tuple, corpus.rows(query).select(key, "sentence_text", "s_author").collect()))
+    assert answer(again, query) == answer(corpus, query)
+
+
+def test_tree_dump(spark, corpus, tmp_path):
+    tables.write_tree(corpus.ngrams(), str(tmp_path / "tree"))
+    lines = [line for p in sorted((tmp_path / "tree").glob("part-*")) for line in p.read_text().splitlines()]
+    assert lines[0] == "#NodeId;parentNodeId;WordId;amount" and lines[-1] == f"#Next free id:{len(lines) - 1}"
+    united = {}
+    for r in corpus.star.main.orderBy("id").collect():
+        united.setdefault(r["sentence"], []).append(r["united"])
+    tree = {}
+    for us in united.values():
+        for i in range(len(us)):
+            at = tree
+            for u in us[i : i + 6]:
+                node = at.setdefault(u, [0, {}])
+                node[0] += 1
+                at = node[1]
+    want = []
+
+    def walk(at, above):
+        for u in sorted(at):
+            want.append(f"{len(want) + 1};{above};{u};{at[u][0]}")
+            walk(at[u][1], len(want))
+
+    walk(tree, 0)
+    assert lines[1:-1] == want
+
+
+def test_requests_for_counts_and_beyond_the_end(corpus):
+    got = json.loads(corpus.respond('{"wildmatch":["к*"],"count_only":1}').first()["response"])
+    assert got["example"] == [{"id": -1}] and got["found_all"] == corpus.summary(Q(K)).first()["found_all"]
+    assert json.loads(corpus.respond('{"extend":2}').first()["response"])["example"][0]["id"] == 2
+    assert len(json.loads(corpus.respond('{"extend":99,"wildmatch":["к*"]}').first()["response"])["example"]) > 1
+    with pytest.raises(ValueError):
+        corpus.respond('{"extend":99}')
