@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .shared import save, small_batches, table
+from .shared import discard, save, small_batches, table
 
 TRAIN_ROWS = 20_000
 FEATURE_BITS = 18
@@ -30,8 +30,12 @@ FORMS = 16
 SMOOTH = 4.0
 #: A feature has a weight only if chance gives its counts, or stranger ones, with a probability under about exp(-SURPRISE); most rare words have none.
 SURPRISE = 25.0
-#: Posterior from which on a document is accepted: low, so that documents in doubt stay.
-BOUND = 0.3
+#: Every HELD-th labelled document is held out to choose the posterior from which on documents are accepted, if there are FEWEST of both kinds (else BOUND).
+HELD = 5
+FEWEST = 20
+BOUND = 0.5
+#: Of bounds that are nearly as good as the best (sum of both kinds' shares that are judged right), the lowest is taken, so that documents in doubt stay.
+NEARLY = 0.01
 HASHES = 3
 MOST_PSEUDO = 1000.0
 
@@ -69,8 +73,13 @@ def _count(batches):
     for b in tk.slices(batches):
         ids, bounds = features(b.column("text"))
         kind = np.repeat(b.column("kind").to_numpy(zero_copy_only=False).astype(np.int64), np.diff(bounds))
-        keys, n = np.unique(ids * 4 + kind, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(keys >> 2), pa.array((keys & 3).astype(np.int32)), pa.array(n.astype(np.int64))], ["feature", "kind", "n"])
+        keys, n = np.unique(ids * 8 + kind, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(keys >> 3), pa.array((keys & 7).astype(np.int32)), pa.array(n.astype(np.int64))], ["feature", "kind", "n"])
+
+
+def _held_out(batches, evidence):
+    for b in tk.slices(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(evidence.value.score(b.column("text"))), pa.array(b.column("kind").to_numpy(zero_copy_only=False) == 6)], ["score", "good"])
 
 
 def _families(batches):
@@ -115,6 +124,7 @@ class Evidence:
         self.quality = Task(np.stack([counts[0] + counts[1], counts[2] + counts[3]]), np.array([docs[0] + docs[1], docs[2] + docs[3]]))
         self.toxic = Task(np.stack([counts[0] + counts[2], counts[1] + counts[3]]), np.array([docs[0] + docs[2], docs[1] + docs[3]]))
         self.rate = float((docs[2] + 1) / (docs.sum() + 2))
+        self.bound = BOUND
 
     def score(self, column: pa.Array) -> np.ndarray:
         """Log odds of good, less those of a document without any weighty feature."""
@@ -128,6 +138,18 @@ class Evidence:
         return np.log(good / (1 - good)) - math.log(usual / (1 - usual))
 
 
+def best_bound(posteriors: np.ndarray, good: np.ndarray) -> float:
+    """The lowest bound that judges held-out documents nearly as well as the best one, in the middle of the gap where it lies."""
+    if min(good.sum(), (~good).sum()) < FEWEST:
+        return BOUND
+    values = np.unique(posteriors)
+    order = np.sort(posteriors[good]), np.sort(posteriors[~good])
+    kept = 1 - np.searchsorted(order[0], values, side="left") / len(order[0])
+    refused = np.searchsorted(order[1], values, side="left") / len(order[1])
+    i = int(np.flatnonzero(kept + refused >= (kept + refused).max() - NEARLY)[0])
+    return float((values[i - 1] + values[i]) / 2) if i else float(values[0])
+
+
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Evidence:
     """Evidence from at most train_rows labelled rows. The sample's ids are broadcast: their number is bounded by that parameter.
 
@@ -139,17 +161,26 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Evi
     sample = known.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(train_rows)
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.join(F.broadcast(sample), F.col("doc_id") == F.col("id")).groupBy("id").agg(F.min(F.struct("text", "kind")).alias("x")).select("id", "x.text", "x.kind")
-    rows = save(rows, "labelled")
-    families = save(rows.select("id", "text").mapInArrow(_families, "id bigint, " + ", ".join(f"f{i} bigint" for i in range(HASHES))), "families")
+    scratch: list[str] = []
+    rows = save(rows, "labelled", scratch)
+    families = save(rows.select("id", "text").mapInArrow(_families, "id bigint, " + ", ".join(f"f{i} bigint" for i in range(HASHES))), "families", scratch)
     for i in range(HASHES):
         rows = rows.join(families.groupBy(f"f{i}").agg(F.min("id").alias("id")).select("id").distinct(), "id", "left_semi")
-    rows = rows.select("text", "kind")
-    counts, sizes = np.zeros((4, SIZE)), np.zeros(4)
+    # kinds from 4 on are those of held-out rows
+    held = F.pmod(F.xxhash64("id", F.lit(23)), F.lit(HELD)) == 0
+    rows = save(rows.select("text", F.when(held, F.col("kind") + 4).otherwise(F.col("kind")).alias("kind")), "kinds", scratch)
+    counts, sizes = np.zeros((8, SIZE)), np.zeros(8)
     for r in rows.groupBy("kind").agg(F.count("*").alias("n")).collect():
         sizes[r["kind"]] = r["n"]
-    found = rows.mapInArrow(_count, "feature bigint, kind int, n bigint").groupBy("feature", "kind").agg(F.sum("n").alias("n")).toArrow()  # four rows a feature at most
+    found = rows.mapInArrow(_count, "feature bigint, kind int, n bigint").groupBy("feature", "kind").agg(F.sum("n").alias("n")).toArrow()  # eight rows a feature at most
     np.add.at(counts, (found.column("kind").to_numpy(), found.column("feature").to_numpy()), found.column("n").to_numpy())
-    return Evidence(counts, sizes)
+    first = spark.sparkContext.broadcast(Evidence(counts[:4], sizes[:4]))
+    judged = rows.where("kind >= 4").mapInArrow(lambda it: _held_out(it, first), "score double, good boolean").toArrow()  # a share of train_rows
+    posteriors = _logistic(judged.column("score").to_numpy() + math.log(first.value.rate / (1 - first.value.rate)))
+    out = Evidence(counts[:4] + counts[4:], sizes[:4] + sizes[4:])
+    out.bound = best_bound(posteriors, judged.column("good").to_numpy().astype(bool))
+    discard(spark, scratch)
+    return out
 
 
 def pseudo(groups: DataFrame, rate: Column | float) -> float:
@@ -162,8 +193,8 @@ def pseudo(groups: DataFrame, rate: Column | float) -> float:
     return MOST_PSEUDO if spread <= 0 else min(MOST_PSEUDO, max(1.0, within / spread - 1))
 
 
-def judge(docs: DataFrame, labels: DataFrame, evidence: Evidence | None = None, bound: float = BOUND, rejected: bool = False) -> DataFrame:
-    """doc_id, host, path, evidence, prior, posterior of each document whose posterior is ``bound`` at least (``rejected``: of the others).
+def judge(docs: DataFrame, labels: DataFrame, evidence: Evidence | None = None, bound: float | None = None, rejected: bool = False) -> DataFrame:
+    """doc_id, host, path, evidence, prior, posterior of each document whose posterior is ``bound`` at least (``rejected``: of the others); without one it is that of the evidence, chosen on held-out labels.
 
     A document's host is its source, its path source/lang; null counts as ''. Null texts count as empty, whose evidence comes from form alone; rows without
     doc_id are left out; a repeated row counts as often as it comes; a posterior of just ``bound`` is accepted; other columns are ignored; an empty table gives
@@ -171,6 +202,7 @@ def judge(docs: DataFrame, labels: DataFrame, evidence: Evidence | None = None,
     spark = docs.sparkSession
     small_batches(spark)
     evidence = evidence or fit(docs, labels)
+    bound = evidence.bound if bound is None else bound
     shared = spark.sparkContext.broadcast(evidence)
     prior = math.log(evidence.rate / (1 - evidence.rate))
 
@@ -192,7 +224,7 @@ def judge(docs: DataFrame, labels: DataFrame, evidence: Evidence | None = None,
     out = scored.join(rates, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")))
     posterior = 1 / (1 + F.exp(-(F.col("evidence") + F.log(F.col("prior") / (1 - F.col("prior"))))))
     out = out.select("doc_id", "host", "path", "evidence", "prior", posterior.alias("posterior"))
-    return out.where(F.col("posterior") < bound if rejected else F.col("posterior") >= bound)
+    return out.where(F.col("posterior") < bound - 1e-9 if rejected else F.col("posterior") >= bound - 1e-9)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
