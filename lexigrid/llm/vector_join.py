@@ -4,8 +4,8 @@ Vectors are scaled to length one; a pair matches if its cosine is COSINE at leas
 a hash, part the space: a vector lives in its nearest pivot's cell. If y lives in cell j and a vector within RANGE lives in
 cell i, then d(y, pivot i) - d(y, pivot j) <= 2 RANGE by the triangle inequality, so y is copied to just those cells, and only to cells
 of a smaller number, as the pair is then found in the smaller of its two cells. Of those cells, only the ones are kept whose bordering plane
-(of points as far from one pivot as from the other) is within RANGE of y. Cells join independently and no pair is found twice. A cell of more than
-MOST_CELL vectors is cut into blocks, and each pair of blocks is a task of its own.
+(of points as far from one pivot as from the other) is within RANGE of y. Cells join independently and no pair is found twice. Where a cell has more than
+MOST_CELL vectors of its own, or copies, these are cut into blocks, and each pair of blocks is a task of its own.
 
 Equal vectors are one beforehand. A cell returns no pairs, whose number grows with the square of a group of copies, but for each vector how many it matches,
 and its group within the cell; connected components of these are the classes. Each dimension is joined for itself.
@@ -30,7 +30,7 @@ from .shared import discard, save, small, small_batches, table
 COSINE = 0.95
 #: Vectors that a cell should hold; never fewer than LEAST_PIVOTS cells.
 CELL = 2048
-MOST_CELL = 8 * CELL
+MOST_CELL = 16 * CELL
 LEAST_PIVOTS = 16
 PIVOT_BYTES = 32 << 20
 BLOCK = 1024
@@ -75,22 +75,23 @@ def _sizes(batches, pivots, span):
 
 
 def _assign(batches, plan, span):
-    """Rows of tasks: dimension, cell, blocks i <= j of the cell, role (0: own in block i, 1: own in block j, 2: copy in block j, 3: copy in block i), vector."""
+    """Rows of tasks. Tasks of kind 0 have blocks i <= j of a cell's own vectors, and if i is j the first block of its copies; those of kind 1 have block i of its own and
+    block j of its copies. Roles: 0 in block i, 1 in block j, 2 a copy."""
     pivots, cuts = plan.value
     for b, k, rows, raw, cell, copied, other in _placed(batches, pivots, span):
         ids, docs = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64)[rows] for c in ("vec_id", "docs"))
-        out: list[tuple[int, int, int, int, int]] = []
-        for r, c, role in [*((r, c, 0) for r, c in enumerate(cell.tolist())), *((r, c, 2) for r, c in zip(copied.tolist(), other.tolist()))]:
-            blocks = cuts.get((k, c), 1)
-            mine = hash((int(ids[r]), c)) % blocks if blocks > 1 else 0
-            if role == 2:
-                out += [(r, c, i, mine, 2) for i in range(mine + 1)] + [(r, c, mine, j, 3) for j in range(mine + 1, blocks)]
+        out: list[tuple[int, int, int, int, int, int]] = []
+        for r, c, copy in [*((r, c, False) for r, c in enumerate(cell.tolist())), *((r, c, True) for r, c in zip(copied.tolist(), other.tolist()))]:
+            own, copies = cuts.get((k, c), (1, 1))
+            mine = hash((int(ids[r]), c)) % (copies if copy else own)
+            if copy:
+                out += [(r, c, i, mine, 1, 2) if mine else (r, c, i, i, 0, 2) for i in range(own)]
             else:
-                out += [(r, c, mine, j, 0) for j in range(mine, blocks)] + [(r, c, i, mine, 1) for i in range(mine)]
+                out += [(r, c, mine, j, 0, 0) for j in range(mine, own)] + [(r, c, i, mine, 0, 1) for i in range(mine)] + [(r, c, mine, j, 1, 0) for j in range(1, copies)]
         for at in range(0, len(out), 4096):
-            r, c, i, j, role = (np.array(x) for x in zip(*out[at : at + 4096]))
+            r, c, i, j, kind, role = (np.array(x) for x in zip(*out[at : at + 4096]))
             blobs = [raw[x].tobytes() for x in r]
-            yield pa.RecordBatch.from_arrays([pa.array([k] * len(r), pa.int32()), *[pa.array(x.astype(np.int32)) for x in (c, i, j, role)], pa.array(ids[r]), pa.array(docs[r]), pa.array(blobs, pa.binary())], ["k", "cell", "i", "j", "role", "vec_id", "docs", "vector"])
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(r), pa.int32()), *[pa.array(x.astype(np.int32)) for x in (c, i, j, kind, role)], pa.array(ids[r]), pa.array(docs[r]), pa.array(blobs, pa.binary())], ["k", "cell", "i", "j", "kind", "role", "vec_id", "docs", "vector"])
 
 
 def _roots(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -107,26 +108,25 @@ def _roots(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _join(cosine, kind):
-    """Own vectors of block i against those of block j (of block i itself if there is one block) and its copies, own ones of block j against block i's copies."""
+    """Role 0 against the others, and against itself in a task of one block."""
 
     def run(t: pa.Table) -> pa.Table:
         role = t.column("role").to_numpy()
         order = np.lexsort((t.column("vec_id").to_numpy(), role))
         role, ids, docs = role[order], t.column("vec_id").to_numpy()[order], t.column("docs").to_numpy()[order]
         x = _unit(np.frombuffer(b"".join(v.as_py() for v in t.column("vector").take(pa.array(order))), kind).reshape(len(ids), -1))
-        at = np.searchsorted(role, np.arange(5))
-        whole = t.column("i")[0].as_py() == t.column("j")[0].as_py()
+        n = int(np.searchsorted(role, 1))
+        whole = t.column("kind")[0].as_py() == 0 and t.column("i")[0].as_py() == t.column("j")[0].as_py()
         links, parent = np.zeros(len(ids), np.int64), np.arange(len(ids))
-        for left, right in (((at[0], at[1]), (at[0] if whole else at[1], at[3])), ((at[1], at[2]), (at[3], at[4]))):
-            for i in range(left[0], left[1], BLOCK):
-                for j in range(max(right[0], i if whole else 0), right[1], BLOCK):
-                    u, v = np.nonzero(x[i : min(i + BLOCK, left[1])] @ x[j : min(j + BLOCK, right[1])].T >= cosine)
-                    u, v = u + i, v + j
-                    u, v = u[u < v], v[u < v]
-                    if len(u):
-                        np.add.at(links, u, docs[v])
-                        np.add.at(links, v, docs[u])
-                        parent = _roots(parent, u, v)
+        for i in range(0, n, BLOCK):
+            for j in range(i if whole else n, len(ids), BLOCK):
+                u, v = np.nonzero(x[i : min(i + BLOCK, n)] @ x[j : j + BLOCK].T >= cosine)
+                u, v = u + i, v + j
+                u, v = u[u < v], v[u < v]
+                if len(u):
+                    np.add.at(links, u, docs[v])
+                    np.add.at(links, v, docs[u])
+                    parent = _roots(parent, u, v)
         some = links > 0
         return pa.table({"vec_id": pa.array(ids[some]), "near": pa.array(ids[parent[some]]), "links": pa.array(links[some])})
 
@@ -171,10 +171,10 @@ def links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     held = {k: _unit(np.array([v for _, _, v in sorted(rows)[: counts[k]]])) if rows else np.eye(1, k) for k, rows in found.items()}
     pivots, span = spark.sparkContext.broadcast(held), math.sqrt(max(2 - 2 * cosine, 0))
     sizes = sound.select("vector").mapInArrow(lambda it: _sizes(it, pivots, span), "k int, cell int, own bigint, copies bigint").groupBy("k", "cell").agg(F.sum("own").alias("own"), F.sum("copies").alias("copies"))
-    cuts = {(r["k"], r["cell"]): math.ceil((r["own"] + r["copies"]) / CELL) for r in sizes.where(F.col("own") + F.col("copies") > MOST_CELL).collect()}  # no more than pivots
+    cuts = {(r["k"], r["cell"]): (max(1, math.ceil(r["own"] / MOST_CELL)), max(1, math.ceil(r["copies"] / MOST_CELL))) for r in sizes.where(F.greatest("own", "copies") > MOST_CELL).collect()}  # no more than pivots
     plan = spark.sparkContext.broadcast((held, cuts))
-    placed = sound.mapInArrow(lambda it: _assign(it, plan, span), "k int, cell int, i int, j int, role int, vec_id bigint, docs bigint, vector binary")
-    near = save(placed.groupBy("k", "cell", "i", "j").applyInArrow(_join(cosine, kind), "vec_id bigint, near bigint, links bigint"), "near", scratch)
+    placed = sound.mapInArrow(lambda it: _assign(it, plan, span), "k int, cell int, i int, j int, kind int, role int, vec_id bigint, docs bigint, vector binary")
+    near = save(placed.groupBy("k", "cell", "i", "j", "kind").applyInArrow(_join(cosine, kind), "vec_id bigint, near bigint, links bigint"), "near", scratch)
     roots = components(near.select(F.col("vec_id").alias("a"), F.col("near").alias("b")), "vector-groups")
     per = near.groupBy(F.col("vec_id").alias("rep")).agg(F.sum("links").alias("n"))
     per = save(per.join(roots, F.col("rep") == F.col("node")).select("rep", "n", "root"), "linked", scratch)
