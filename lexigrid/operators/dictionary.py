@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrid.operators.numbering import numbered
@@ -12,16 +12,21 @@ from lexigrid.operators.numbering import numbered
 SOURCE_FIELDS = ("nice", "author", "title", "date", "type", "genre", "source", "url", "meta", "full")
 
 
-def lexicon(tokens: DataFrame, column: str, name: str | None = None) -> DataFrame:
-    """id (rank in code-point order), freq, and the distinct value."""
-    counted = tokens.groupBy(column).agg(F.count("*").alias("freq"))
+def _freq(rows: DataFrame) -> Column:
+    """How many tokens a group of rows stands for: rows are tokens, or token types with their freq."""
+    return F.sum("freq") if "freq" in rows.columns else F.count("*")
+
+
+def lexicon(rows: DataFrame, column: str, name: str | None = None) -> DataFrame:
+    """id (rank in code-point order), freq, and the distinct value, of tokens or of token types (far fewer rows)."""
+    counted = rows.groupBy(column).agg(_freq(rows).alias("freq"))
     out = numbered(counted, "id", [F.col(column)])
     return out.select("id", "freq", F.col(column).alias(name or column))
 
 
-def unique_tags(tokens: DataFrame) -> DataFrame:
+def unique_tags(rows: DataFrame) -> DataFrame:
     """Single tags, repeats in a tag set counted, without those that have a star; id by descending frequency, then tag."""
-    counted = tokens.groupBy("tags").agg(F.count("*").alias("n")).select(F.explode(F.split("tags", ",")).alias("tag"), "n").groupBy("tag").agg(F.sum("n").alias("freq"))
+    counted = rows.groupBy("tags").agg(_freq(rows).alias("n")).select(F.explode(F.split("tags", ",")).alias("tag"), "n").groupBy("tag").agg(F.sum("n").alias("freq"))
     kept = counted.where(~F.col("tag").contains("*"))
     # a tag inventory: some hundreds of rows
     return kept.select((F.row_number().over(Window.orderBy(F.desc("freq"), "tag")) - 1).cast("bigint").alias("id"), "freq", "tag")
@@ -69,7 +74,7 @@ def main_of(tokens: DataFrame, types: DataFrame) -> DataFrame:
 
 def build(tokens: DataFrame, sources: DataFrame, types: DataFrame | None = None) -> Star:
     types = types_of(tokens) if types is None else types
-    lex = {c: lexicon(tokens, c) for c in ("word_case", "word", "lemma")}
-    tags = lexicon(tokens, "tags", "combinations")
+    lex = {c: lexicon(types, c) for c in ("word_case", "word", "lemma")}
+    tags = lexicon(types, "tags", "combinations")
     united = united_of(types, lex["word_case"], lex["word"], lex["lemma"], tags)
-    return Star(lex["word_case"], lex["word"], lex["lemma"], tags, unique_tags(tokens), united, types, main_of(tokens, types), sources)
+    return Star(lex["word_case"], lex["word"], lex["lemma"], tags, unique_tags(types), united, types, main_of(tokens, types), sources)

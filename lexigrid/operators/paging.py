@@ -19,14 +19,8 @@ def page(by_anchor: DataFrame, returned: int, cursor: int = -1) -> DataFrame:
     return by_anchor.where(F.col("z1") > cursor).orderBy("z1").limit(returned)
 
 
-def summary(by_anchor: DataFrame, shown: DataFrame, cursor: int = -1) -> DataFrame:
-    """found_all (tuples), last_pos (the last anchor shown, or the cursor) and progress: tuples up to that anchor, if it has any."""
-    last = shown.agg(F.coalesce(F.max("z1"), F.lit(cursor)).cast("bigint").alias("last_pos"))
-    both = by_anchor.crossJoin(F.broadcast(last))  # one row
-    totals = both.agg(
-        F.coalesce(F.sum("n_tuples"), F.lit(0)).alias("found_all"),
-        F.coalesce(F.sum(F.when(F.col("z1") <= F.col("last_pos"), F.col("n_tuples"))), F.lit(0)).alias("__upto"),
-        F.coalesce(F.max(F.col("z1") == F.col("last_pos")), F.lit(False)).alias("__has"),
-    )
-    out = totals.crossJoin(F.broadcast(last))
-    return out.select("found_all", "last_pos", F.when(F.col("__has"), F.col("__upto")).otherwise(F.lit(0)).cast("bigint").alias("progress"))
+def summary(by_anchor: DataFrame, last: int) -> DataFrame:
+    """found_all (tuples), last_pos (``last``: the last anchor shown, or the cursor) and progress: tuples up to that anchor, if it has any. One scan."""
+    upto = F.coalesce(F.sum(F.when(F.col("z1") <= last, F.col("n_tuples"))), F.lit(0))
+    there = F.coalesce(F.max(F.col("z1") == last), F.lit(False))
+    return by_anchor.agg(F.coalesce(F.sum("n_tuples"), F.lit(0)).alias("found_all"), F.lit(last).cast("bigint").alias("last_pos"), F.when(there, upto).otherwise(F.lit(0)).cast("bigint").alias("progress"))

@@ -46,11 +46,11 @@ def plain_sentences(tokens: DataFrame) -> DataFrame:
 
 
 def hit_sentences(tokens: DataFrame, page: DataFrame) -> DataFrame:
-    """z1, sentence and its marked text for each row of a page; only the page's sentences are read."""
+    """z1, sentence and its marked text for each row of a page, which has 1,000 rows at most and is broadcast; only the page's sentences are moved."""
     zs = [c for c in page.columns if c.startswith("z")]
     wanted = page.select(F.col("sentence").alias("__s"), F.col("z1").alias("anchor"), F.array(*zs).alias("__zs"))
-    own = spaced(tokens.join(wanted.select(F.col("__s").alias("sentence")).distinct(), "sentence", "left_semi"))
-    rows = own.join(wanted, F.col("sentence") == F.col("__s"))
+    own = spaced(tokens.join(F.broadcast(wanted.select(F.col("__s").alias("sentence"))), "sentence", "left_semi"))
+    rows = own.join(F.broadcast(wanted), F.col("sentence") == F.col("__s"))
     at = F.array_position("__zs", F.col("id"))
     return assemble(rows, marked(F.when(at > 0, at - 1)), ["anchor", "sentence", "source"]).withColumnRenamed("anchor", "z1")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrid.operators import ngrams, paging, render
@@ -89,27 +89,29 @@ class Corpus:
         return paging.page(self.anchors(query), query.returned, query.cursor)
 
     def summary(self, query: CorpusQuery) -> DataFrame:
-        found = self.anchors(query)
-        return paging.summary(found, paging.page(found, query.returned, query.cursor), query.cursor)
+        last = self.page(query).agg(F.max("z1")).first()[0]
+        return paging.summary(self.anchors(query), query.cursor if last is None else last)
 
-    def _shown(self, query: CorpusQuery) -> tuple[DataFrame, DataFrame]:
-        """The page as a local table (1,000 rows at most), and the tokens of its sentences: ranges of these reach the scan, which leaves out other files."""
-        page = self.page(query)
-        rows = page.collect()
-        held = self.tokens.sparkSession.createDataFrame(rows, page.schema)
+    def _sentences(self, rows: list[Row], schema) -> DataFrame:
+        """z1, sentence, source, sentence_text of a page's rows, 1,000 at most. Ranges of their sentences reach the scan, which leaves out other files."""
         near = F.lit(False)
         for a, b in sentence_ranges([r["sentence"] for r in rows]):
             near = near | F.col("sentence").between(a, b)
-        return held, self.tokens.where(near)
+        return render.hit_sentences(self.tokens.where(near), self.tokens.sparkSession.createDataFrame(rows, schema))
+
+    def _rows(self, rows: list[Row], schema) -> DataFrame:
+        sources = self.star.sources.where(F.col("id").isin(sorted({r["source"] for r in rows})))
+        return render.with_sources(self._sentences(rows, schema), F.broadcast(sources))
 
     def sentences(self, query: CorpusQuery) -> DataFrame:
         """z1, sentence, source, sentence_text of the page."""
-        page, near = self._shown(query)
-        return render.hit_sentences(near, page)
+        page = self.page(query)
+        return self._sentences(page.collect(), page.schema)
 
     def rows(self, query: CorpusQuery) -> DataFrame:
         """The page's sentences, marked, with their sources."""
-        return render.with_sources(self.sentences(query), self.star.sources)
+        page = self.page(query)
+        return self._rows(page.collect(), page.schema)
 
     def context(self, query: CorpusQuery) -> DataFrame:
         return render.with_sources(render.context(self.tokens, query.extend, query.extend_range), self.star.sources)
@@ -121,18 +123,18 @@ class Corpus:
         query = CorpusQuery.from_json(request)
         if query.extend >= 0 and query.extend > (self.star.main.agg(F.max("sentence")).first()[0] or 0):
             query = replace(query, extend=-1).normalise()
-        end = F.array(F.lit('{"id":-1}'))
-        if query.count_only and query.extend < 0:
-            listed = self.summary(query).select("found_all", F.concat(F.lit('{"example":['), F.concat_ws(",", end), F.lit("]")).alias("head")).drop("found_all")
-        else:
-            rows, key = (self.context(query), "sentence") if query.extend >= 0 else (self.rows(query), "z1")
-            items = rows.select(F.col(key).alias("k"), F.to_json(render.row_struct()).alias("j"))
-            listed = items.agg(F.array_sort(F.collect_list(F.struct("k", "j"))).alias("js")).select(F.concat(F.lit('{"example":['), F.concat_ws(",", F.concat(F.col("js.j"), end)), F.lit("]")).alias("head"))
         if query.extend >= 0:
-            return listed.select(F.concat("head", F.lit("}")).alias("response"))
-        s = self.summary(query)
-        tail = F.concat(F.lit(',"last_pos":"'), F.col("last_pos").cast("string"), F.lit('","found_all":'), F.col("found_all").cast("string"), F.lit(',"progress":'), F.col("progress").cast("string"), F.lit("}"))
-        return listed.crossJoin(F.broadcast(s)).select(F.concat("head", tail).alias("response"))  # one row each
+            items, key, tail = self.context(query), "sentence", "}"
+        else:
+            page = self.page(query)
+            rows, key = page.collect(), "z1"
+            found = paging.summary(self.anchors(query), max((r["z1"] for r in rows), default=query.cursor)).first()
+            tail = f',"last_pos":"{found["last_pos"]}","found_all":{found["found_all"]},"progress":{found["progress"]}}}'
+            if query.count_only or not rows:
+                return self.tokens.sparkSession.createDataFrame([('{"example":[{"id":-1}]' + tail,)], "response string")
+            items = self._rows(rows, page.schema)
+        listed = items.select(F.col(key).alias("k"), F.to_json(render.row_struct()).alias("j")).agg(F.array_sort(F.collect_list(F.struct("k", "j"))).alias("js"))
+        return listed.select(F.concat(F.lit('{"example":['), F.concat_ws(",", F.concat(F.col("js.j"), F.array(F.lit('{"id":-1}')))), F.lit("]" + tail)).alias("response"))
 
     def ngrams(self, punctuation: bool = True) -> DataFrame:
         """All n-grams of one to six types, numbered by frequency at each level; made once."""
