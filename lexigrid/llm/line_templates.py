@@ -11,8 +11,8 @@ hand, by minhashes of the word trigrams of their other lines, one in each of BUC
 shares less than ALIKE with the first document of each family so far founds one. All lines of recurring templates are dropped.
 Lines of every length take part; short ones need more families, and one of variable fields alone recurs as it is.
 
-Only leaves with two different lines and MIN_FAMILIES documents need their tokens: a fixed-size table of leaf counts keeps most
-others from being moved, and a join on the leaf drops the rest.
+Only lines of leaves with two different lines and MIN_FAMILIES documents need their tokens, few of all: up to BROADCAST_ROWS of such leaves are broadcast, so that
+tokens of no other line are moved; more are joined.
 """
 
 from __future__ import annotations
@@ -38,8 +38,6 @@ NONE = np.uint16(0xFFFF)
 MIN_TOKENS = 4
 MIN_FIXED = 2
 WILD = np.uint64(0xFFFFFFFF)
-LEAF_LOG2 = 22
-BLOCKS = 64
 
 
 class Lines:
@@ -125,30 +123,15 @@ def _lines(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x.leaves[order]), pa.array(x.hashes[order]), b.column("doc_id").take(pa.array(x.rows[order])), pa.array(doublings.astype(np.int32)), packed], ["leaf", "line", "doc", "doublings", "others"])
 
 
-def _slot(leaves: np.ndarray) -> np.ndarray:
-    return (tk.mix(leaves.view(np.uint64), 3) >> np.uint64(64 - LEAF_LOG2)).astype(np.int64)
-
-
-def _count_leaves(batches):
-    counts = np.zeros(1 << LEAF_LOG2, np.int64)
-    for b in batches:
-        np.add.at(counts, _slot(b.column("leaf").to_numpy(zero_copy_only=False).astype(np.int64)), 1)
-    if counts.any():
-        parts = np.minimum(counts, 2).astype(np.uint8).reshape(BLOCKS, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "counts"])
-
-
-def _sum_leaves(t: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_py(), np.uint8).astype(np.int64) for x in t.column("counts"))
-    return pa.table({"block": pa.array([t.column("block")[0].as_py()], pa.int32()), "shared": pa.array([np.packbits(total > 1).tobytes()], pa.binary())})
-
-
-def _tokens(batches, shared):
-    """leaf, line and tokens of the lines whose leaf may have several."""
-    bits = np.unpackbits(shared.value).astype(bool)
+def _tokens(batches, wanted):
+    """leaf, line and tokens of the lines of these leaves (sorted; None: of all leaves)."""
     for b in tk.slices(batches):
         x = Lines(b.column("text"))
-        at = np.flatnonzero((x.counts > DEPTH) & bits[_slot(x.leaves)])
+        at = np.flatnonzero(x.counts > DEPTH)
+        if wanted is not None:
+            leaves = wanted.value
+            place = np.minimum(np.searchsorted(leaves, x.leaves[at]), max(len(leaves) - 1, 0))
+            at = at[leaves[place] == x.leaves[at]] if len(leaves) else at[:0]
         _, own = np.unique(x.hashes[at], return_index=True)
         at = at[own]
         tokens = x.keys.astype(np.uint32)
@@ -244,12 +227,9 @@ def recurring(docs: DataFrame, similar: float = SIMILAR, min_families: int = MIN
     occurrences = save(rows.mapInArrow(_lines, "leaf bigint, line bigint, doc bigint, doublings int, others binary"), "lines", scratch)
     lines = save(occurrences.groupBy("leaf", "line").agg(F.count("*").alias("docs"), F.min("doublings").alias("doublings")), "leaves", scratch)
     leaves = lines.groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("docs").alias("leaf_docs")).where((F.col("lines") > 1) & (F.col("leaf_docs") >= min_families)).select("leaf")
-    bits = bytearray((1 << LEAF_LOG2) // 8)
-    size = len(bits) // BLOCKS
-    for r in lines.select("leaf").mapInArrow(_count_leaves, "block int, counts binary").groupBy("block").applyInArrow(_sum_leaves, "block int, shared binary").collect():
-        bits[r["block"] * size : (r["block"] + 1) * size] = r["shared"]  # half a megabyte, whatever the input
-    shared = spark.sparkContext.broadcast(np.frombuffer(bytes(bits), np.uint8))
-    tokens = rows.select("text").mapInArrow(lambda it: _tokens(it, shared), "leaf bigint, line bigint, tokens binary").groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"))
+    leaves = save(leaves, "wide-leaves", scratch)
+    wanted = spark.sparkContext.broadcast(np.sort(leaves.toArrow().column("leaf").to_numpy().astype(np.int64))) if leaves.count() <= BROADCAST_ROWS else None
+    tokens = rows.select("text").mapInArrow(lambda it: _tokens(it, wanted), "leaf bigint, line bigint, tokens binary").groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"))
     grown = tokens.join(lines.join(leaves, "leaf", "left_semi"), ["leaf", "line"]).repartition(partitions(spark), "leaf").sortWithinPartitions("leaf", F.desc("docs"), "line")
     templates = grown.select("leaf", "line", "tokens").mapInArrow(lambda it: _grow(it, similar), "line bigint, template bigint")
     named = save(templates, "templates", scratch)
@@ -259,8 +239,9 @@ def recurring(docs: DataFrame, similar: float = SIMILAR, min_families: int = MIN
     wanted = save(of.select("line", "template").join(enough, "template"), "wanted", scratch)
     # few lines are in several documents: broadcast, they leave the others where they are
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS // 4 else wanted
-    rows = occurrences.select("line", "doc", "others").join(wanted, "line").repartition(partitions(spark), "template").sortWithinPartitions("template", "doc", "line", "others")
-    found = rows.select("template", "doc", "need", "others").mapInArrow(_recurring, "template bigint")
+    rows = occurrences.select("line", "doc", "others").join(wanted, "line").select("template", "doc", F.col("need").cast("smallint").alias("need"), "others")
+    rows = rows.repartition(partitions(spark), "template").sortWithinPartitions("template", "doc", "others")
+    found = rows.mapInArrow(_recurring, "template bigint")
     found = save(found, "recurring", scratch)
     drop = found.select(F.col("template").alias("line")).unionByName(named.join(found, "template", "left_semi").select("line"))
     drop = save(drop.distinct(), "dropped")

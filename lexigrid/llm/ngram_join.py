@@ -41,6 +41,8 @@ PART_GRAMS = 3 << 20
 LIST_BLOCK = 8
 CHUNK_SETS = 64
 CHUNK_GRAMS = 500_000
+#: Classes on each side of a unit of work (four followers count as one).
+UNIT_SETS = 256
 
 
 def doc_sets(column: pa.Array, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -408,44 +410,64 @@ def _meet(threshold):
     return run
 
 
-def _answer(batches, threshold):
-    """Pairs of classes that match as a whole (full) or need their members compared; others go."""
-    for b in batches:
-        get = lambda k: b.column(k).to_numpy(zero_copy_only=False).astype(np.int64)  # noqa: B023, E731
-        common = np.array([overlap(np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)) for x, y in zip(b.column("core_a"), b.column("core_b"))], np.int64)
-        some = common + get("added_a") + get("added_b") >= least(threshold, get("lo_a"), get("lo_b"))
-        full = common - get("lacks_a") - get("lacks_b") >= least(threshold, get("hi_a"), get("hi_b"))
-        keep = pa.array(some | full)
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(full)], ["a", "b", "full"]).filter(keep)
-
-
-def _members(leader: np.ndarray, chunk) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    sets, ids, sizes, weights = [], [], [], []
-    for m in chunk:
-        less, more = np.frombuffer(m["less"], np.uint32), np.frombuffer(m["more"], np.uint32)
-        sets.append(np.concatenate([np.setdiff1d(leader, less, assume_unique=True), more]))
-        ids.append(m["doc_id"])
-        sizes.append(m["size"])
-        weights.append(m["docs"])
-    return sets, np.array(ids, np.int64), np.array(sizes, np.int64), np.array(weights, np.int64)
-
-
-def _compare(batches, threshold):
-    """Chunks of two classes' members -> the documents that each matches, and the classes, for each set that matches any."""
-    for b in batches:
-        for r in b.to_pylist():
-            a, ids_a, n_a, docs_a = _members(np.frombuffer(r["core_a"], np.uint32), r["chunk_a"])
-            o, ids_o, n_o, docs_o = _members(np.frombuffer(r["core_b"], np.uint32), r["chunk_b"])
-            names = np.unique(np.concatenate(a + o))
-            left, right = np.zeros((len(a), len(names)), np.float32), np.zeros((len(o), len(names)), np.float32)
-            for m, sets in ((left, a), (right, o)):
+class _Class:
+    """A class as a unit of work has it: its leader's shared n-grams, the bounds of its members, and the members."""
+
+    def __init__(self, row: dict):
+        self.row, self.core = row, np.frombuffer(row["core"], np.uint32)
+        self.held: list[tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]] | None = None
+
+    def chunks(self):
+        """(sets, doc_ids, sizes, documents with the set) of some members at a time; the leader is a member."""
+        if self.held is None:
+            r = self.row
+            rows = [{"doc_id": r["cls"], "size": r["n"], "more": b"", "less": b"", "docs": r["docs"]}, *(r["members"] or [])]
+            step = max(1, min(CHUNK_SETS, CHUNK_GRAMS // r["n"]))
+            self.held = []
+            for at in range(0, len(rows), step):
+                part = rows[at : at + step]
+                sets = [np.concatenate([np.setdiff1d(self.core, np.frombuffer(m["less"], np.uint32), assume_unique=True), np.frombuffer(m["more"], np.uint32)]) for m in part]
+                self.held.append((sets, *(np.array([m[k] for m in part], np.int64) for k in ("doc_id", "size", "docs"))))
+        return self.held
+
+
+def _compare(a: _Class, b: _Class, threshold: float) -> dict[int, int]:
+    """For each member that matches members of the other class, how many documents these are."""
+    links: dict[int, int] = {}
+    for sets_a, ids_a, n_a, docs_a in a.chunks():
+        for sets_b, ids_b, n_b, docs_b in b.chunks():
+            names = np.unique(np.concatenate(sets_a + sets_b))
+            left, right = np.zeros((len(sets_a), len(names)), np.float32), np.zeros((len(sets_b), len(names)), np.float32)
+            for m, sets in ((left, sets_a), (right, sets_b)):
                 for i, x in enumerate(sets):
                     m[i, np.searchsorted(names, x)] = 1
-            hit = left @ right.T >= least(threshold, n_a[:, None], n_o[None, :])
-            ids = np.r_[ids_a, ids_o]
-            links = np.r_[hit @ docs_o, hit.T @ docs_a]
-            some = links > 0
-            yield pa.RecordBatch.from_arrays([pa.array([r["a"]] * int(some.sum()), pa.int64()), pa.array([r["b"]] * int(some.sum()), pa.int64()), pa.array(ids[some]), pa.array(links[some])], ["a", "b", "doc_id", "links"])
+            hit = left @ right.T >= least(threshold, n_a[:, None], n_b[None, :])
+            for ids, counts in ((ids_a, hit @ docs_b), (ids_b, hit.T @ docs_a)):
+                for d, n in zip(ids[counts > 0].tolist(), counts[counts > 0].tolist()):
+                    links[d] = links.get(d, 0) + n
+    return links
+
+
+def _answer(threshold):
+    """Pairs of classes and the classes -> (a, b) alone if all members match, and (a, b, doc_id, links) of members where only some do."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        classes = {r["cls"]: _Class(r) for r in right.to_pylist()}
+        out: dict[str, list] = {"a": [], "b": [], "doc_id": [], "links": []}
+        for a, b in zip(left.column("a").to_pylist(), left.column("b").to_pylist()):
+            x, y = classes[a], classes[b]
+            common, p, q = overlap(x.core, y.core), x.row, y.row
+            if common - p["lacks"] - q["lacks"] >= least(threshold, p["hi"], q["hi"]):
+                found = [(None, None)]
+            elif common + p["added"] + q["added"] < least(threshold, p["lo"], q["lo"]):
+                continue
+            else:
+                found = list(_compare(x, y, threshold).items())
+            for k, v in zip(out, ([a] * len(found), [b] * len(found), [d for d, _ in found], [n for _, n in found])):
+                out[k] += v
+        return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
+
+    return run
 
 
 def one_text_each(docs: DataFrame, scratch: list[str]) -> DataFrame:
@@ -491,29 +513,30 @@ def links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFram
     entries = index.where("part IS NOT NULL").select("part", "grams", "row", "room", "set_cls", "set_lo", "set_hi")
     cores = index.where("cls IS NOT NULL").select("cls", "n", "lo", "hi", "added", "lacks", "fans", "core")
     pairs = save(entries.groupBy("part").applyInArrow(_meet(threshold), "a bigint, b bigint").distinct(), "pairs", scratch)
-    wanted = save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids", scratch)
-    cores = save(cores.join(small(wanted), F.col("cls") == F.col("id"), "left_semi"), "cores", scratch)
-    side = lambda s, *more: cores.select(F.col("cls").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in (*more, "core")])
-    wide = pairs.join(side("a", "lo", "hi", "added", "lacks"), "a").join(side("b", "lo", "hi", "added", "lacks"), "b")
-    answered = save(wide.mapInArrow(lambda it: _answer(it, threshold), "a bigint, b bigint, full boolean"), "answered", scratch)
-
     weights = distinct.select("rep", "docs").join(members.select(F.col("doc_id").alias("rep"), "leader"), "rep", "left").select("rep", "docs", F.coalesce("leader", "rep").alias("cls"))
     weights = save(weights, "weights", scratch)
     classes = save(weights.groupBy("cls").agg(F.sum("docs").alias("cls_docs")), "classes", scratch)
-    open_ = answered.where("NOT full").select("a", "b")
-    partial = spark.createDataFrame([], "a bigint, b bigint, doc_id bigint, links bigint")
-    if not open_.isEmpty():
-        ends = open_.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        own = members.unionByName(cores.select(F.col("cls").alias("doc_id"), F.col("cls").alias("leader"), F.col("n").alias("size"), F.lit(b"").alias("more"), F.lit(b"").alias("less")))
-        own = own.join(ends, F.col("leader") == F.col("id"), "left_semi").join(distinct.select(F.col("rep").alias("doc_id"), "docs"), "doc_id")
-        fans = cores.select(F.col("cls").alias("leader"), F.ceil((F.col("fans") + 1) / F.greatest(F.lit(1.0), F.least(F.lit(CHUNK_SETS), CHUNK_GRAMS / F.col("n")))).alias("chunks"))
-        chunks = own.join(fans, "leader").groupBy("leader", F.pmod(F.xxhash64("doc_id"), "chunks").alias("chunk")).agg(F.collect_list(F.struct("doc_id", "size", "more", "less", "docs")).alias("chunk_of"))
-        chunks = save(chunks.select("leader", "chunk_of"), "chunks", scratch)
-        of = lambda s: chunks.select(F.col("leader").alias(s), F.col("chunk_of").alias(f"chunk_{s}"))
-        wide = open_.join(side("a"), "a").join(side("b"), "b").join(of("a"), "a").join(of("b"), "b")
-        partial = save(wide.mapInArrow(lambda it: _compare(it, threshold), "a bigint, b bigint, doc_id bigint, links bigint"), "partial", scratch)
-
-    full = answered.where("full").select("a", "b")
+    # what the units of work need of each class: its leader and its members (a salted crowd bounds their number)
+    wanted = save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids", scratch)
+    several = distinct.where("docs > 1").select(F.col("rep").alias("several"), "docs")
+    docs_of = lambda rows, key: rows.join(small(several), F.col(key) == F.col("several"), "left").withColumn("docs", F.coalesce("docs", F.lit(1)).cast("bigint")).drop("several")
+    own = docs_of(members.join(small(wanted), F.col("leader") == F.col("id"), "left_semi"), "doc_id").groupBy("leader").agg(F.collect_list(F.struct("doc_id", "size", "more", "less", "docs")).alias("members"))
+    cores = docs_of(cores.join(small(wanted), F.col("cls") == F.col("id"), "left_semi"), "cls").join(own, F.col("cls") == F.col("leader"), "left").drop("leader")
+    cores = save(cores, "cores", scratch)
+    # a unit has the pairs of a neighbourhood, so that a class is moved to few units; large neighbourhoods are cut into blocks on both sides
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("m")).select("of", F.least("of", "m").alias("unit"))
+    placed = pairs.join(near, F.col("a") == F.col("of")).select("a", "b", "unit")
+    sizes = cores.select(F.col("cls").alias("id"), (1 + F.col("fans") / 4).alias("w"))
+    blocks = lambda c: placed.select("unit", F.col(c).alias("id")).distinct().join(sizes, "id").groupBy("unit").agg(F.ceil(F.sum("w") / UNIT_SETS).alias(f"n{c}"))
+    placed = placed.join(blocks("a"), "unit").join(blocks("b"), "unit")
+    placed = save(placed.select("a", "b", "unit", F.pmod(F.xxhash64("a"), "na").alias("i"), F.pmod(F.xxhash64("b"), "nb").alias("j")), "units", scratch)
+    moved = placed.select(F.explode(F.array("a", "b")).alias("cls"), F.col("unit").alias("u"), F.col("i").alias("iu"), F.col("j").alias("ju")).distinct().join(cores, "cls")
+    answered = placed.groupBy("unit", "i", "j").cogroup(moved.groupBy("u", "iu", "ju")).applyInArrow(_answer(threshold), "a bigint, b bigint, doc_id bigint, links bigint")
+    answered = save(answered, "answered", scratch)
+    partial = answered.where("doc_id IS NOT NULL")
+
+    full = answered.where("doc_id IS NULL").select("a", "b")
     both = full.unionByName(full.select(F.col("b").alias("a"), F.col("a").alias("b")))
     from_classes = both.join(classes.withColumnRenamed("cls", "b"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("cls_docs").alias("more"))
     from_sets = partial.groupBy(F.col("doc_id").alias("rep")).agg(F.sum("links").alias("own"))

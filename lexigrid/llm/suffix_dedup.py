@@ -22,6 +22,8 @@ from .shared import partitions, save, small_batches, table, texts
 LEAST = 50
 SEED = 20
 PLACE_BITS = 28
+#: Groups of minimisers, each sorted at once, for each partition.
+PARTS = 4
 
 
 class Stretches:
@@ -231,7 +233,7 @@ def repeats(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFrame:
     pairs = save(rows.mapInArrow(lambda it: _minimisers(it, least, seed), "doc_id bigint, h bigint"), "minimisers")
     shared = pairs.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("h")
     lists = pairs.join(shared, "h", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("h").alias("hs"))
-    parts = partitions(spark)
+    parts = PARTS * partitions(spark)
     moved = rows.join(lists, F.col("doc_id") == F.col("id")).select("doc_id", "text", "hs")
     stretches = moved.mapInArrow(lambda it: _stretches(it, least, seed, parts), "part int, h bigint, doc_id bigint, start bigint, lead int, words binary")
     spans = stretches.groupBy("part").applyInArrow(_repeats(least), "doc_id bigint, start bigint, end bigint")

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lexigrid.llm import packing, records, suffix_dedup
+from lexigrid.llm import decontaminate, packing, records, site_quality, suffix_dedup
 from lexigrid.llm import textkernel as tk
 from lexigrid.llm.language_id import NGRAM, Filters, ngrams, probes
 from lexigrid.llm.line_templates import WILD, Leaf, Lines
@@ -146,3 +146,60 @@ def test_language_filters():
     shares, total = f.shares(column)
     assert shares[0].argmax() == 0 and shares[4].argmax() == 1 and total[1] == 0
     assert all(((0 <= s) & (s < 1 << 19)).all() for s in probes(grams))
+
+
+def lcs(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+def test_common_subsequences():
+    rng = np.random.default_rng(12)
+    terms = decontaminate.Terms(np.arange(9, dtype=np.uint32) << np.uint32(20))
+    items = [(i, terms.words[rng.integers(0, 9, n)]) for i, n in enumerate([5, 17, 40, 64, 64])]
+    segments = decontaminate.Segments(items, terms, np.ones(terms.size, np.float32), rng.standard_normal((terms.size, 3)))
+    text = rng.integers(0, 10, 300)  # 9: another word
+    which, starts = rng.integers(0, 5, 60), rng.integers(0, 200, 60)
+    ends = starts + rng.integers(0, 100, 60)
+    bits = ~decontaminate.common(segments.masks(np.arange(5)), which, text, starts, ends)
+    for k in range(60):
+        for head in (len(items[which[k]][1]), 3):
+            want = lcs(terms.known(items[which[k]][1][:head])[1].tolist(), text[starts[k] : ends[k]].tolist())
+            assert int(bits[k]) % (1 << head) == int(bits[k]) & ((1 << head) - 1) and bin(int(bits[k]) & ((1 << head) - 1)).count("1") == want
+
+
+def test_singular_vectors():
+    rng = np.random.default_rng(13)
+    a = rng.standard_normal((200, 8)) * np.array([9, 8, 7, 6, 5, 4, 3, 2]) @ rng.standard_normal((8, 50))
+    omega = np.linalg.qr(rng.standard_normal((50, 8)))[0]
+    got = decontaminate.singular_vectors(a.T @ (a @ omega), omega)
+    _, values, vectors = np.linalg.svd(a, full_matrices=False)
+    want = vectors[2:8].T / values[2:8]  # a quarter of the components is left out
+    assert got.shape == want.shape and np.allclose(np.abs((got * values[2:8]).T @ vectors[2:8].T), np.eye(6), atol=5e-3)
+
+
+def test_terms():
+    rng = np.random.default_rng(14)
+    words, tokens = rng.integers(0, 1 << 32, 500, dtype=np.uint32), rng.integers(0, 1 << 32, 3000, dtype=np.uint32)
+    tokens[::3] = words[rng.integers(0, 500, 1000)]
+    terms = decontaminate.Terms(words)
+    place = {w: i for i, w in enumerate(terms.words.tolist())}
+    assert terms.of(tokens).tolist() == [place.get(t, len(place) + (t >> 17)) for t in tokens.tolist()]
+    assert decontaminate.Terms(words[:0]).of(tokens).max() < 1 << decontaminate.TERM_BITS
+
+
+def test_best_bound():
+    rng = np.random.default_rng(15)
+    posteriors, good = rng.random(500), rng.random(500) < 0.5
+    values = np.r_[0, np.unique(posteriors), 1]
+    sums = [(posteriors[good] >= b).mean() + (posteriors[~good] < b).mean() for b in (values[1:] + values[:-1]) / 2]
+    got = site_quality.best_bound(posteriors, good)
+    own = (posteriors[good] >= got).mean() + (posteriors[~good] < got).mean()
+    assert own >= max(sums) - site_quality.NEARLY - 1e-9
+    assert all(s < max(sums) - site_quality.NEARLY + 1e-9 for s, b in zip(sums, (values[1:] + values[:-1]) / 2) if b < got - 1e-9)
+    apart = site_quality.best_bound(np.r_[np.full(50, 0.1), np.full(50, 0.9)], np.arange(100) >= 50)
+    assert apart == pytest.approx(0.5)
+    assert site_quality.best_bound(posteriors[:10], good[:10]) == site_quality.BOUND
