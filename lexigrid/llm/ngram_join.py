@@ -4,9 +4,10 @@ A document is the set of its runs of N words, hashed to 32 bits; a document of f
 if the Jaccard similarity of their sets is THRESHOLD at least. The result has each document that matches another, with the number of documents
 that it matches and its class, the connected component. Nothing is estimated: every match is counted.
 
-1. Equal sets are one, found by 128-bit digests. Highly similar sets meet by a minhash and a size class: a set whose similarity to a leader is
-   (1 + THRESHOLD) / 2 at least follows it. Jaccard distance is a metric, so any two sets of such a class match: these answers are derived.
-   From then on a follower is its difference from the leader.
+1. Equal sets are one, found by 128-bit digests. Highly similar sets meet by a minhash and a size class, those left alone by further minhashes: a set whose
+   similarity to a leader is (1 + THRESHOLD) / 2 at least follows it. Jaccard distance is a metric, so any two sets of such a class match: these answers
+   are derived. In a dense crowd, whose classes would all be each other's pairs, a set follows a leader that it matches: such a loose class is connected,
+   and its members are compared. From then on a follower is its difference from the leader.
 2. Exact frequencies of all n-grams (of leaders, and of followers' differences) give one global order, rarest first. Each block of sets sends its
    distinct n-grams once and gets a code for each back. Only prefixes are indexed, without n-grams that a single set has: such an n-gram makes no pair.
 3. Inverted lists hold classes, sorted by size and cut into blocks that know their smallest size and the most n-grams that are left behind
@@ -17,6 +18,7 @@ that it matches and its class, the connected component. Nothing is estimated: ev
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -35,12 +37,16 @@ THRESHOLD = 0.5
 LEADERS = 8
 #: Sets of one minhash that one task looks at; larger groups are split, and their leaders meet in the index.
 CROWD = 4096
+#: Minhashes of a set; sets of one from which on a crowd is dense; followers that a leader may have. They affect speed alone.
+KEYS = ["key1", "key2", "key3", "key4"]
+DENSE = 16
+FANS = 1023
 #: N-grams, about, that one task counts at a time.
 PART_GRAMS = 3 << 20
 #: Entries of a list that are skipped together, members of a class that are compared together.
 LIST_BLOCK = 8
-CHUNK_SETS = 64
-CHUNK_GRAMS = 500_000
+CHUNK_SETS = 128
+CHUNK_GRAMS = 250_000
 #: Classes on each side of a unit of work (four followers count as one).
 UNIT_SETS = 256
 
@@ -90,9 +96,10 @@ def _digests(batches, n):
             continue
         g, at = grams.astype(np.uint64), bounds[some]
         # similar sets have about the same size: with it in the key, documents that merely share a frequent n-gram spread over many keys
-        key = tk.mix(np.minimum.reduceat(tk.mix(g, 5), at) + np.floor(np.log(sizes[some]) / np.log(1.5)).astype(np.uint64), 6)
+        kind = np.floor(np.log(sizes[some]) / np.log(1.5)).astype(np.uint64)
+        keys = [tk.mix(np.minimum.reduceat(tk.mix(g, seed), at) + kind, 6).view(np.int64) for seed in range(5, 5 + len(KEYS))]
         sums = [np.add.reduceat(tk.mix(g, seed), at).view(np.int64) for seed in (31, 32)]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(some)), pa.array(sizes[some].astype(np.int64)), *map(pa.array, sums), pa.array(key.view(np.int64))], ["doc_id", "n", "h1", "h2", "key"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(some)), pa.array(sizes[some].astype(np.int64)), *map(pa.array, [*sums, *keys])], ["doc_id", "n", "h1", "h2", *KEYS])
 
 
 #: A slice of sets in one row, so that a block's n-grams stay together: for each set its class, own size, smallest and largest size in the class, most n-grams that
@@ -141,7 +148,7 @@ def _sets(batches, n):
         sizes = np.diff(bounds)
         some = pa.array(np.flatnonzero(sizes))
         blobs = [grams[bounds[i] : bounds[i + 1]].tobytes() for i in some.to_numpy()]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id").take(some), b.column("key").take(some), b.column("salt").take(some), pa.array(sizes[some.to_numpy()].astype(np.int64)), pa.array(blobs, pa.binary())], ["doc_id", "key", "salt", "n", "grams"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id").take(some), b.column("key").take(some), b.column("salt").take(some), b.column("dense").take(some), pa.array(sizes[some.to_numpy()].astype(np.int64)), pa.array(blobs, pa.binary())], ["doc_id", "key", "salt", "dense", "n", "grams"])
 
 
 class _Leader:
@@ -159,8 +166,8 @@ class _Leader:
         self.pre = max(self.pre, int(prefix(threshold, np.int64(size))) + lacks)
 
 
-def _lead(batches, threshold):
-    """Rows sorted by key, salt, n, doc_id -> SETS of leaders and of followers' differences, and MEMBERS of followers."""
+def _lead(batches, threshold, most):
+    """Rows sorted by key, salt, n, doc_id -> SETS of leaders (with so many followers at most) and of followers' differences, and MEMBERS of followers."""
     near = (1 + threshold) / 2
     key, leaders, number = None, [], 0
     held: dict[str, list] = {k: [] for k in FIELDS}
@@ -194,23 +201,28 @@ def _lead(batches, threshold):
     rows_of = ("block", *FIELDS, "grams")
     for b in batches:
         keys = zip(b.column("key").to_pylist(), b.column("salt").to_pylist())
-        for k, doc, size, blob in zip(keys, b.column("doc_id").to_pylist(), b.column("n").to_pylist(), b.column("grams")):
+        for k, doc, dense, size, blob in zip(keys, b.column("doc_id").to_pylist(), b.column("dense").to_pylist(), b.column("n").to_pylist(), b.column("grams")):
             if k != key:
                 for x in leaders:
                     evict(x)
                 key, leaders = k, []
             x = np.frombuffer(blob.as_buffer(), np.uint32)
+            reach = threshold if dense else near
             for leader in reversed(leaders):
-                if leader.n >= near * size and overlap(leader.grams, x) >= least(near, leader.n, size):
+                if leader.n >= reach * size - 1e-9 and overlap(leader.grams, x) >= least(reach, leader.n, size):
                     more, less = np.setdiff1d(x, leader.grams, assume_unique=True), np.setdiff1d(leader.grams, x, assume_unique=True)
                     leader.follow(size, len(more), len(less), threshold)
                     put(more.tobytes(), cls=leader.doc, n=size, lo=size, hi=size, added=0, lacks=0, pre=int(prefix(threshold, np.int64(size))), fans=-1, m=len(more))
                     for c, v in zip(members, (doc, leader.doc, size, more.tobytes(), less.tobytes())):
                         members[c].append(v)
+                    if leader.fans == most:
+                        leaders.remove(leader)
+                        evict(leader)
                     break
             else:
                 if len(leaders) == LEADERS:
-                    evict(leaders.pop(0))
+                    # in a dense crowd those stay that many follow
+                    evict(leaders.pop(min(range(LEADERS), key=lambda i: leaders[i].fans) if dense else 0))
                 leaders.append(_Leader(doc, x.copy(), threshold))
             if size_held > 8 * tk.CHUNK:
                 yield from flush()
@@ -271,8 +283,8 @@ INDEX = "part int, grams binary, row binary, room binary, set_cls binary, set_lo
 CORES = "cls bigint, n bigint, lo bigint, hi bigint, added bigint, lacks bigint, fans bigint, core binary"
 
 
-def _index(parts):
-    """A block and its codes -> INDEX rows of prefix entries, CORES of leaders: their n-grams that other sets have too."""
+def _index(parts, threshold):
+    """A block and its codes -> INDEX rows of prefix entries, CORES of leaders: their n-grams that other sets have too, all of them where a class may be loose."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         names = {"part": pa.int32(), **{c: pa.binary() for c in ("grams", "row", "room", "set_cls", "set_lo", "set_hi")}, **{c: pa.int64() for c in ("cls", "n", "lo", "hi", "added", "lacks", "fans")}, "core": pa.binary()}
@@ -290,12 +302,13 @@ def _index(parts):
             bounds = np.r_[0, np.cumsum(x["m"])]
             shared = rank > 0
             before = np.r_[0, np.cumsum(shared)]
+            loose = x["n"] - x["lacks"] < (1 + threshold) / 2 * (x["n"] + x["added"]) + 1e-9  # followers have n-grams of the leader that no other class has
             for i in np.flatnonzero(x["fans"] >= 0):
                 own = slice(bounds[i], bounds[i + 1])
                 if before[bounds[i + 1]] > before[bounds[i]] or x["fans"][i]:
                     for k in ("cls", "n", "lo", "hi", "added", "lacks", "fans"):
                         out[k].append(int(x[k][i]))
-                    out["core"].append(grams[own][shared[own]].tobytes())
+                    out["core"].append(grams[own][shared[own] | loose[i]].tobytes())
             for k in ("part", "grams", "row", "room", "set_cls", "set_lo", "set_hi"):
                 out[k] += [None] * len(out["cls"])
             rows = np.repeat(np.arange(len(x["m"]), dtype=np.uint64), x["m"])
@@ -415,10 +428,10 @@ class _Class:
 
     def __init__(self, row: dict):
         self.row, self.core = row, np.frombuffer(row["core"], np.uint32)
-        self.held: list[tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]] | None = None
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] | None = None
 
     def chunks(self):
-        """(sets, doc_ids, sizes, documents with the set) of some members at a time; the leader is a member."""
+        """(n-grams, their rows, distinct n-grams, doc_ids, sizes, documents with the set) of some members at a time; the leader is a member."""
         if self.held is None:
             r = self.row
             rows = [{"doc_id": r["cls"], "size": r["n"], "more": b"", "less": b"", "docs": r["docs"]}, *(r["members"] or [])]
@@ -427,22 +440,36 @@ class _Class:
             for at in range(0, len(rows), step):
                 part = rows[at : at + step]
                 sets = [np.concatenate([np.setdiff1d(self.core, np.frombuffer(m["less"], np.uint32), assume_unique=True), np.frombuffer(m["more"], np.uint32)]) for m in part]
-                self.held.append((sets, *(np.array([m[k] for m in part], np.int64) for k in ("doc_id", "size", "docs"))))
+                grams = np.concatenate(sets)
+                self.held.append((grams, np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.unique(grams), *(np.array([m[k] for m in part], np.int64) for k in ("doc_id", "size", "docs"))))
         return self.held
 
 
+def _matrix(grams: np.ndarray, rows: np.ndarray, names: np.ndarray, sets: int) -> np.ndarray:
+    """Which sets (rows) have which of the sorted names."""
+    out = np.zeros((sets, len(names)), np.float32)
+    if len(names):
+        at = np.searchsorted(names, grams)
+        at[at == len(names)] = 0
+        hit = names[at] == grams
+        out[rows[hit], at[hit]] = 1
+    return out
+
+
 def _compare(a: _Class, b: _Class, threshold: float) -> dict[int, int]:
-    """For each member that matches members of the other class, how many documents these are."""
+    """For each member that matches members of the other class, how many documents these are; for a class and itself, other members."""
     links: dict[int, int] = {}
-    for sets_a, ids_a, n_a, docs_a in a.chunks():
-        for sets_b, ids_b, n_b, docs_b in b.chunks():
-            names = np.unique(np.concatenate(sets_a + sets_b))
-            left, right = np.zeros((len(sets_a), len(names)), np.float32), np.zeros((len(sets_b), len(names)), np.float32)
-            for m, sets in ((left, sets_a), (right, sets_b)):
-                for i, x in enumerate(sets):
-                    m[i, np.searchsorted(names, x)] = 1
-            hit = left @ right.T >= least(threshold, n_a[:, None], n_b[None, :])
-            for ids, counts in ((ids_a, hit @ docs_b), (ids_b, hit.T @ docs_a)):
+    for i, (grams_a, rows_a, names_a, ids_a, n_a, docs_a) in enumerate(a.chunks()):
+        for j, (grams_b, rows_b, names_b, ids_b, n_b, docs_b) in enumerate(b.chunks()):
+            if a is b and j < i:
+                continue
+            names = np.intersect1d(names_a, names_b, assume_unique=True)  # an n-gram of one side alone is in no overlap
+            hit = _matrix(grams_a, rows_a, names, len(ids_a)) @ _matrix(grams_b, rows_b, names, len(ids_b)).T >= least(threshold, n_a[:, None], n_b[None, :])
+            found = [(ids_a, hit @ docs_b), (ids_b, hit.T @ docs_a)]
+            if a is b and i == j:
+                np.fill_diagonal(hit, False)
+                found = [(ids_a, hit @ docs_b)]
+            for ids, counts in found:
                 for d, n in zip(ids[counts > 0].tolist(), counts[counts > 0].tolist()):
                     links[d] = links.get(d, 0) + n
     return links
@@ -457,7 +484,9 @@ def _answer(threshold):
         for a, b in zip(left.column("a").to_pylist(), left.column("b").to_pylist()):
             x, y = classes[a], classes[b]
             common, p, q = overlap(x.core, y.core), x.row, y.row
-            if common - p["lacks"] - q["lacks"] >= least(threshold, p["hi"], q["hi"]):
+            if a == b:
+                found = list(_compare(x, x, threshold).items())
+            elif common - p["lacks"] - q["lacks"] >= least(threshold, p["hi"], q["hi"]):
                 found = [(None, None)]
             elif common + p["added"] + q["added"] < least(threshold, p["lo"], q["lo"]):
                 continue
@@ -489,30 +518,41 @@ def links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFram
     small_batches(spark)
     scratch: list[str] = []
     rows = one_text_each(docs, scratch)
-    digests = save(rows.mapInArrow(lambda it: _digests(it, n), "doc_id bigint, n bigint, h1 bigint, h2 bigint, key bigint"), "digests", scratch)
-    distinct = save(digests.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("docs"), F.min("n").alias("n"), F.min("key").alias("key")), "distinct", scratch)
+    digests = save(rows.mapInArrow(lambda it: _digests(it, n), "doc_id bigint, n bigint, h1 bigint, h2 bigint, " + ", ".join(f"{k} bigint" for k in KEYS)), "digests", scratch)
+    distinct = save(digests.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("docs"), F.min("n").alias("n"), *[F.min(k).alias(k) for k in KEYS]), "distinct", scratch)
     equal = distinct.where("docs > 1").select("h1", "h2", "rep")
     copies = save(digests.join(equal, ["h1", "h2"]).where("doc_id <> rep").select("doc_id", "rep"), "copies", scratch)
-    shared = distinct.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    crowd = save(distinct.join(shared, "key").select(F.col("rep").alias("crowd_id"), "key", F.pmod(F.xxhash64("rep"), F.ceil(F.col("c") / CROWD)).alias("salt")), "crowd", scratch)
+    crowds: list[DataFrame] = []
+    for k in KEYS:  # those left alone by one minhash may meet by the next, in dense crowds only
+        left = distinct.select("rep", F.col(k).alias("key"))
+        for before in crowds:
+            left = left.join(small(before.select(F.col("crowd_id").alias("met"))), F.col("rep") == F.col("met"), "left_anti")
+        shared = left.groupBy("key").agg(F.count("*").alias("c")).where(f"c >= {DENSE if crowds else 2}")
+        crowds.append(save(left.join(shared, "key").select(F.col("rep").alias("crowd_id"), "key", F.pmod(F.xxhash64("rep"), F.ceil(F.col("c") / CROWD)).alias("salt"), (F.col("c") >= DENSE).alias("dense")), "crowd", scratch))
+    crowd = functools.reduce(DataFrame.unionByName, crowds)
     rows = without(rows, copies.select("doc_id"))
     alone = without(rows, crowd.select("crowd_id"))
     alone = save(alone.mapInArrow(lambda it: _alone(it, n, threshold), SETS), "alone", scratch)
-    crowded = rows.join(small(crowd, BROADCAST_ROWS // 2), F.col("doc_id") == F.col("crowd_id")).select("doc_id", "text", "key", "salt")
-    crowded = crowded.mapInArrow(lambda it: _sets(it, n), "doc_id bigint, key bigint, salt bigint, n bigint, grams binary")
+    crowded = rows.join(small(crowd, BROADCAST_ROWS // 2), F.col("doc_id") == F.col("crowd_id")).select("doc_id", "text", "key", "salt", "dense")
+    crowded = crowded.mapInArrow(lambda it: _sets(it, n), "doc_id bigint, key bigint, salt bigint, dense boolean, n bigint, grams binary")
     crowded = crowded.repartition(partitions(spark), "key", "salt").sortWithinPartitions("key", "salt", "n", "doc_id")
-    led = save(crowded.mapInArrow(lambda it: _lead(it, threshold), f"{SETS}, {MEMBERS}"), "led", scratch)
+    most = FANS
+    led = save(crowded.mapInArrow(lambda it: _lead(it, threshold, most), f"{SETS}, {MEMBERS}"), "led", scratch)
     members = led.where("doc_id IS NOT NULL").select("doc_id", "leader", "size", "more", "less")
     sets = alone.unionByName(led.where("block IS NOT NULL").select(*alone.columns))
     total = distinct.agg(F.sum("n")).first()[0] or 0
     parts = max(8, partitions(spark) // 2, math.ceil(total / PART_GRAMS))
     counted = sets.select("block", "grams").mapInArrow(lambda it: _spread(it, parts), "part int, block bigint, grams binary, counts binary")
     codes = counted.groupBy("part").applyInArrow(_codes, "block bigint, part int, codes binary")
-    index = sets.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(_index(parts), f"{INDEX}, {CORES}")
+    index = sets.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(_index(parts, threshold), f"{INDEX}, {CORES}")
     index = save(index, "index", scratch)
     entries = index.where("part IS NOT NULL").select("part", "grams", "row", "room", "set_cls", "set_lo", "set_hi")
     cores = index.where("cls IS NOT NULL").select("cls", "n", "lo", "hi", "added", "lacks", "fans", "core")
-    pairs = save(entries.groupBy("part").applyInArrow(_meet(threshold), "a bigint, b bigint").distinct(), "pairs", scratch)
+    # members of a loose class needn't match each other: it is a pair with itself
+    same, both = F.col("size") - F.octet_length("more") / 4, F.col("size") + F.octet_length("less") / 4
+    loose = save(members.where(same < (1 + threshold) / 2 * both + 1e-9).select(F.col("leader").alias("loose")).distinct(), "loose", scratch)
+    met_pairs = entries.groupBy("part").applyInArrow(_meet(threshold), "a bigint, b bigint").distinct()
+    pairs = save(met_pairs.unionByName(loose.select(F.col("loose").alias("a"), F.col("loose").alias("b"))), "pairs", scratch)
     weights = distinct.select("rep", "docs").join(members.select(F.col("doc_id").alias("rep"), "leader"), "rep", "left").select("rep", "docs", F.coalesce("leader", "rep").alias("cls"))
     weights = save(weights, "weights", scratch)
     classes = save(weights.groupBy("cls").agg(F.sum("docs").alias("cls_docs")), "classes", scratch)
@@ -532,6 +572,8 @@ def links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFram
     placed = placed.join(blocks("a"), "unit").join(blocks("b"), "unit")
     placed = save(placed.select("a", "b", "unit", F.pmod(F.xxhash64("a"), "na").alias("i"), F.pmod(F.xxhash64("b"), "nb").alias("j")), "units", scratch)
     moved = placed.select(F.explode(F.array("a", "b")).alias("cls"), F.col("unit").alias("u"), F.col("i").alias("iu"), F.col("j").alias("ju")).distinct().join(cores, "cls")
+    # as many tasks as there are partitions: their work doesn't follow their bytes
+    placed, moved = placed.repartition(partitions(spark), "unit", "i", "j"), moved.repartition(partitions(spark), "u", "iu", "ju")
     answered = placed.groupBy("unit", "i", "j").cogroup(moved.groupBy("u", "iu", "ju")).applyInArrow(_answer(threshold), "a bigint, b bigint, doc_id bigint, links bigint")
     answered = save(answered, "answered", scratch)
     partial = answered.where("doc_id IS NOT NULL")
@@ -541,8 +583,8 @@ def links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFram
     from_classes = both.join(classes.withColumnRenamed("cls", "b"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("cls_docs").alias("more"))
     from_sets = partial.groupBy(F.col("doc_id").alias("rep")).agg(F.sum("links").alias("own"))
     found = components(full.unionByName(partial.select("a", "b").distinct()), "groups")
-    out = weights.join(classes, "cls").join(from_classes, "cls", "left").join(from_sets, "rep", "left").join(found.withColumnRenamed("node", "cls"), "cls", "left")
-    out = out.select("rep", F.coalesce("root", "cls").alias("root"), (F.col("cls_docs") - 1 + F.coalesce("more", F.lit(0)) + F.coalesce("own", F.lit(0))).alias("n_links")).where("n_links > 0")
+    out = weights.join(classes, "cls").join(from_classes, "cls", "left").join(from_sets, "rep", "left").join(small(loose), F.col("cls") == F.col("loose"), "left").join(found.withColumnRenamed("node", "cls"), "cls", "left")
+    out = out.select("rep", F.coalesce("root", "cls").alias("root"), (F.when(F.col("loose").isNull(), F.col("cls_docs")).otherwise(F.col("docs")) - 1 + F.coalesce("more", F.lit(0)) + F.coalesce("own", F.lit(0))).alias("n_links")).where("n_links > 0")
     out = save(out, "linked", scratch)
     out = out.join(out.groupBy("root").agg(F.min("rep").alias("class_id")), "root")
     mine = out.select(F.col("rep").alias("doc_id"), "class_id", "n_links").unionByName(copies.join(out, "rep").select("doc_id", "class_id", "n_links"))
