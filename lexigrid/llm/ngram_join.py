@@ -40,7 +40,7 @@ CROWD = 4096
 #: Minhashes of a set; sets of one from which on a crowd is dense; followers that a leader may have. They affect speed alone.
 KEYS = ["key1", "key2", "key3", "key4"]
 DENSE = 16
-FANS = 1023
+FANS = 4095
 #: N-grams, about, that one task counts at a time.
 PART_GRAMS = 3 << 20
 #: Entries of a list that are skipped together, members of a class that are compared together.
@@ -208,7 +208,8 @@ def _lead(batches, threshold, most):
                 key, leaders = k, []
             x = np.frombuffer(blob.as_buffer(), np.uint32)
             reach = threshold if dense else near
-            for leader in reversed(leaders):
+            # in a dense crowd the nearest leaders come first, so that sets gather around few of them
+            for leader in sorted(leaders, key=lambda y: overlap(y.grams, x), reverse=True) if dense else reversed(leaders):
                 if leader.n >= reach * size - 1e-9 and overlap(leader.grams, x) >= least(reach, leader.n, size):
                     more, less = np.setdiff1d(x, leader.grams, assume_unique=True), np.setdiff1d(leader.grams, x, assume_unique=True)
                     leader.follow(size, len(more), len(less), threshold)
@@ -428,10 +429,10 @@ class _Class:
 
     def __init__(self, row: dict):
         self.row, self.core = row, np.frombuffer(row["core"], np.uint32)
-        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] | None = None
+        self.held: list[tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray, np.ndarray]] | None = None
 
     def chunks(self):
-        """(n-grams, their rows, distinct n-grams, doc_ids, sizes, documents with the set) of some members at a time; the leader is a member."""
+        """((n-grams in order, their rows, distinct n-grams, where each begins), doc_ids, sizes, documents with the set) of some members at a time; the leader is a member."""
         if self.held is None:
             r = self.row
             rows = [{"doc_id": r["cls"], "size": r["n"], "more": b"", "less": b"", "docs": r["docs"]}, *(r["members"] or [])]
@@ -440,13 +441,35 @@ class _Class:
             for at in range(0, len(rows), step):
                 part = rows[at : at + step]
                 sets = [np.concatenate([np.setdiff1d(self.core, np.frombuffer(m["less"], np.uint32), assume_unique=True), np.frombuffer(m["more"], np.uint32)]) for m in part]
-                grams = np.concatenate(sets)
-                self.held.append((grams, np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.unique(grams), *(np.array([m[k] for m in part], np.int64) for k in ("doc_id", "size", "docs"))))
+                grams, rows_of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+                order = np.argsort(grams, kind="stable")
+                names, begins = np.unique(grams[order], return_index=True)
+                self.held.append(((grams[order], rows_of[order], names, np.r_[begins, len(grams)]), *(np.array([m[k] for m in part], np.int64) for k in ("doc_id", "size", "docs"))))
         return self.held
 
 
-def _matrix(grams: np.ndarray, rows: np.ndarray, names: np.ndarray, sets: int) -> np.ndarray:
+def _overlaps(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], sets_a: int, sets_b: int) -> np.ndarray:
+    """Common n-grams of each set of one chunk with each of the other's."""
+    if sets_b < sets_a:
+        return _overlaps(b, a, sets_b, sets_a).T
+    (grams_a, rows_a, names_a, _), (_, rows_b, names_b, begins_b) = a, b
+    if sets_a <= 2:  # a set alone against many: its n-grams' rows are counted
+        out = np.zeros((sets_a, sets_b), np.int64)
+        for i in range(sets_a if len(names_b) else 0):
+            x = grams_a[rows_a == i]
+            at = np.searchsorted(names_b, x)
+            at[at == len(names_b)] = 0
+            at = at[names_b[at] == x]
+            length = begins_b[at + 1] - begins_b[at]
+            out[i] = np.bincount(rows_b[np.repeat(begins_b[at] - np.cumsum(length) + length, length) + np.arange(length.sum())], minlength=sets_b)
+        return out
+    names = np.intersect1d(names_a, names_b, assume_unique=True)  # an n-gram of one side alone is in no overlap
+    return _matrix(a, names, sets_a) @ _matrix(b, names, sets_b).T
+
+
+def _matrix(chunk: tuple[np.ndarray, ...], names: np.ndarray, sets: int) -> np.ndarray:
     """Which sets (rows) have which of the sorted names."""
+    grams, rows = chunk[:2]
     out = np.zeros((sets, len(names)), np.float32)
     if len(names):
         at = np.searchsorted(names, grams)
@@ -459,12 +482,11 @@ def _matrix(grams: np.ndarray, rows: np.ndarray, names: np.ndarray, sets: int) -
 def _compare(a: _Class, b: _Class, threshold: float) -> dict[int, int]:
     """For each member that matches members of the other class, how many documents these are; for a class and itself, other members."""
     links: dict[int, int] = {}
-    for i, (grams_a, rows_a, names_a, ids_a, n_a, docs_a) in enumerate(a.chunks()):
-        for j, (grams_b, rows_b, names_b, ids_b, n_b, docs_b) in enumerate(b.chunks()):
+    for i, (sets_a, ids_a, n_a, docs_a) in enumerate(a.chunks()):
+        for j, (sets_b, ids_b, n_b, docs_b) in enumerate(b.chunks()):
             if a is b and j < i:
                 continue
-            names = np.intersect1d(names_a, names_b, assume_unique=True)  # an n-gram of one side alone is in no overlap
-            hit = _matrix(grams_a, rows_a, names, len(ids_a)) @ _matrix(grams_b, rows_b, names, len(ids_b)).T >= least(threshold, n_a[:, None], n_b[None, :])
+            hit = _overlaps(sets_a, sets_b, len(ids_a), len(ids_b)) >= least(threshold, n_a[:, None], n_b[None, :])
             found = [(ids_a, hit @ docs_b), (ids_b, hit.T @ docs_a)]
             if a is b and i == j:
                 np.fill_diagonal(hit, False)

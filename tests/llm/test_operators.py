@@ -110,7 +110,7 @@ def test_ngram_join(spark, seed, monkeypatch):
     assert sorted(r["doc_id"] for r in ngram_join.keep_one(docs).collect()) == sorted(i for i, _ in rows if i not in gone)
 
 
-@pytest.mark.parametrize("fans", [1023, 20])
+@pytest.mark.parametrize("fans", [4095, 20])
 def test_ngram_join_dense(spark, fans, monkeypatch):
     """A group of near copies that grows with the table doesn't become as many pairs of classes as it has pairs of documents."""
     monkeypatch.setattr(ngram_join, "FANS", fans, raising=False)
