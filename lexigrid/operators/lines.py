@@ -6,9 +6,13 @@ a block is the unit that pages are looked for in.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +35,39 @@ def exploded(rows: DataFrame, columns: list, array: Column, place: str, item: st
     return rows.select(*columns, F.posexplode_outer(array).alias(place, item)).where(F.col(place).isNotNull())
 
 
+def _counter(k: int, distances: tuple[tuple[int, int], ...], names: list[str]):
+    """Anchors of sentences whose tokens have a bit for each slot that they match: sums over ranges are differences of running totals, so distances cost nothing.
+
+    There are 1,000 to the power of 5 tuples of an anchor at most, so no number overflows."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block, sentence, first, source = (np.asarray(c) for c in batch.columns[:4])
+            sizes = np.asarray(batch.column(4).value_lengths())
+            bits, ends = np.asarray(batch.column(4).flatten()), np.cumsum(sizes)
+            end = np.repeat(ends, sizes)
+            n, nexts = (bits >> (k - 1) & 1).astype(np.int64), []
+            for i in range(k - 2, -1, -1):
+                at = np.flatnonzero(bits >> i & 1)
+                lo, hi = at + distances[i][0], np.minimum(at + distances[i][1] + 1, end[at])
+                at, lo, hi = (x[lo < hi] for x in (at, lo, hi))
+                total, there = np.concatenate([[0], np.cumsum(n)]), np.flatnonzero(n)
+                n = np.zeros_like(n)
+                n[at] = total[hi] - total[lo]
+                onward = np.full(len(n), -1)
+                at, lo = at[n[at] > 0], lo[n[at] > 0]
+                onward[at] = there[np.searchsorted(there, lo)]
+                nexts.insert(0, onward)
+            at = np.flatnonzero(n)
+            row = np.searchsorted(ends, at, side="right")
+            shift, zs = first[row] - (ends - sizes)[row], [at]
+            for onward in nexts:
+                zs.append(onward[zs[-1]])
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (block[row], *[z + shift for z in zs], sentence[row], source[row], n[at])], names=names)
+
+    return count
+
+
 @dataclass
 class Lines:
     """rows: block, sentence, first, source, and the columns that ``words`` and ``attributes`` use.
@@ -43,14 +80,13 @@ class Lines:
     attributes: Callable[[Column, str], Column]
     starts: list[tuple[int, int, int, int]] | None = None
     extra: tuple[str, ...] = ()
-    counted: dict[CorpusQuery, list] = field(default_factory=dict)
 
     @classmethod
     def of_tokens(cls, tokens: DataFrame) -> Lines:
         """Of a table with a row a token; ids are dense and in the order of the text."""
         item = F.struct("pos", *FIELDS)
         rows = tokens.groupBy("sentence").agg(F.min("id").alias("first"), F.min("source").alias("source"), F.array_sort(F.collect_list(item)).alias("items"))
-        return cls(rows.withColumn("block", F.floor(F.col("sentence") / BLOCK)), F.col("items"), lambda x, name: x[name], None, ("items",))
+        return cls(rows.withColumn("block", F.floor(F.col("sentence") / BLOCK).cast("bigint")), F.col("items"), lambda x, name: x[name], None, ("items",))
 
     def _placed(self, rows: DataFrame) -> DataFrame:
         if self.starts is None:
@@ -89,7 +125,7 @@ class Lines:
         k = len(query.slots)
         hit = lambda i, w: slot_column(query.slots[i], query.regex, of=lambda name: self.attributes(w, name))
 
-        def add(i: int, later: list[Column]) -> Column:
+        def before(i: int, later: list[Column]) -> Column:
             if i < 0:
                 return body(later)
             if i == k - 1:
@@ -98,9 +134,9 @@ class Lines:
                 a, b = query.distances[i]
                 onward = lambda p: F.aggregate(F.slice(later[0], p + (1 + a), F.lit(b - a + 1)), F.lit(None).cast("bigint"), lambda n, x: F.coalesce(n + x, n, x))
                 ways = F.when(F.exists(later[0], lambda x: x.isNotNull()), F.transform(words, lambda w, p: F.when(hit(i, w), onward(p))))
-            return let(ways, lambda n: add(i - 1, [n, *later]))
+            return let(ways, lambda n: before(i - 1, [n, *later]))
 
-        return add(k - 1, [])
+        return before(k - 1, [])
 
     def _of_sources(self, found: DataFrame, sources: DataFrame, query: CorpusQuery) -> DataFrame:
         wanted = matching_sources(sources, query)
@@ -114,21 +150,10 @@ class Lines:
             raise ValueError("tuples are counted within sentences")
         rows = self.rows if rows is None else rows
         k = len(query.slots)
-
-        def first(ways: list[Column], i: int, at: list[Column]) -> Column:
-            """The struct of an anchor: each slot's first token that goes on."""
-            if i == k:
-                return F.struct(F.get(ways[0], at[0]).alias("n"), *[p.cast("bigint").alias(f"p{j + 1}") for j, p in enumerate(at)])
-            a, b = query.distances[i - 1]
-            there = F.array_position(F.transform(F.slice(ways[i], at[-1] + (1 + a), F.lit(b - a + 1)), lambda x: x.isNotNull()), F.lit(True))
-            return let(at[-1] + a + there.cast("int") - 1, lambda p: first(ways, i + 1, [*at, p]))
-
-        def kept(ways: list[Column]) -> Column:
-            at = F.filter(F.transform(ways[0], lambda n, p: F.when(n.isNotNull(), p)), lambda p: p.isNotNull())
-            return F.transform(at, lambda p: first(ways, 1, [p]))
-
-        found = exploded(rows, ["block", "sentence", "first", "source"], let(self.words, lambda words: self._ways(words, query, kept)), "__i", "h")
-        found = found.select("block", *[(F.col("first") + F.col(f"h.p{j + 1}")).alias(f"z{j + 1}") for j in range(k)], "sentence", "source", F.col("h.n").alias("n_tuples"))
+        hit = lambda i, w: F.when(slot_column(query.slots[i], query.regex, of=lambda name: self.attributes(w, name)), 1 << i).otherwise(0)
+        bits = F.transform(self.words, lambda w: reduce(add, [hit(i, w) for i in range(k)]).cast("tinyint"))
+        names = ["block", *[f"z{j + 1}" for j in range(k)], "sentence", "source", "n_tuples"]
+        found = rows.select("block", "sentence", "first", "source", bits.alias("bits")).mapInArrow(_counter(k, query.distances, names), ", ".join(f"{c} bigint" for c in names))
         return self._of_sources(found, sources, query)
 
     def tuples(self, sources: DataFrame, query: CorpusQuery) -> DataFrame:
