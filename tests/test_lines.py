@@ -125,3 +125,24 @@ def test_ngrams_over_ranges_and_batches(spark, corpus, punctuation):
 def test_a_search_moves_one_window_a_token(corpus):
     text = plan(corpus.search_ngrams(Q(Slot(word="the"), Slot(word="of"))))
     assert "p1" in text and "p2" not in text and not re.search(r"SortMergeJoin|g1#\d+L?[^\n]*Exchange hash", text)
+
+
+@pytest.mark.parametrize("ranges", ["1", "5", "40"])
+def test_links_and_paths_over_ranges(spark, corpus, ranges):
+    """Tree, trie and leaf paths of one exchange are those of joins, also where a range cuts a type's n-grams."""
+    from lexigrid.operators import ngrams
+
+    conf = {"spark.sql.execution.arrow.maxRecordsPerBatch": "7", "spark.sql.shuffle.partitions": ranges}
+    old = {k: spark.conf.get(k) for k in conf}
+    nodes = corpus.ngrams().persist()
+    same = lambda a, b: sorted(map(repr, map(tuple, a.collect()))) == sorted(map(repr, map(tuple, b.select(a.columns).collect())))
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        assert same(corpus.tree_rows(), tables.tree_rows(nodes))
+        assert same(corpus.leaf_paths(), tables.leaf_paths(nodes))
+        assert same(corpus.trie(), ngrams.trie(nodes))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+        nodes.unpersist()
